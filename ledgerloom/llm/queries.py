@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import byte_bpe, chat_format, media, mixing, token_binary, url_filter, winnowing
+from ledgerloom.llm import byte_bpe, chat_format, language_id, media, mixing, token_binary, url_filter, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_binary, op2_url_filter, op3_winnowing, op4_byte_bpe, op6_media, op8_chat_format, op9_mixing)}
+    return {f.__name__: f for f in (op1_token_binary, op2_url_filter, op3_winnowing, op4_byte_bpe, op5_language_id, op6_media, op8_chat_format, op9_mixing)}
 
 
 def oracle_sql() -> dict:
