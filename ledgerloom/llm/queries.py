@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import byte_bpe, chat_format, language_id, media, mixing, token_binary, url_filter, winnowing
+from ledgerloom.llm import byte_bpe, chat_format, language_id, media, mixing, ngram_join, token_binary, url_filter, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3.0).drop("source", "copies")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"), k=4, per_cent=85)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_binary, op2_url_filter, op3_winnowing, op4_byte_bpe, op5_language_id, op6_media, op8_chat_format, op9_mixing)}
+    return {f.__name__: f for f in (op1_token_binary, op2_url_filter, op3_winnowing, op4_byte_bpe, op5_language_id, op6_media, op8_chat_format, op9_mixing, op10_ngram_join)}
 
 
 def oracle_sql() -> dict:
