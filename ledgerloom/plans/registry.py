@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import periods
+from ledgerloom.plans import periods, scalars
 
-SECTIONS = (periods,)
+SECTIONS = (periods, scalars)
 
 
 def queries() -> dict:
