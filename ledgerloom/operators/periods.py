@@ -60,3 +60,46 @@ def coverage(periods: DataFrame, key: str, start: str, end: str, tie: str) -> Da
         (F.col("num_gaps") == 0).alias("is_fully_covered"),
         F.round(months(F.datediff("latest_end", "earliest_start")), 6).alias("coverage_months"),
     )
+
+
+def yearly(periods: DataFrame, start: str, end: str) -> DataFrame:
+    """year, starts and ends: periods that start and end in each year that has either, 0 where none."""
+    starts = periods.groupBy(F.year(start).alias("year")).agg(F.count("*").alias("starts"))
+    ends = periods.groupBy(F.year(end).alias("year")).agg(F.count("*").alias("ends"))
+    joined = starts.where("year is not null").join(ends.where("year is not null"), "year", "full_outer")
+    return joined.select("year", F.coalesce("starts", F.lit(0)).alias("starts"), F.coalesce("ends", F.lit(0)).alias("ends"))
+
+
+def densified(counts: DataFrame, column: str, value: str) -> DataFrame:
+    """counts with a row for every whole number from the smallest to the largest of column, 0 where there was none."""
+    span = counts.agg(F.min(column).alias("a"), F.max(column).alias("b")).where("a is not null")
+    every = span.select(F.explode(F.sequence("a", "b")).alias(column))
+    return every.join(counts, column, "left").select(column, F.coalesce(value, F.lit(0)).alias(value))
+
+
+def histogram(rows: DataFrame, column: str, bins: int = 30) -> DataFrame:
+    """bin, low, high, n and per_cent of equal-width bins; the last one is closed. One distinct value gets a range of 1 around it."""
+    known = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    span = known.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("total"))
+    same = F.col("a") == F.col("b")
+    span = span.select(F.when(same, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(same, F.col("b") + 0.5).otherwise(F.col("b")).alias("b"), "total")
+    width = (F.col("b") - F.col("a")) / bins
+    placed = known.join(F.broadcast(span)).withColumn("bin", F.least(F.floor((F.col("x") - F.col("a")) / width), F.lit(bins - 1)).cast("int"))
+    counted = placed.groupBy("bin", "a", "b", "total").agg(F.count("*").alias("n"))
+    low = F.col("a") + F.col("bin") * width
+    return counted.select("bin", low.alias("low"), (low + width).alias("high"), "n", (F.col("n") * 100.0 / F.col("total")).alias("per_cent"))
+
+
+def average_rank(rows: DataFrame, column: str, into: str) -> DataFrame:
+    """Adds the rank of each value, ties sharing the mean of their places. Ranks come from counts of distinct values, so only those are sorted."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.select(column, (before + (F.col("_n") + 1) / 2).alias(into))
+    return rows.join(ranks, column, "left")
+
+
+def correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """pearson, spearman, slope and intercept of y on x, over rows that have both."""
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ranked = average_rank(average_rank(both, "x", "rx"), "y", "ry")
+    return ranked.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))

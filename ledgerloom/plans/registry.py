@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import periods, scalars
+from ledgerloom.plans import content, period_stats, periods, scalars
 
-SECTIONS = (periods, scalars)
+SECTIONS = (periods, period_stats, scalars, content)
 
 
 def queries() -> dict:
