@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import content, period_stats, periods, scalars
+from ledgerloom.plans import content, monitoring, period_stats, periods, relations, scalars
 
-SECTIONS = (periods, period_stats, scalars, content)
+SECTIONS = (periods, period_stats, scalars, content, relations, monitoring)
 
 
 def queries() -> dict:
