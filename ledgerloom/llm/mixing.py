@@ -102,9 +102,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target and copies: how often the mix takes the document; taken is size times copies."""
+    return chosen(docs, weights, most, seed).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def chosen(docs: DataFrame, weights: Sequence[float], most: float, seed: int) -> DataFrame:
+    """doc_id, sig (hash of text and source), source, size, source_size, target and copies of each row of docs."""
     common.ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text", "source").alias("sig"))
     slim = common.written(slim, "mix-sizes")
     counted = common.written(slim.groupBy("source", "size").agg(F.count("*").alias("docs")), "mix-lengths")
     sources = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
@@ -127,11 +132,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     buckets = max(64, -(-largest // BUCKET_ROWS))
     order: Column = F.xxhash64("doc_id", F.lit(seed))
     placed = slim.join(plan, same).withColumn("order", order).withColumn("bucket", F.pmod("order", F.lit(buckets)))
-    placed = placed.select("doc_id", "source", "no", "size", "source_size", "target", "passes", "order", "bucket")
+    placed = placed.select("doc_id", "sig", "source", "no", "size", "source_size", "target", "passes", "order", "bucket")
     # Buckets of the hash are taken whole in their order; only in the one where the number runs out are documents ranked.
     sums = placed.groupBy("no", "size", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("no", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shares = sums.withColumn("before", before).join(wanted, ["no", "size"]).select("no", "size", "bucket", (F.col("wanted") - F.col("before")).alias("room"))
     rank = F.row_number().over(Window.partitionBy("no", "size", "bucket").orderBy("order", "doc_id"))
     done = placed.join(shares, ["no", "size", "bucket"]).withColumn("copies", F.col("passes") + (rank <= F.col("room")).cast("int"))
-    return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return done.select("doc_id", "sig", "source", "size", "source_size", "target", "copies")
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 11) -> DataFrame:
+    """The rows of the mix, with docs' columns: a document is there as often as the mix takes it, so not at all where it takes none.
+
+    Rows of one doc_id, text and source stand for one another: the mix takes them as often as all of them together.
+    """
+    taken = chosen(docs, weights, most, seed).where("copies > 0").groupBy("doc_id", "sig").agg(F.sum("copies").cast("int").alias("_mix_copies"))
+    taken = common.written(taken.select(F.col("doc_id").alias("_mix_doc"), F.col("sig").alias("_mix_sig"), "_mix_copies"), "mix-taken")
+    own = docs.withColumn("_mix_own", F.xxhash64("text", "source"))
+    repeats = own.groupBy("doc_id", "_mix_own").count().where("count > 1")
+    if not repeats.isEmpty():
+        own = own.withColumn("_mix_no", F.row_number().over(Window.partitionBy("doc_id", "_mix_own").orderBy(F.to_json(F.struct(*docs.columns))))).where("_mix_no = 1").drop("_mix_no")
+    same = (F.col("_mix_own") == F.col("_mix_sig")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_doc"))
+    taken = F.broadcast(taken) if common.small_enough(taken) else taken
+    copies = F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")
+    return own.join(taken, same).select(*docs.columns, copies).drop("_mix_copy")
