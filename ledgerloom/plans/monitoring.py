@@ -10,6 +10,7 @@ from ledgerloom.operators import quality as Q
 from ledgerloom.operators import runlog as R
 from ledgerloom.operators.screening import file_validity
 from ledgerloom.plans.tables import table
+from ledgerloom.streaming.incremental import windowed_progress
 
 
 def log(s, d):
@@ -70,7 +71,14 @@ def completeness(s, d):
     return Q.completeness(c.withColumn("fields", fields), "conv_id", "fields", lambda v: ~missing.has_text(value(v)))
 
 
+def windows(s, d):
+    e = table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("success"), F.col("value").alias("seconds"))
+    rows = windowed_progress(e, "ts", "1 hour", "6 hours")
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "runs", "failures", F.round("seconds", 4).alias("seconds"))
+
+
 QUERIES = {
+    "event_windows": windows,
     "runlog_latest": latest,
     "runlog_last_written": last_written,
     "runlog_summary": lambda s, d: R.summary(log(s, d), 100),
@@ -91,6 +99,7 @@ QUERIES = {
 KINDS = "c AS (SELECT conv_id, CASE role WHEN 'user' THEN 'Wage' WHEN 'assistant' THEN 'Pension' ELSE 'LEAVE' END AS infotype, turn AS position, turn % 2 = 0 OR length(text) <= 400 AS no_cell, turn % 4 <> 1 AS no_other FROM conversations)"
 COMPLETE = "t AS (SELECT DISTINCT c.conv_id, i, coalesce((SELECT max(text) FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = i), '') AS v FROM conversations c, range(6) r(i)), m AS (SELECT conv_id, 6 AS n_fields, count(*) FILTER (regexp_matches(v, '\\S')) AS n_filled, coalesce(list('topic_' || i ORDER BY i) FILTER (NOT regexp_matches(v, '\\S')), []) AS empty_fields FROM t GROUP BY 1)"
 ORACLES = {
+    "event_windows": "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H') AS start, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failures, round(sum(value), 4) AS seconds FROM events GROUP BY 1",
     "runlog_latest": f"WITH {LOG} SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.filename = e.filename AND y.cao_number = e.cao_number AND (y.timestamp > e.timestamp OR y.timestamp = e.timestamp AND y.event_id < e.event_id))",
     "runlog_last_written": f"WITH {LOG} SELECT e.* FROM e WHERE event_id IN (SELECT max(event_id) FROM e GROUP BY filename)",
     "runlog_summary": f"""WITH {LOG} SELECT count(*) AS total_files_processed, count(*) FILTER (success) AS successful_extractions, count(*) FILTER (NOT success) AS failed_extractions, sum(processing_time_seconds) / 3600 AS total_processing_time_hours,
