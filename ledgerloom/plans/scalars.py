@@ -176,5 +176,49 @@ SELECT p_partkey, round(q, 6) AS ratio, CASE WHEN q > 2 THEN 'large' WHEN q = 0
  CASE WHEN a > 1500 THEN 1200 WHEN a > 1000 THEN 900 ELSE 600 END AS time_limit, round(a * 100 / b, 6) AS share, round_even(b / 8, 0) AS half_even FROM r"""
 
 
-QUERIES = {"text_normalised": normalised, "glyph_decoding": glyphs, "name_keys": names, "url_names": urls, "json_repair": json_texts, "json_emptiness": json_emptiness, "dates_in_text": dates_in_text, "dates_by_column": parsed_dates, "size_arithmetic": sizes}
-ORACLES = {"text_normalised": NORMALISED, "glyph_decoding": GLYPHS, "name_keys": NAMES, "url_names": URLS, "json_repair": JSON_TEXTS, "json_emptiness": JSON_EMPTINESS, "dates_in_text": DATES_IN_TEXT, "dates_by_column": PARSED_DATES, "size_arithmetic": SIZES}
+def size_ratios(s, d):
+    """Mean, smallest and largest ratio, and the ratio of the sums, of pairs with both sizes."""
+    rows = table(s, d, "part").select(F.col("p_retailprice").alias("a"), (F.col("p_size") * 100.0).alias("b")).where("a > 0 and b > 0")
+    ratio = F.col("b") / F.col("a")
+    return rows.agg(F.round(F.avg(ratio), 6).alias("mean"), F.round(F.min(ratio), 6).alias("least"), F.round(F.max(ratio), 6).alias("most"), F.round(F.sum("b") / F.sum("a"), 6).alias("overall"), F.count_if(ratio > 2).alias("large"), F.count_if(ratio < 0.5).alias("small"))
+
+
+SIZE_RATIOS = """WITH v AS (SELECT p_retailprice AS a, p_size * 100.0::DOUBLE AS b FROM part WHERE p_retailprice > 0 AND p_size > 0)
+SELECT round(avg(b / a), 6) AS mean, round(min(b / a), 6) AS least, round(max(b / a), 6) AS most, round(sum(b) / sum(a), 6) AS overall, count(*) FILTER (b / a > 2) AS large, count(*) FILTER (b / a < 0.5) AS small FROM v"""
+
+
+def extreme_ratios(s, d):
+    """The ten largest and the ten smallest ratios of a report."""
+    rows = table(s, d, "part").where("p_size > 0").select("p_partkey", F.round(F.col("p_size") * 100.0 / F.col("p_retailprice"), 6).alias("ratio"))
+    top = rows.orderBy(F.desc("ratio"), "p_partkey").limit(10).withColumn("end", F.lit("largest"))
+    return top.unionByName(rows.orderBy("ratio", "p_partkey").limit(10).withColumn("end", F.lit("smallest")))
+
+
+EXTREME_RATIOS = """WITH v AS (SELECT p_partkey, round(p_size * 100.0::DOUBLE / p_retailprice, 6) AS ratio FROM part WHERE p_size > 0)
+SELECT * FROM (SELECT *, 'largest' AS "end" FROM v ORDER BY ratio DESC, p_partkey LIMIT 10) UNION ALL SELECT * FROM (SELECT *, 'smallest' AS "end" FROM v ORDER BY ratio, p_partkey LIMIT 10)"""
+
+
+def stem_flags(s, d):
+    """Whether a file's stem says TTW, and how it groups names of agreements; frequencies of both."""
+    name = F.concat(F.col("c_name"), F.when(F.col("c_custkey") % 4 == 0, " ttw.pdf").when(F.col("c_custkey") % 4 == 1, ".TTW").otherwise(".md"))
+    flag = F.when(F.contains(F.upper(text.stem(name)), F.lit("TTW")), "yes").otherwise("no")
+    return table(s, d, "customer").groupBy("c_mktsegment", flag.alias("ttw")).agg(F.count("*").alias("n"))
+
+
+STEM_FLAGS = """SELECT c_mktsegment, CASE WHEN c_custkey % 4 = 0 THEN 'yes' ELSE 'no' END AS ttw, count(*) AS n FROM customer GROUP BY 1, 2"""
+
+
+def pattern_totals(s, d):
+    """How many documents hold a pattern, and how often it stands in all of them."""
+    patterns = {"long words": "[a-z]{12,}", "numbers": "[0-9]+", "addresses": "[a-z0-9.]+@[a-z0-9.]+"}
+    counts = [F.struct(F.lit(n).alias("pattern"), F.regexp_count("text", F.lit(p)).alias("n")) for n, p in patterns.items()]
+    rows = table(s, d, "documents").select(F.inline(F.array(*counts)))
+    return rows.groupBy("pattern").agg(F.count_if(F.col("n") > 0).alias("documents"), F.sum("n").alias("total"))
+
+
+PATTERN_TOTALS = r"""WITH v AS (SELECT 'long words' AS pattern, len(regexp_extract_all(text, '[a-z]{12,}')) AS n FROM documents UNION ALL SELECT 'numbers', len(regexp_extract_all(text, '[0-9]+')) FROM documents
+UNION ALL SELECT 'addresses', len(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+')) FROM documents) SELECT pattern, count(*) FILTER (n > 0) AS documents, sum(n) AS total FROM v GROUP BY 1"""
+
+
+QUERIES = {"text_normalised": normalised, "glyph_decoding": glyphs, "name_keys": names, "url_names": urls, "json_repair": json_texts, "json_emptiness": json_emptiness, "dates_in_text": dates_in_text, "dates_by_column": parsed_dates, "size_arithmetic": sizes, "size_ratios": size_ratios, "extreme_ratios": extreme_ratios, "stem_flags": stem_flags, "pattern_totals": pattern_totals}
+ORACLES = {"text_normalised": NORMALISED, "glyph_decoding": GLYPHS, "name_keys": NAMES, "url_names": URLS, "json_repair": JSON_TEXTS, "json_emptiness": JSON_EMPTINESS, "dates_in_text": DATES_IN_TEXT, "dates_by_column": PARSED_DATES, "size_arithmetic": SIZES, "size_ratios": SIZE_RATIOS, "extreme_ratios": EXTREME_RATIOS, "stem_flags": STEM_FLAGS, "pattern_totals": PATTERN_TOTALS}
