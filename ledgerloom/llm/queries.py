@@ -72,5 +72,15 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_token_binary, op2_url_filter, op3_winnowing, op4_byte_bpe, op5_language_id, op6_media, op7_substring_dedup, op8_chat_format, op9_mixing, op10_ngram_join, pipeline)}
 
 
+#: All pairs by shared shingles, and the smallest doc_id that links reach.
+NGRAM_JOIN_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END) AS s FROM w),
+h AS (SELECT doc_id, hash(s) AS h FROM s), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM h a JOIN h b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a WHERE r.c < e.b)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.a = doc_id GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op10_ngram_join": NGRAM_JOIN_SQL}
