@@ -7,11 +7,11 @@ Prefixes. All shingles have one order: estimated number of documents that hold i
 similarity t or more share at least m = ceil(t * n) shingles, n the size of the larger; so the first n - m + l
 shingles of each share at least l, for any l. Each document picks its own l by estimated cost: a longer prefix meets more
 documents, but they have to share l shingles before they are compared. Two documents must share the smaller of
-their two numbers. The estimate is a table of CELLS counts, of shingles that repeat within a batch of a task; it steers cost
+their two numbers. Places in the prefixes bound what two sets can share besides. The estimate is a table of CELLS counts, of shingles that repeat within a batch of a task; it steers cost
 only, any order gives the same links.
 
 Components. In a group of near copies every pair would be a candidate. So first each class is compared with one leader,
-of the classes that it shares a shingle with; the components of these links are contracted, and all candidates
+of the classes that it shares a shingle with: one with few shingles of its own; the components of these links are contracted, and all candidates
 between different components are compared after that. Links within a component cannot change it, so components are exact.
 
 A text with fewer than k words is one shingle, its whole sequence. A null text, or one without words, has no shingle,
@@ -54,11 +54,11 @@ def _texts(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, lis
 
 
 def read_sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_shingles, s1 and s2 of each document, written; and the table of estimated counts."""
+    """doc_id, sig, n_shingles, s1 and s2 of each document, written; and the table of estimated counts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        names = ["is_doc", "doc_id", "n", "s1", "s2"]
+        names = ["is_doc", "doc_id", "sig", "n", "s1", "s2"]
         for batch, texts in _texts(rows):
             no, x = textops.shingle_sets(texts, k)
             s1, s2 = _signature(no, x, len(texts))
@@ -69,16 +69,16 @@ def read_sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             each, count = np.unique(x[fresh[no]], return_counts=True)
             more = count > 1
             np.add.at(cells, (each[more] % U(CELLS)).astype(np.int64), count[more])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(texts), bool)), batch.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(texts), bool)), batch.column("doc_id"), batch.column("sig"), pa.array(n), pa.array(s1), pa.array(s2)], names=names)
         cell = np.flatnonzero(cells)
         none = pa.nulls(len(cell), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cell), bool)), none, pa.array(cells[cell]), pa.array(cell), none], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cell), bool)), none, none, pa.array(cells[cell]), pa.array(cell), none], names=names)
 
-    found = common.written(docs.mapInArrow(run, "is_doc boolean, doc_id long, n long, s1 long, s2 long"), "join-sets", ["is_doc"])
+    found = common.written(docs.mapInArrow(run, "is_doc boolean, doc_id long, sig long, n long, s1 long, s2 long"), "join-sets", ["is_doc"])
     counts = found.where("not is_doc").groupBy("s1").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     table = np.ones(CELLS, np.float32)
     table[counts.column("s1").to_numpy()] += counts.column("n").to_numpy()
-    return found.where("is_doc").select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2"), table
+    return found.where("is_doc").select("doc_id", "sig", F.col("n").alias("n_shingles"), "s1", "s2"), table
 
 
 def choose_prefixes(no: np.ndarray, x: np.ndarray, docs: int, table: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,17 +152,43 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per_
     return common.written(joined.where(100 * F.col("both") >= per_cent * (F.col("all") - F.col("both"))).select("a", "b").distinct(), "join-links")
 
 
-def _enough(pairs: DataFrame, per_cent: int) -> DataFrame:
-    """Rows (a, b, na, nb, la, lb) of shared shingles as pairs that share enough and whose sizes allow the similarity."""
-    sized = pairs.where(100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb"))
-    counted = sized.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("la", "lb")).alias("least"))
-    return counted.where("shared >= least").select("a", "b", "shared")
+def _posting(c: str) -> list:
+    """Set size, number to share and place in the prefix, packed in meta, as columns of side c."""
+    return [F.shiftrightunsigned(f"m{c}", 31).alias(f"n{c}"), F.col(f"m{c}").bitwiseAND(F.lit(7)).alias(f"l{c}"), F.shiftrightunsigned(F.col(f"m{c}").bitwiseAND(F.lit((1 << 31) - 1)), 3).alias(f"p{c}")]
 
 
-def linked(docs: DataFrame, k: int = 4, per_cent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document; documents link where 100 * intersection >= per_cent * union."""
+def _overlap(before, per_cent: int):
+    """Whether the sets can share enough: what they share before places pa and pb, that one, and all that is behind either."""
+    most = before + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return (100 + per_cent) * most >= per_cent * (F.col("na") + F.col("nb"))
+
+
+def _enough(met: DataFrame, per_cent: int) -> DataFrame:
+    """Rows (a, b, ma, mb) of shared shingles as pairs that share enough in their prefixes and whose sizes and places allow the similarity."""
+    sized = met.select("a", "b", *_posting("a"), *_posting("b"))
+    counted = sized.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("la", "lb")).alias("least"), *(F.max(c).alias(c) for c in ("na", "nb", "pa", "pb")))
+    return counted.where((F.col("shared") >= F.col("least")) & _overlap(F.col("shared") - 1, per_cent)).select("a", "b", "shared")
+
+
+def _may_link(per_cent: int):
+    """Of one shared shingle, with places in both prefixes: whether the sizes and places allow the similarity."""
+    n, p = {}, {}
+    for c in "ab":
+        n[c] = F.shiftrightunsigned(f"m{c}", 31)
+        p[c] = F.shiftrightunsigned(F.col(f"m{c}").bitwiseAND(F.lit((1 << 31) - 1)), 3)
+    most = F.least(p["a"], p["b"]) + F.least(n["a"] - p["a"], n["b"] - p["b"])
+    return (100 * F.least(n["a"], n["b"]) >= per_cent * F.greatest(n["a"], n["b"])) & ((100 + per_cent) * most >= per_cent * (n["a"] + n["b"]))
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("sig"))
+
+
+def grouped(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """doc_id, sig (hash of the text), n_shingles, group (null without shingles) and component_id of each document."""
     common.ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _slim(docs)
     rows, table = read_sets(docs, k)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))["doc_id"]
     classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(first.alias("first_doc"))
@@ -171,46 +197,67 @@ def linked(docs: DataFrame, k: int = 4, per_cent: int = 85) -> DataFrame:
     keys = classes.select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), "first_doc", "node")
     own = (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))
     chosen = common.written(prefixes(docs, k, table, per_cent).join(keys, own).select("node", "n", "ell", "prefix"), "join-prefixes")
-    postings = chosen.select(F.explode("prefix").alias("shingle"), "node", "n", "ell")
+    place = F.posexplode("prefix").alias("place", "shingle")
+    meta = F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 3)).bitwiseOR(F.col("ell").cast("long"))
+    postings = chosen.select("node", "n", "ell", place).select("shingle", "node", meta.alias("meta"))
     repeated = postings.select("shingle").groupBy("shingle").count().where("count > 1").select("shingle")
     postings = common.written(postings.join(repeated, "shingle"), "join-postings")
 
-    # One leader for each shingle, in a hashed order; each class keeps the leader with which it shares most.
-    ranked = F.struct(F.xxhash64("node").alias("at"), "node", "n", "ell")
-    leaders = postings.groupBy("shingle").agg(F.min(ranked).alias("lead"))
+    # One leader for each shingle, the class most of whose prefix others have too: in a group of near copies, one with few
+    # edits of its own. Each class keeps the leader with which it shares most.
+    size = F.size("prefix")
+    typical = postings.groupBy("node").count().join(chosen.select("node", size.alias("size")), "node").select("node", (F.col("count") / F.col("size")).alias("typical"))
+    ranked = F.struct("typical", F.xxhash64("node").alias("at"), "node", "meta")
+    leaders = postings.join(typical, "node").groupBy("shingle").agg(F.max(ranked).alias("lead"))
     met = postings.join(leaders, "shingle").where("node <> lead.node")
-    met = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"), F.col("ell").alias("la"), F.col("lead.ell").alias("lb"))
+    met = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("meta").alias("ma"), F.col("lead.meta").alias("mb")).where(_may_link(per_cent))
     best = _enough(met, per_cent).groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
     links = verified(docs, common.written(best, "join-pairs"), classes, k, per_cent)
     groups = components(links)
 
-    # All candidates between different components: pairs of components that share a shingle, then their members.
-    grouped = postings.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = grouped.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    grouped = common.written(grouped.join(apart, "shingle"), "join-apart")
-    sides = grouped.select("shingle", "component").distinct()
-    ca, cb = sides.withColumnRenamed("component", "ca"), sides.withColumnRenamed("component", "cb")
-    met = ca.join(cb, "shingle").where("ca < cb")
-    for c in "ab":
-        member = grouped.select("shingle", F.col("component").alias(f"c{c}"), F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("ell").alias(f"l{c}"))
-        met = met.join(member, ["shingle", f"c{c}"])
+    # All candidates between different components.
+    apart_rows = postings.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = apart_rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    apart_rows = common.written(apart_rows.join(apart, "shingle"), "join-apart")
+    ours, theirs = (apart_rows.select("shingle", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("meta").alias(f"m{c}")) for c in "ab")
+    theirs = theirs.withColumnRenamed("shingle", "same")
+    met = ours.join(theirs, (F.col("shingle") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(per_cent))
     pairs = common.written(_enough(met, per_cent), "join-pairs")
     links = links.union(verified(docs, pairs, classes, k, per_cent))
     groups = components(links)
 
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = named.join(smallest, "component").select("s1", "s2", "component_id")
+    named = named.join(smallest, "component").select("s1", "s2", F.col("component").alias("group"), "component_id")
     found = rows.join(named, ["s1", "s2"], "left")
     lonely = F.col("n_shingles") == 0
-    return found.select("doc_id", "n_shingles", F.when(lonely, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    group = F.when(~lonely, F.col("group")).alias("group")
+    return found.select("doc_id", "sig", "n_shingles", group, F.when(lonely, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def linked(docs: DataFrame, k: int = 4, per_cent: int = 85) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document; documents link where 100 * intersection >= per_cent * union."""
+    return grouped(docs, k, per_cent).select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """The rows of docs that stay when one document of each component does, the one with the smallest doc_id, once."""
-    found = common.written(linked(docs, k, per_cent), "join-found")
-    gone = common.written(found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct(), "join-gone")
-    ids = F.broadcast(gone) if common.small_enough(gone) else gone
-    kept = docs.join(ids.withColumnRenamed("doc_id", "gone_id"), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
-    twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    return kept if twice.isEmpty() else kept.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("at = 1 or doc_id is null").drop("at")
+    """The rows of docs that stay when one document of each component does, once: the smallest doc_id, null last, then the smallest hash of the text."""
+    found = common.written(grouped(docs, k, per_cent).where("n_shingles > 0"), "join-found")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")
+    lead = found.groupBy("group").agg(F.min(rank).alias("lead"))
+    gone = found.join(lead, "group").where((F.col("sig") != F.col("lead.sig")) | ~F.col("doc_id").eqNullSafe(F.col("lead.doc_id")))
+    gone = common.written(gone.select(F.col("doc_id").alias("_join_doc"), F.col("sig").alias("_join_sig")).distinct(), "join-gone")
+    twice = found.groupBy("doc_id", "sig").count().where("count > 1").select(F.col("doc_id").alias("_join_doc"), F.col("sig").alias("_join_sig"))
+    twice = common.written(twice, "join-twice")
+    own = F.xxhash64(F.col("text").cast("string"))
+
+    def semi(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if common.small_enough(keys) else keys
+        return rows.join(keys, (own == F.col("_join_sig")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_join_doc")), how)
+
+    kept = semi(docs, gone, "left_anti")
+    if twice.isEmpty():
+        return kept
+    again = Window.partitionBy("doc_id", own).orderBy(F.to_json(F.struct(*docs.columns)))
+    once = semi(kept, twice, "left_semi").withColumn("_join_no", F.row_number().over(again)).where("_join_no = 1").drop("_join_no")
+    return semi(kept, twice, "left_anti").unionByName(once)
