@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import bpe, common
 
 
+#: Characters that a worker encodes at once.
+BATCH_CHARS = 1 << 20
+
+
 class Decoder:
     """Bytes of ids, by the reversed byte table."""
 
@@ -64,7 +68,7 @@ def _mapped(docs: DataFrame, rank_file: str, pattern: str, text: str, fields: li
         encoder, decoder = bpe.encoder_from_ranks(rank_file, pattern), decoder_for(rank_file)
         for batch in rows:
             whole = batch.column(text)
-            for start, part in bpe.batches(whole.to_pylist()):
+            for start, part in bpe.batches(whole.to_pylist(), BATCH_CHARS):
                 flat, at = encoder.encode(part)
                 out = [compute(flat[a:b], decoder) for a, b in zip(at, at[1:])]
                 same = [batch.column(f.name).slice(start, len(part)) for f in passed]
@@ -109,6 +113,17 @@ def decode(docs: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
     return kept.mapInArrow(run, StructType([*kept.schema.fields]).add("decoded", BinaryType()).add("decoded_text", StringType()))
 
 
+def encode_checked(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
+    """Adds ids, n_tokens and decoded_sha256, the hash of the bytes that the ids decode to; one worker encodes and decodes a row."""
+
+    def compute(ids: np.ndarray, decoder: Decoder):
+        return ids.astype(np.int32), len(ids), hashlib.sha256(decoder.decode(ids)).hexdigest()
+
+    fields = [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "long", pa.int64()), ("decoded_sha256", "string", pa.string())]
+    common.ship(docs.sparkSession)
+    return _mapped(docs, rank_file, pattern, text, fields, compute)
+
+
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """Encodes and decodes each text and returns digests of both instead of the lists."""
 

@@ -118,7 +118,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, s
 
         for batch in rows:
             doc_ids = batch.column("doc_id").to_pylist()
-            for start, texts in bpe.batches(batch.column("text").to_pylist()):
+            for start, texts in bpe.batches(batch.column("text").to_pylist(), 1 << 20):
                 flat, at = encoder.encode(texts)
                 for i in range(len(texts)):
                     ids = np.concatenate([flat[at[i] : at[i + 1]], end])

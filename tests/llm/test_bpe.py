@@ -111,3 +111,11 @@ def test_encode_and_decode(spark, whole):
             at += len(piece)
         assert r.split_tokens == sum((x[0] & 0xC0) == 0x80 for x in raw)
     assert byte_bpe.encode(df.where(F.lit(False)), RANKS, P.PATTERN).count() == 0
+
+
+def test_encode_checked(spark, whole):
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(ODD)], SCHEMA)
+    for r in byte_bpe.encode_checked(df, RANKS, P.PATTERN).collect():
+        assert r.ids == whole[3].encode_ordinary(r.text or "") and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert byte_bpe.encode_checked(df.where(F.lit(False)), RANKS, P.PATTERN).count() == 0
