@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows in an Arrow batch, unless the session has a number of its own: long documents make the usual 10,000 heavy.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -49,8 +51,10 @@ def small_enough(df: DataFrame, rows: int = 1_000_000) -> bool:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors of a cluster; local masters share the driver's files."""
+    """Sends this package to the executors of a cluster; local masters share the driver's files. Also bounds Arrow batches."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     if sc.master.startswith("local"):
         os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([PACKAGE_ROOT, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
         sc.environment.setdefault("PYTHONPATH", os.environ["PYTHONPATH"])
