@@ -34,6 +34,8 @@ K, PER_CENT = 5, 80
 LINE_WORDS, WINDOW, SPREAD = 25, 24, 24
 #: Words of an anchor's hash; recall at the threshold that the bands are tuned for, and bands that may be spent on it.
 ANCHOR, RECALL, MOST_BANDS = 3, 0.99, 8
+#: Characters that a worker hashes at once.
+BATCH_CHARS = 1 << 20
 U = np.uint64
 
 
@@ -135,7 +137,7 @@ class Lines:
 
 def _texts(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in rows:
-        for start, texts in bpe.batches(batch.column("text").to_pylist()):
+        for start, texts in bpe.batches(batch.column("text").to_pylist(), BATCH_CHARS):
             yield batch.slice(start, len(texts)), texts
 
 
@@ -283,14 +285,22 @@ def line_groups(docs: DataFrame, lines: DataFrame, per_cent: int) -> DataFrame:
     # Two sets of similarity t share one of the n - ceil(t * n) + 1 shingles that come first in any common order: here the rarest.
     of = apart.select("node").distinct().join(sets, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     ranked = of.join(of.groupBy("shingle").count(), "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("all"))
+    ranked = ranked.withColumn("own", F.size(F.filter("all", lambda x: x["count"] == 1)))  # these come first and are shared with nothing
     length = (F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1).cast("int")
-    rare = ranked.select("node", F.explode(F.slice("all", 1, length)).alias("x")).where("x.count > 1").select("node", F.col("x.shingle").alias("shingle"))
+    rare = ranked.select("node", "n", "own", F.posexplode(F.slice("all", 1, length)).alias("place", "x")).where("x.count > 1").select("node", "n", "place", (F.col("place") - F.col("own")).alias("shared"), F.col("x.shingle").alias("shingle"))
     keyed = common.written(apart.join(rare, "node"), "dedup-keyed")
     mixed = keyed.groupBy("band", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "shingle")
     keyed = keyed.join(mixed, ["band", "shingle"])
-    ours = keyed.select("band", "shingle", F.col("node").alias("a"), F.col("component").alias("ca"))
-    theirs = keyed.select("band", "shingle", F.col("node").alias("b"), F.col("component").alias("cb"))
-    more = ours.join(theirs, ["band", "shingle"]).where("ca <> cb and a < b").select("a", "b").distinct()
+    ours, theirs = (keyed.select("band", "shingle", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}"), F.col("shared").alias(f"s{c}")) for c in "ab")
+    theirs = theirs.withColumnsRenamed({"band": "other_band", "shingle": "other_shingle"})
+    # What two sets share lies before the places of a shared shingle in both, or behind them.
+    most = F.least("sa", "sb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    can = (100 + per_cent) * most >= per_cent * (F.col("na") + F.col("nb"))
+    met = ours.join(theirs, (F.col("band") == F.col("other_band")) & (F.col("shingle") == F.col("other_shingle")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & can)
+    shared = met.groupBy("a", "b", "band").agg(F.count("*").alias("both"), *(F.max(c).alias(c) for c in ("na", "nb", "pa", "pb")))
+    behind = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    more = shared.where((100 + per_cent) * (F.col("both") + behind) >= per_cent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+    more = common.written(more, "dedup-pairs")
     links = links.union(similar(more, sets, per_cent))
     groups = components(links, "dedup-components")
 
@@ -367,7 +377,7 @@ def _holes(texts: list[str | None], found: list[list[dict]]) -> Iterator[list[tu
 def _with_spans(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     sig = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = found.select(F.col("doc_id").alias("_dedup_doc"), F.col("sig").alias("_dedup_sig"), F.col("spans").alias("_dedup_spans"))
-    if common.small_enough(own, 100_000):
+    if common.small_enough(own, 20_000):
         own = F.broadcast(own)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_dedup_doc")) & (sig == F.col("_dedup_sig"))
     return docs.join(own, same, how).drop("_dedup_doc", "_dedup_sig")
