@@ -47,9 +47,10 @@ def _signature(no: np.ndarray, x: np.ndarray, docs: int) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def _texts(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _texts(rows: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of about size characters."""
     for batch in rows:
-        for start, texts in bpe.batches(batch.column("text").to_pylist()):
+        for start, texts in bpe.batches(batch.column("text").to_pylist(), size):
             yield batch.slice(start, len(texts)), texts
 
 
@@ -59,7 +60,7 @@ def read_sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
         names = ["is_doc", "doc_id", "sig", "n", "s1", "s2"]
-        for batch, texts in _texts(rows):
+        for batch, texts in _texts(rows, 4 << 20):  # counts need many texts together
             no, x = textops.shingle_sets(texts, k)
             s1, s2 = _signature(no, x, len(texts))
             n = np.bincount(no, minlength=len(texts))
@@ -171,12 +172,15 @@ def _enough(met: DataFrame, per_cent: int) -> DataFrame:
 
 
 def _may_link(per_cent: int):
-    """Of one shared shingle, with places in both prefixes: whether the sizes and places allow the similarity."""
+    """Of one shared shingle, with places in both prefixes: whether the sizes and places allow the similarity.
+
+    ra and rb: the shingles before it that any other prefix has; only those can be shared too.
+    """
     n, p = {}, {}
     for c in "ab":
         n[c] = F.shiftrightunsigned(f"m{c}", 31)
         p[c] = F.shiftrightunsigned(F.col(f"m{c}").bitwiseAND(F.lit((1 << 31) - 1)), 3)
-    most = F.least(p["a"], p["b"]) + F.least(n["a"] - p["a"], n["b"] - p["b"])
+    most = F.least("ra", "rb") + F.least(n["a"] - p["a"], n["b"] - p["b"])
     return (100 * F.least(n["a"], n["b"]) >= per_cent * F.greatest(n["a"], n["b"])) & ((100 + per_cent) * most >= per_cent * (n["a"] + n["b"]))
 
 
@@ -205,12 +209,14 @@ def grouped(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
 
     # One leader for each shingle, the class most of whose prefix others have too: in a group of near copies, one with few
     # edits of its own. Each class keeps the leader with which it shares most.
-    size = F.size("prefix")
-    typical = postings.groupBy("node").count().join(chosen.select("node", size.alias("size")), "node").select("node", (F.col("count") / F.col("size")).alias("typical"))
-    ranked = F.struct("typical", F.xxhash64("node").alias("at"), "node", "meta")
-    leaders = postings.join(typical, "node").groupBy("shingle").agg(F.max(ranked).alias("lead"))
+    own_rows = Window.partitionBy("node").orderBy("meta")
+    size = F.shiftrightunsigned("meta", 31) * (100 - per_cent)
+    postings = postings.withColumn("before", F.row_number().over(own_rows) - 1).withColumn("typical", F.count("*").over(Window.partitionBy("node")) / size)
+    postings = common.written(postings, "join-ranked")
+    ranked = F.struct("typical", F.xxhash64("node").alias("at"), "node", "meta", "before")
+    leaders = postings.groupBy("shingle").agg(F.max(ranked).alias("lead"))
     met = postings.join(leaders, "shingle").where("node <> lead.node")
-    met = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("meta").alias("ma"), F.col("lead.meta").alias("mb")).where(_may_link(per_cent))
+    met = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("meta").alias("ma"), F.col("lead.meta").alias("mb"), F.col("before").alias("ra"), F.col("lead.before").alias("rb")).where(_may_link(per_cent))
     best = _enough(met, per_cent).groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
     links = verified(docs, common.written(best, "join-pairs"), classes, k, per_cent)
     groups = components(links)
@@ -219,7 +225,7 @@ def grouped(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
     apart_rows = postings.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = apart_rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
     apart_rows = common.written(apart_rows.join(apart, "shingle"), "join-apart")
-    ours, theirs = (apart_rows.select("shingle", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("meta").alias(f"m{c}")) for c in "ab")
+    ours, theirs = (apart_rows.select("shingle", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("meta").alias(f"m{c}"), F.col("before").alias(f"r{c}")) for c in "ab")
     theirs = theirs.withColumnRenamed("shingle", "same")
     met = ours.join(theirs, (F.col("shingle") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(per_cent))
     pairs = common.written(_enough(met, per_cent), "join-pairs")
