@@ -3,7 +3,8 @@
 Targets: the budget is shared between sources by weight; a source's share stops at a multiple of its size, and the
 excess is shared again by weight between the others until none is above. A target is met by whole passes over the
 source and a subset of its documents for what is left. The subset is a subset-sum fit: documents are counted by exact
-length, each length gets its proportional number, and a bounded knapsack over the shorter lengths makes up the rest.
+length, each length gets its proportional number, and bounded knapsacks over ever more lengths and documents of each, in
+the end over all, make up the rest.
 Which documents of a length are taken is decided by the order of a seeded hash.
 
 Only counts by (source, length) reach a single task, never documents. Reruns give the same rows.
@@ -26,8 +27,6 @@ from ledgerloom.llm import common
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of one (source, length, bucket) that are ranked together, about.
 BUCKET_ROWS = 1_000_000
-#: Words that the knapsack may have to fill, and lengths and documents of each length that it may use.
-KNAPSACK_WORDS, KNAPSACK_LENGTHS, KNAPSACK_EACH = 1 << 18, 64, 4
 
 
 def ranked(rows: DataFrame, column: str, tag: str) -> DataFrame:
@@ -57,47 +56,71 @@ def targets(sources: DataFrame, weights: Sequence[float], most: float) -> DataFr
     return table.select("source", "no", "source_size", F.least(cap, F.lit(level) * F.col("weight")).alias("target"))
 
 
+def _near(lengths: np.ndarray, counts: np.ndarray, goal: int, over: bool) -> np.ndarray:
+    """How many documents of each length come nearest to goal words; of two as near the larger sum if over, else the smaller."""
+    have = int((lengths * counts).sum())
+    take = np.array([int(c) * goal // have for c in counts], np.int64)
+    rest, carry = goal - int((lengths * take).sum()), 0.0
+    order = [int(j) for j in np.argsort(-lengths, kind="stable") if lengths[j]]
+    for j in order:  # longest first: each length hands on what it could not take
+        carry += lengths[j] * (counts[j] * goal / have - take[j])
+        more = int(min(counts[j] - take[j], max(0, carry) // lengths[j], rest // lengths[j]))
+        take[j] += more
+        carry -= more * lengths[j]
+        rest -= more * int(lengths[j])
+    for j in order:
+        more = int(min(counts[j] - take[j], rest // lengths[j]))
+        take[j] += more
+        rest -= more * int(lengths[j])
+
+    usable = [j for j in order[::-1] if counts[j] and lengths[j] <= 2 * goal]  # a longer one is farther off than nothing
+    step = int(np.gcd.reduce(lengths[usable])) if usable else 0
+    below = goal % step if step else 0
+    best = min((below, over), (step - below, not over)) if below else (0, False)
+    gap, n, each = (rest, over and rest > 0), 8, 1
+    # Some documents of some lengths are given back and chosen anew, of ever more until the sum is as near as a multiple of step can be.
+    while usable and gap > best:
+        pool = usable[:n]
+        back = {j: int(min(take[j], each)) for j in pool}
+        at = goal - int((lengths * take).sum()) + sum(k * int(lengths[j]) for j, k in back.items())
+        limit = at + gap[0]
+        mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
+        for j in pool:
+            left, k = int(min(counts[j] - take[j] + back[j], 2 * each, limit // lengths[j])), 1
+            while left and not reach >> at & 1:
+                k = min(k, left)
+                new = (reach | reach << k * int(lengths[j])) & mask
+                if new != reach:
+                    steps.append((reach, j, k))
+                reach, left, k = new, left - k, 2 * k
+        low, high = at - ((reach & ((1 << (at + 1)) - 1)).bit_length() - 1), reach >> at
+        up = (high & -high).bit_length() - 1
+        found = min([(low, over and low > 0, at - low), *([(up, not over and up > 0, at + up)] if high else [])])
+        if found[:2] < gap:
+            gap, at = found[:2], found[2]
+            for j, k in back.items():
+                take[j] -= k
+            for before, j, k in reversed(steps):
+                if not before >> at & 1:
+                    take[j] += k
+                    at -= k * int(lengths[j])
+        if n >= len(usable) and each >= counts[usable].max():
+            break
+        n, each = 2 * n, 2 * each
+    return take
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length add up to budget words, or as near as can be found."""
+    """How many documents of each length add up to budget words, or as near as any do; of two as near the smaller sum."""
     have = int((lengths * counts).sum())
     if budget <= 0 or not have:
         return np.zeros(len(lengths), np.int64)
     if budget >= have:
         return counts.astype(np.int64)
-    take = np.array([int(c) * budget // have for c in counts], np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    rest, carry = budget - int((lengths * take).sum()), 0.0
-    for j in order:  # longest first: each length hands on what it could not take
-        carry += lengths[j] * (counts[j] * budget / have - take[j])
-        if take[j] < counts[j] and 0 < lengths[j] <= min(carry, rest):
-            take[j] += 1
-            carry -= lengths[j]
-            rest -= int(lengths[j])
-    pool = []
-    for j in order[::-1]:
-        if not lengths[j] or len(pool) == KNAPSACK_LENGTHS:
-            continue
-        back = int(min(take[j], KNAPSACK_EACH))
-        if rest + back * lengths[j] > KNAPSACK_WORDS:
-            break
-        take[j] -= back
-        rest += back * int(lengths[j])
-        pool.append(int(j))
-    reach, steps = 1, []
-    for j in pool if rest <= KNAPSACK_WORDS else ():
-        for _ in range(int(min(counts[j] - take[j], 2 * KNAPSACK_EACH))):
-            steps.append((reach, j))
-            reach |= (reach << int(lengths[j])) & ((1 << (rest + 1)) - 1)
-    at = reach.bit_length() - 1
-    for before, j in reversed(steps):
-        if not before >> at & 1:
-            take[j] += 1
-            at -= int(lengths[j])
-    gap = budget - int((lengths * take).sum())
-    spare = np.flatnonzero((take < counts) & (lengths > 0))
-    if len(spare) and abs(gap - lengths[spare]).min() < gap:  # one document more comes nearer
-        take[spare[abs(gap - lengths[spare]).argmin()]] += 1
-    return take
+    if 2 * budget <= have:
+        return _near(lengths, counts, budget, False)
+    kept = counts - _near(lengths, counts, have - budget, True)  # what is left out is less
+    return np.where(lengths > 0, kept, [int(c) * budget // have for c in counts])
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 11) -> DataFrame:

@@ -25,6 +25,23 @@ def test_fit_is_near_and_exact_where_it_can_be(sizes, budget):
     assert got == below or abs(got - budget) < budget - below
 
 
+@pytest.mark.parametrize(
+    "lengths, counts, budget, near",
+    [
+        ([10, 1_000_000], [100_000, 1], 1_000_000, 1_000_000),
+        ([512, 300_000], [10_000, 1], 512_000, 512_000),
+        ([512, 300_000], [1_000, 1], 300_000, 300_000),
+        ([512, 300_000], [3_000, 9], 300_000 * 7 + 512 * 11, 300_000 * 7 + 512 * 11),
+        ([7, 11, 400_000, 400_001], [3, 2, 5, 5], 1_600_003, 1_600_003),
+        ([4, 6, 700_000], [90_000, 50_000, 3], 1_000_001, 1_000_000),
+        ([5, 9], [200_000, 300_000], 3_699_999, 3_700_000),
+    ],
+)
+def test_fit_with_long_documents_and_few_lengths(lengths, counts, budget, near):
+    took = M.fit(np.array(lengths, np.int64), np.array(counts, np.int64), budget)
+    assert (took >= 0).all() and (took <= counts).all() and int((took * lengths).sum()) == near
+
+
 def brute_targets(sizes, weights=(5, 2, 1), most=3.0):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
