@@ -1,6 +1,6 @@
 """Substring dedup: passages that repeat across documents, found by paragraphs and removed from all documents but one.
 
-Paragraphs. Lines of at least LINE_WORDS words are compared as sets of 5-word shingles. MinHash bands, as many as the
+Paragraphs. Lines of at least LINE_WORDS words and, in texts with blank lines, what stands between those, are compared as sets of 5-word shingles. MinHash bands, as many as the
 wanted recall needs, give candidates; exact Jaccard similarity decides. Passages that do not fill a line are found by
 floating paragraphs: WINDOW words from each anchor, a place whose hash is the rightmost smallest of SPREAD neighbours.
 A floating paragraph has one band, all of its words: one other word in it takes 5 of its 20 shingles away, below
@@ -31,7 +31,7 @@ from ledgerloom.llm import bpe, common, textops
 from ledgerloom.llm.components import components
 
 K, PER_CENT = 5, 80
-LINE_WORDS, WINDOW, SPREAD = 25, 24, 24
+LINE_WORDS, WINDOW, SPREAD = 24, 24, 24
 #: Words of an anchor's hash; recall at the threshold that the bands are tuned for, and bands that may be spent on it.
 ANCHOR, RECALL, MOST_BANDS = 3, 0.99, 8
 #: Characters that a worker hashes at once.
@@ -103,14 +103,20 @@ def lines_of(texts: list[str | None], owner: np.ndarray, first: np.ndarray) -> n
 
 
 class Lines:
-    """The lines of at least LINE_WORDS words: text, first word, words, and their shingles one behind another."""
+    """The lines of at least LINE_WORDS words, and the blocks of several lines between blank ones: text, first word, words, and their shingles one behind another."""
 
     def __init__(self, texts: list[str | None], h: np.ndarray, owner: np.ndarray, first: np.ndarray):
         line = lines_of(texts, owner, first)
-        start = np.flatnonzero(np.diff(line, prepend=-1))
+        step = np.diff(line, prepend=-1)
+        start = np.flatnonzero(step)
         words = np.diff(np.append(start, len(line)))
-        long = words >= LINE_WORDS
-        start, self.words = start[long], words[long]
+        block = np.flatnonzero((step > 1) | (np.diff(owner, prepend=-1) != 0))  # a line without words has no number here
+        inside = np.diff(np.append(block, len(line)))
+        wrapped = (line[block] != line[block + inside - 1]) & (np.bincount(owner[block], minlength=1)[owner[block]] > 1)
+        start, words = np.append(start, block[wrapped]), np.append(words, inside[wrapped])
+        order = np.lexsort((words, start))
+        order = order[words[order] >= LINE_WORDS]
+        start, self.words = start[order], words[order]
         self.owner = owner[start]
         self.at = start - np.searchsorted(owner, self.owner)  # counted from the text's first word
         size = self.words - K + 1
@@ -236,18 +242,18 @@ def neighbours(docs: DataFrame, ends: DataFrame) -> DataFrame:
 
 def line_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """node and the distinct shingles of each class (node, place: its first line), written."""
-    wanted = classes.groupBy(F.col("place.doc_id").alias("d"), F.col("place.sig").alias("s")).agg(F.collect_list(F.struct(F.col("place.at").alias("at"), "node")).alias("own"))
+    wanted = classes.groupBy(F.col("place.doc_id").alias("d"), F.col("place.sig").alias("s")).agg(F.collect_list(F.struct(F.col("place.at").alias("at"), "words", "node")).alias("own"))
     found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["sig"] == F.col("s"))).dropDuplicates(["doc_id", "sig"]).select("text", "own")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(rows):
             h, owner, first, _ = textops.words(texts)
             lines = Lines(texts, h, owner, first)
-            of = {(int(o), int(a)): i for i, (o, a) in enumerate(zip(lines.owner, lines.at, strict=True))}
+            of = {(int(o), int(a), int(w)): i for i, (o, a, w) in enumerate(zip(lines.owner, lines.at, lines.words, strict=True))}
             nodes, sets = [], []
             for i, own in enumerate(batch.column("own").to_pylist()):
                 for x in own:
-                    no = of[i, x["at"]]
+                    no = of[i, x["at"], x["words"]]
                     nodes.append(x["node"])
                     sets.append(np.unique(lines.shingles[lines.bounds[no] : lines.bounds[no + 1]]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])

@@ -142,6 +142,27 @@ def test_near_copies_of_a_paragraph(spark):
     assert [r.doc_id for r in left] == [0]
 
 
+def test_near_copies_of_a_hard_wrapped_paragraph(spark):
+    rng = random.Random(8)
+    wrapped = lambda w: "\n".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12))
+    base, rows = prose(rng, 60), []
+    for d in range(20):
+        w = list(base)
+        if d:
+            w[30] = "other%d" % d
+        rows.append((d, "\n \n".join([wrapped(prose(rng, 40)), wrapped(w), wrapped(prose(rng, 40))])))
+    removed = {r.doc_id: (r.n_words, r.kept_doc_id) for r in S.passages(frame(spark, rows)).collect()}
+    assert removed.keys() == set(range(1, 20))
+    assert all(60 <= n <= 64 and kept == 0 for n, kept in removed.values())
+
+
+def test_equal_lines_of_window_words(spark):
+    rng = random.Random(12)
+    lines = [" ".join(prose(rng, S.WINDOW)) for _ in range(20)]
+    rows = [(10 * i + k, line) for i, line in enumerate(lines) for k in range(3)]
+    assert {r.doc_id for r in S.deduplicated(frame(spark, rows)).collect()} == {10 * i for i in range(20)}
+
+
 def test_cut():
     t = "ab cd\n\nef gh  ij\nkl"
     assert S.cut(t, [(7, 9)]) == "ab cd\ngh  ij\nkl"
