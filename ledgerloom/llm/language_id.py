@@ -3,7 +3,8 @@
 Each language has an n-gram model: the probability of a byte of a word given up to three bytes before it, counts of
 longer contexts backed off to shorter ones, n-grams hashed to a fixed number of cells. A document's words are drawn
 from a mixture of languages. Expectation-maximisation estimates the proportions from the words' n-gram likelihoods:
-for the best single language, then with one language more at a time, and the set with the best penalised likelihood stays.
+for the best single language, then with one language more at a time, for as long as a perfect fit of all words would still
+improve the penalised likelihood; the set with the best one stays.
 
 The models are fitted on a bounded sample of labelled documents: about FIT_DOCS of each language, drawn by a hash of
 doc_id. Everything else runs over all documents and whole texts.
@@ -31,8 +32,8 @@ UNKNOWN = "und"
 FIT_DOCS = 2000
 #: Cells of the hashed trigrams and of the 4-grams of one language.
 CELLS = 1 << 17
-#: Weight of the shorter context, steps of expectation-maximisation, languages in a mixture, penalty of each one more.
-BACK_OFF, STEPS, MOST, PENALTY = 2.0, 12, 3, 3.0
+#: Weight of the shorter context, steps of expectation-maximisation, penalty of each language more in a mixture.
+BACK_OFF, STEPS, PENALTY = 2.0, 12, 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -121,7 +122,17 @@ def mixtures(texts: list[str | None], model: Model) -> np.ndarray:
     share = chosen.astype(np.float32)
     score = alone[some, first]
     selected = chosen.copy()
-    for size in range(2, min(MOST, languages) + 1):
+    out[docs] = share
+    for size in range(2, languages + 1):
+        # No mixture fits better than base; the penalty only grows, so a document that stops here never goes on.
+        open_ = base - PENALTY * (size - 1) * np.log(total + 1) > score
+        if not open_.any():
+            break
+        if not open_.all():
+            rows = open_[row_doc]
+            rel, n, row_doc = rel[rows], n[rows], (np.cumsum(open_) - 1)[row_doc[rows]]
+            docs, base, total, score, share, selected = (x[open_] for x in (docs, base, total, score, share, selected))
+            start, some = np.searchsorted(row_doc, np.arange(len(docs))), np.arange(len(docs))
         # One language more: the one that explains best what the mixture so far explains badly.
         held = np.maximum(np.einsum("rl,rl->r", rel, share[row_doc]), 1e-30)
         gain = np.add.reduceat(n[:, None] * np.log((held[:, None] + rel / size)), start)
@@ -138,7 +149,7 @@ def mixtures(texts: list[str | None], model: Model) -> np.ndarray:
         better = fit - PENALTY * (size - 1) * np.log(total + 1) > score
         score = np.where(better, fit - PENALTY * (size - 1) * np.log(total + 1), score)
         share[better] = pi[better]
-    out[docs] = share
+        out[docs] = share
     return out
 
 

@@ -59,6 +59,23 @@ def test_mixture_against_plain_em(docs):
     assert got[2].sum() == 0 and got[3].argmax() == 2
 
 
+def test_more_than_three_languages(spark):
+    sounds = SOUNDS | {"dd": ["жи", "ло", "ств", "ый"], "ee": ["θα", "νο", "ρει", "ξυ"], "ff": ["عل", "مي", "نا", "دو"]}
+    rng = random.Random(21)
+
+    def words(lang, n):
+        return " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+    rows = [(i, words(lang, 40), lang) for i, lang in enumerate(list(sounds) * 30)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sets = [["aa"], ["aa", "cc", "dd", "ee"], list(sounds), ["bb", "ff"], ["aa", "bb", "cc"]]
+    got = L.mixtures([" ".join(words(x, 40) for x in s) for s in sets] + [None], model)
+    for s, pi in zip(sets, got):
+        assert {model.languages[i] for i in np.flatnonzero(pi > 0.01)} == set(s)
+        assert abs(pi.max() - 1 / len(s)) < 0.02
+    assert got[-1].sum() == 0
+
+
 def test_op5_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
