@@ -135,10 +135,21 @@ def _zip(d: memoryview, at: int) -> int:
 
 
 def _pdf(d: memoryview, at: int) -> int:
-    """Length of a document to its last end mark, after a cross-reference pointer, or 0."""
+    """Length of a document to its last end mark, after a cross-reference pointer and before the next document, or 0."""
     raw = bytes(d[at:])
     end = raw.rfind(b"%%EOF")
-    return end + 5 if end > 0 and raw.rfind(b"startxref", 0, end) > 0 and raw[5:6].isdigit() else 0
+    pointer = raw.rfind(b"startxref", 0, max(end, 0))
+    if pointer <= 0 or not raw[5:6].isdigit():
+        return 0
+    first = raw.find(b"%%EOF", raw.find(b"startxref"))
+    p = raw.find(b"%PDF-", first)
+    while 0 <= p < pointer:
+        opened = raw.rfind(b"stream", first, p)
+        attached = opened >= 0 and raw[opened - 3 : opened] != b"end"  # in a stream of this document
+        if raw[p + 5 : p + 6].isdigit() and not attached:
+            return raw.rfind(b"%%EOF", 0, p) + 5
+        p = raw.find(b"%PDF-", p + 5)
+    return end + 5
 
 
 #: Magic bytes, media type and validator of each format. The magic bytes are fixed values.

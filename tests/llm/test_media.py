@@ -37,6 +37,14 @@ def test_media_inside_media_and_neighbours():
         assert M.samples(make(M.padded(b"abc")), kind) == b"abc" + bytes(61)
 
 
+def test_several_documents_in_one_value():
+    two = PDF + b"\n3 0 obj\nstartxref\n40\n%%EOF"  # with an incremental update
+    whole = two + b"\n" + png() + PDF + PDF
+    assert [(whole[a : a + n], kind) for a, n, kind in M.sniff(whole)] == [(two, "application/pdf"), (png(), "image/png"), (PDF, "application/pdf"), (PDF, "application/pdf")]
+    attached = b"%PDF-1.7\nstartxref\n0\n%%EOF\nstream\n" + PDF + b"\nendstream\nstartxref\n9\n%%EOF"
+    assert M.sniff(attached + PDF) == [(0, len(attached), "application/pdf"), (len(attached), len(PDF), "application/pdf")]
+
+
 def expected(text):
     raw = (text or "").encode()
     payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
