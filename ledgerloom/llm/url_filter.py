@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import common
 
 ALLOW, BLOCK = "allow", "block"
-#: Letters of the longest word that host names are split into, and of the longest name (the limit of the name system).
-WORD_CHARS, NAME_CHARS = 24, 63
+#: Letters of the longest name (the limit of the name system), and so of the longest word that host names are split into.
+NAME_CHARS = WORD_CHARS = 63
 SMOOTHING = 1.0
 
 

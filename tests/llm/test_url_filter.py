@@ -54,6 +54,15 @@ def test_split():
     assert U.best_split("x" * 63, {}, 1) != [] and U.best_split("", known, 10) == []
 
 
+def test_long_words(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    assert U.best_split("die" + long, {long: 5, "die": 9}, 2000) == ["die", long]
+    pages = spark.createDataFrame([(f"<p>die {long} {long} die {'x' * 64}</p>",)], "html string")
+    counts = U.word_counts(pages).localCheckpoint()
+    assert {r.word: r.n for r in counts.collect()} == {"die": 2, long: 2}
+    assert U.segment(spark.createDataFrame([("die" + long,)], "name string"), counts).first().words == ["die", long]
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://Example.COM/en/7", "http://example.com/en/6", "http://a.example.com/en/77?x", "http://badexample.com/en/", "http://com/en/", "https://x.net/de/8", "https://x.example.net/de/80#t", "https://example.org?/es/", "ftp://é.org/es/é", "x://http://y.com/en/", "http://spamfarm.org/es/1", "http://spamfarm.org/fr/1", "http://goodplace.net/de/1", "http://goodplace.net/fr/1", "http://" + "q" * 200 + ".io/" + "p/" * 3000, "http://y\n.com/en/\n"]
     rows = [(i, u, "<p>spam farm &amp; good place</p><script>var x</script>") for i, u in enumerate(urls)] + [(1, "http://spamfarm.org/fr/1", None)] * 2
