@@ -14,6 +14,10 @@ MONTH_FIRST = ("M-d-yyyy", "M/d/yyyy", "M.d.yyyy", "yyyy-M-d", "yyyy/M/d", "M-d-
 PIVOT = 2069
 #: Forms of a date after a label, in the order in which they are tried. Fixed values.
 LABELLED = (r"\d{1,2}-\d{1,2}-\d{4}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{1,2}\.\d{1,2}\.\d{4}", r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}-\d{1,2}-\d{2}")
+#: Labels of the date of the formal notice. Fixed values.
+FORMAL_NOTICE, SHORT_NOTICE = "Datum formele Kennisgeving van Ontvangst", "kvo datum"
+#: What is read as a real date, with the day and with the year first. Fixed values.
+DAY_DATE, YEAR_DATE = r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", r"(\d{4})-(\d{1,2})-(\d{1,2})"
 #: Forms of a date in running text; one place can have several. Fixed values.
 IN_TEXT = (r"\d{1,2}-\d{1,2}-\d{4}", r"\d{4}-\d{1,2}-\d{1,2}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{4}/\d{1,2}/\d{1,2}")
 
@@ -36,15 +40,25 @@ def parse_column(rows: DataFrame, column: str, into: str) -> DataFrame:
 
 
 def labelled(text: Column, label: str, forms: Sequence[str] = LABELLED) -> Column:
-    """The date after a label, in the first form that is found anywhere; null if there is none."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, rf"(?i){label}\s*:?\s*({form})", 1), F.lit("")) for form in forms))
+    """The date after a label, in the first form that is found anywhere; null if there is none. The text is searched once for all forms."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?i){label}\s*:?\s*({'|'.join(forms)})"), 1)
+
+    def first(form: str) -> Column:
+        return F.get(F.filter(found, lambda m: m.rlike(f"^(?:{form})$")), F.lit(0))
+
+    return F.coalesce(*map(first, forms))
+
+
+def notified(text: Column) -> Column:
+    """The date of the formal notice: after its full label in any form, else after the short one in the first two forms."""
+    return F.coalesce(labelled(text, FORMAL_NOTICE), labelled(text, SHORT_NOTICE, LABELLED[:2]))
 
 
 def iso_or_same(text: Column) -> Column:
     """The first real date in a text as yyyy-MM-dd, else the text. Month names are not read: their form never makes a date."""
     plain = F.trim(text)
-    day_first = F.regexp_extract(plain, r"(\d{1,2})[/-](\d{1,2})[/-](\d{4})", 0)
-    year_first = F.regexp_extract(plain, r"(\d{4})-(\d{1,2})-(\d{1,2})", 0)
+    day_first = F.regexp_extract(plain, DAY_DATE, 0)
+    year_first = F.regexp_extract(plain, YEAR_DATE, 0)
     found = F.coalesce(F.try_to_date(F.replace(day_first, F.lit("/"), F.lit("-")), "d-M-yyyy"), F.try_to_date(year_first, "yyyy-M-d"))
     return F.when(F.length(text) == 0, None).otherwise(F.coalesce(F.date_format(found, "yyyy-MM-dd"), plain))
 

@@ -51,3 +51,15 @@ def row_is_empty(columns: Sequence[str]) -> Column:
     """All cells null, or all cells the empty text; a row that mixes both is not empty."""
     cells = F.array(*(F.col(c).cast("string") for c in columns))
     return F.forall(cells, lambda c: c.isNull()) | F.forall(cells, lambda c: F.coalesce(c == "", F.lit(False)))
+
+
+def missing_keys(document: Column, required: Sequence[str]) -> Column:
+    """Of a JSON object's text, the required keys that it lacks, in order; null for a text that is no JSON object."""
+    keys = F.when(F.try_parse_json(document).isNotNull(), F.json_object_keys(document))
+    lacking = F.filter(F.array(*map(F.lit, required)).cast("array<string>"), lambda k: ~F.array_contains(keys, k))
+    return F.when(keys.isNotNull(), lacking)
+
+
+def has_keys(document: Column, required: Sequence[str]) -> Column:
+    """Whether a text is a JSON object with all required keys."""
+    return F.coalesce(F.size(missing_keys(document, required)) == 0, F.lit(False))

@@ -36,6 +36,11 @@ def page_tokens(size_mb: Column) -> Column:
     return F.floor(size_mb * 1024 / PAGE_KIB) * TOKENS_PER_PAGE
 
 
+def time_limit(size_mb: Column) -> Column:
+    """Seconds that an extraction may take, by the size of its file."""
+    return F.when(size_mb > 8, 1200).when(size_mb > 5, 900).otherwise(600)
+
+
 def ratio_class(ratio: Column) -> Column:
     """large over 2, small under 0.5, else similar; none for a ratio of 0."""
     return F.when(ratio > 2, "large").when((ratio < 0.5) & (ratio > 0), "small").when(ratio > 0, "similar")

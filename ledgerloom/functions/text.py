@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that a fuzzy comparison ignores. Fixed values.
 FILLER_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
 #: Words of text that a comparison by meaning ignores besides those above. Fixed values.
-STOP_WORDS = tuple(
-    """is are was were be been being have has had do does did will would could should may might can must shall
-    this that these those it its they them their from into through during before after above below up down out off over
-    under again further then once here there when where why how all any both each few more most other some such no nor
-    not only own same so than too very just now also well even still back like way year day time work people man woman
-    child number part thing case point place group company business information data system program question problem fact
-    government hand eye life world head face month week hour minute second morning afternoon evening night today tomorrow
-    yesterday""".split()
+STOP_WORDS = (
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can",
+    "must", "shall", "this", "that", "these", "those", "it", "its", "they", "them", "their", "from", "into", "through", "during", "before", "after", "above",
+    "below", "up", "down", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any",
+    "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just", "now",
+    "also", "well", "even", "still", "back", "like", "way", "year", "day", "time", "work", "people", "man", "woman", "child", "number", "part", "thing",
+    "case", "point", "place", "group", "company", "business", "information", "data", "system", "program", "question", "problem", "fact", "government", "hand",
+    "eye", "life", "world", "head", "face", "month", "week", "hour", "minute", "second", "morning", "afternoon", "evening", "night", "today", "tomorrow",
+    "yesterday",
 )
 #: Strings that mark a text as holding data. Fixed values.
-KEY_INDICATORS = tuple(
-    """salary wage payment amount cost price fee percentage percent % rate increase decrease duration period time month
-    year week day date deadline expiry valid contract agreement employee worker staff personnel member benefit allowance bonus
-    compensation remuneration hour overtime shift schedule roster leave vacation holiday sick maternity paternity""".split()
+KEY_INDICATORS = (
+    "salary", "wage", "payment", "amount", "cost", "price", "fee", "percentage", "percent", "%", "rate", "increase", "decrease", "duration", "period", "time",
+    "month", "year", "week", "day", "date", "deadline", "expiry", "valid", "contract", "agreement", "employee", "worker", "staff", "personnel", "member",
+    "benefit", "allowance", "bonus", "compensation", "remuneration", "hour", "overtime", "shift", "schedule", "roster", "leave", "vacation", "holiday", "sick",
+    "maternity", "paternity",
 )
 
 
@@ -94,6 +98,41 @@ def repair_json(text: Column, keys: Sequence[str], limit: int = 1000) -> Column:
     return F.coalesce(valid(strip(text)), valid(cleaned), rebuilt, fallback)
 
 
+#: A quoted string: a quote of its kind inside it is one that a letter, a digit or one of these characters follows. Fixed values.
+_QUOTED = re.compile(r"""(["'])((?:\\.|(?!\1)[^\\]|\1(?=[^\W_]|[ ,.:;()%+/-]))*)""", re.S)
+_IN_STRING = re.compile(r"""\\(["\\/bfnrt])|\\|["'\n\r]""")
+
+
+def _mended(text: str) -> str:
+    """Inside quoted strings: line breaks and quotes escaped, and backslashes that escape nothing doubled."""
+    named = {"\n": "\\n", "\r": "\\r", "\\": "\\\\"}
+    inner = lambda m: m[0] if m[1] else named.get(m[0], "\\" + m[0])
+    return _QUOTED.sub(lambda m: m[1] + _IN_STRING.sub(inner, m[2]), text + "\0").removesuffix("\0")
+
+
+def sanitized_strings(text: Column) -> Column:
+    """A malformed JSON text with its strings mended as far as can be told; in Arrow batches, as a string's end depends on all before it."""
+
+    @F.pandas_udf("string")
+    def mended(texts: pd.Series) -> pd.Series:
+        return texts.map(_mended, na_action="ignore")
+
+    return mended(text)
+
+
+def picked_text(finish: Column, parsed: Column, text: Column, parts: Column) -> Column:
+    """The text of a model's response and how it ended: '' if it was blocked, else what was parsed, the text, or its parts joined; null if there is nothing.
+
+    Joined parts that look like a JSON object and are none lose their control characters, if that makes them one.
+    """
+    joined = F.nullif(F.array_join(F.array_compact(parts), ""), F.lit(""))
+    plain = drop_controls(joined)
+    broken = strip(joined).rlike(r"(?s)^\{.*\}$") & F.try_parse_json(joined).isNull() & F.try_parse_json(plain).isNotNull()
+    blocked = F.coalesce(~finish.isin("", "STOP", "MAX_TOKENS"), F.lit(False))
+    found = F.coalesce(F.nullif(parsed, F.lit("")), F.nullif(text, F.lit("")), F.when(broken, plain).otherwise(joined))
+    return F.struct(F.when(blocked, "").otherwise(found).alias("text"), F.coalesce(F.nullif(finish, F.lit("")), F.lit("STOP")).alias("finish"))
+
+
 def drop_controls(text: Column) -> Column:
     """Without control characters but line feeds; tabs go too."""
     return F.regexp_replace(text, r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
@@ -106,12 +145,12 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def replace_matches(text: Column, pattern: str, group: str, decode) -> Column:
-    """text with each match of pattern replaced by decode(match of group, match): what a replacement callback does."""
+def replace_matches(text: Column, pattern: str, mark: str, decode: Callable[[Column], Column]) -> Column:
+    """text with each match of pattern replaced by decode(match), or left where that is null: what a replacement callback does. Texts without mark have no match."""
     between = F.split(text, pattern)
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    new = F.transform(found, lambda m: F.coalesce(decode(F.regexp_extract(m, group, 1)), m))
-    return F.array_join(F.zip_with(between, F.array_append(new, F.lit("")), lambda a, b: F.concat(a, b)), "")
+    new = F.transform(found, lambda m: F.coalesce(decode(m), m))
+    return F.when(F.contains(text, F.lit(mark)), F.array_join(F.zip_with(between, F.array_append(new, F.lit("")), lambda a, b: F.concat(a, b)), "")).otherwise(text)
 
 
 def _utf16(code: Column) -> Column:
@@ -126,14 +165,14 @@ def _code_point(digits: Column) -> Column:
 
 def decode_uni(text: Column) -> Column:
     """Decodes /uniXXXX/, then uniXXXX without slashes."""
-    slashed = replace_matches(text, UNI, "([0-9a-fA-F]{4})/", _utf16)
-    return replace_matches(slashed, "uni[0-9a-fA-F]{4}", "uni([0-9a-fA-F]{4})", _utf16)
+    slashed = replace_matches(text, UNI, "/uni", lambda m: _utf16(F.substr(m, F.lit(5), F.lit(4))))
+    return replace_matches(slashed, "uni[0-9a-fA-F]{4}", "uni", lambda m: _utf16(F.substr(m, F.lit(4), F.lit(4))))
 
 
 def decode_glyphs(text: Column) -> Column:
     """Decodes /G and a decimal code point, then G and a code point; those out of range stay."""
-    slashed = replace_matches(text, GLYPH, "([0-9]+)", _code_point)
-    return replace_matches(slashed, "G[0-9]+", "([0-9]+)", _code_point)
+    slashed = replace_matches(text, GLYPH, "/G", lambda m: _code_point(F.substr(m, F.lit(3))))
+    return replace_matches(slashed, "G[0-9]+", "G", lambda m: _code_point(F.substr(m, F.lit(2))))
 
 
 def clean_slashes(text: Column, few_breaks: bool = False) -> Column:
@@ -177,13 +216,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
+def characters(text: Column) -> Column:
+    """The distinct characters of a text in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), "")), lambda c: c != "")
+
+
 def character_similarity(a: Column, b: Column) -> Column:
-    chars = lambda x: F.filter(F.split(F.lower(x), ""), lambda c: c != "")
-    return jaccard(chars(a), chars(b))
+    return jaccard(characters(a), characters(b))
 
 
 def key_terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(meaning(text), " "), lambda w: F.length(w) > 3))
+    """The distinct words of meaning() with over three characters."""
+    words_ = F.split(F.regexp_replace(F.lower(text), r"(?U)[^\w]+", " "), " ")
+    return F.array_distinct(F.filter(words_, lambda w: (F.length(w) > 3) & ~w.isin(*FILLER_WORDS, *STOP_WORDS)))
 
 
 def term_similarity(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates
 from ledgerloom.functions import text as T
 
+#: What is read as a number, a percentage and an amount of money in a text. Fixed values.
 NUMBER, PERCENT, MONEY = r"\b(\d+(?:\.\d+)?)\b", r"(\d+(?:\.\d+)?)\s*%", r"[€$£]\s*(\d+(?:,\d{3})*(?:\.\d{2})?)"
 
 

@@ -38,6 +38,18 @@ def presence(files: DataFrame, by: str, flag: Column) -> DataFrame:
     return rows.agg((F.avg(value) * 100).alias("per_cent"), F.count("*").alias("files"), F.sum(value).cast("long").alias("with_flag"))
 
 
+def most_present(shares: DataFrame, name: str, by: str, n: int = 3) -> DataFrame:
+    """The n names with the largest shares, in order (a report's feature)."""
+    return shares.orderBy(F.desc_nulls_last(by), F.asc(name)).limit(n)
+
+
+def last_known(rows: DataFrame, at: str, value: str) -> DataFrame:
+    """The row with the greatest at among those that have a value; none for no such row. One pass with partial aggregates."""
+    known = rows.where(F.col(value).isNotNull() & F.col(at).isNotNull())
+    last = known.agg(F.max(F.struct(at, *(c for c in rows.columns if c != at))).alias("_last")).where("_last is not null")
+    return last.select(*(F.col(f"_last.{c}").alias(c) for c in rows.columns))
+
+
 def missing_share(files: DataFrame, by: str, flags: Sequence[str]) -> DataFrame:
     """by, name and per cent of files without each flag, long form."""
     shares = [(F.avg(F.when(F.col(c), 0).otherwise(1)) * 100).alias(c) for c in flags]

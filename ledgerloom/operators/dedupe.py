@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranges import placed
+
 
 def keep(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order, which must decide between all rows of a key."""
@@ -42,16 +44,15 @@ def unique_names(rows: DataFrame, keys: Sequence[str], name: str, order: str, in
 
 
 def assigned(rows: DataFrame, order: Sequence[str], total: int) -> DataFrame:
-    """Adds worker, the row's place in the order modulo total. One range-partitioned sort and a sum a range, no single task over all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("_id", 33)
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_part", before.alias("_start"))
-    place = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.withColumn("_part", part).join(starts, "_part").withColumn("worker", (place % total).cast("int")).drop("_id", "_part", "_start")
+    """Adds worker, the row's place in the order modulo total; the order must decide between all rows."""
+    return placed(rows, order, "_place").withColumn("worker", (F.col("_place") % total).cast("int")).drop("_place")
+
+
+def shuffle_key(key: str, seed: int) -> Column:
+    """Where a row stands in a seeded order."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """A seeded order of the rows that does not depend on how they are partitioned."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    return rows.orderBy(shuffle_key(key, seed), key)

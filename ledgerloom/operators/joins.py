@@ -67,6 +67,11 @@ def reconciled(inventories: dict[str, DataFrame], checks: Sequence[tuple[str, st
     return out
 
 
+def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of left rows that no right row has: what a comparison reports as without a match."""
+    return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def field_differences(left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """key, field and the values that only the left or only the right rows of a key have, for fields that differ; keys that both have."""
     def values(df: DataFrame, into: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Days of an average month. Fixed value.
 DAYS_PER_MONTH = 30.4375
 
+from ledgerloom.operators.ranges import running
+
 
 def months(days):
     return days / F.lit(DAYS_PER_MONTH)
@@ -91,10 +93,9 @@ def histogram(rows: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, column: str, into: str) -> DataFrame:
-    """Adds the rank of each value, ties sharing the mean of their places. Ranks come from counts of distinct values, so only those are sorted."""
+    """Adds the rank of each value, ties sharing the mean of their places. Ranks come from counts of distinct values, summed range by range."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(column, (before + (F.col("_n") + 1) / 2).alias(into))
+    ranks = running(counts, column, "_n", "_smaller").select(column, (F.col("_smaller") + (F.col("_n") + 1) / 2).alias(into))
     return rows.join(ranks, column, "left")
 
 

@@ -19,6 +19,7 @@ KIND_COLUMNS = {
     "Training": ("training",),
     "Homeoffice": ("Homeoffice",),
 }
+#: Columns of a contract's dates. Fixed values.
 CONTRACT = ("start_date_contract", "expiry_date_contract")
 #: Topics of a document in order, and its parts. Fixed values.
 TOPICS = ("general", "wage", "pension", "leave", "termination", "overtime", "training", "homeoffice")

@@ -59,7 +59,7 @@ def errors(log: DataFrame) -> DataFrame:
 
 
 def retry_class(message: Column) -> Column:
-    """Which rule of repetition an error text falls under; the first that fits."""
+    """Which rule of repetition an error text falls under; the first that fits. The words of each rule are fixed values."""
     m = F.lower(message)
     has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(m, w))
     quota = has("quota", "429")

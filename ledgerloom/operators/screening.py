@@ -24,6 +24,13 @@ def file_validity(size: Column, suffix: Column, wanted: str = ".md") -> Column:
     )
 
 
+def pdf_validity(size: Column, name: Column, head: Column) -> Column:
+    """valid, or the first reason against a PDF file: as file_validity, and its first bytes must be those of a PDF."""
+    reason = file_validity(size, F.lower(F.regexp_extract(name, r"\.[^.]+$", 0)), ".pdf")
+    is_pdf = F.startswith(head, F.lit(b"%PDF").cast("binary"))
+    return F.when((reason == "valid") & ~F.coalesce(is_pdf, F.lit(False)), "no PDF header").otherwise(reason)
+
+
 def page_text(has_images: Column, native: Column, ocr: Column) -> tuple[Column, Column]:
     """A page's text and whether it is recognised text: pages with images or without text of their own are recognised; what is left empty is marked."""
     used = has_images | (F.length(F.coalesce(native, F.lit(""))) == 0)

@@ -64,6 +64,16 @@ def benefit_totals(s, d):
     return means.join(sums, "benefit")
 
 
+def top_benefits(s, d):
+    return C.most_present(benefit_totals(s, d), "benefit", "per_cent")
+
+
+def last_year(s, d):
+    """The last year that has files with salary tables, with its figures."""
+    rows = C.presence(files(s, d).withColumn("year", F.year("last_start")), "year", F.col("salary_tables") > 0)
+    return C.last_known(rows.withColumn("per_cent", F.when(F.col("with_flag") > 0, F.col("per_cent"))), "year", "per_cent")
+
+
 def audit(s, d):
     return C.audit(records(s, d), BENEFITS)
 
@@ -76,7 +86,7 @@ def kept_rows(s, d):
         F.count("*").alias("n"),
         counted(missing.any_content(cells)).alias("with_content"),
         counted(missing.any_content(cells, missing.CELL_PLACEHOLDERS)).alias("with_cells"),
-        counted(missing.row_is_empty([*SALARIES, "leave_days"])).alias("mixed_empty"),
+        counted(missing.row_is_empty([*SALARIES, "pension_age"])).alias("empty_with_pension"),
         counted(missing.row_is_empty(SALARIES)).alias("empty"),
         counted(missing.is_truthy(F.col("leave_days"))).alias("truthy"),
         counted(missing.has_text(F.col("leave_days"))).alias("with_text"),
@@ -84,7 +94,7 @@ def kept_rows(s, d):
 
 
 def mean_of_means(s, d):
-    """Benefits by part of the market: the mean of customers' means, and the largest segment first."""
+    """Benefits by part of the market: the mean of customers' means."""
     customers = table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
     per_key = files(s, d).where("k is not null").groupBy("k").agg(F.avg("salary_tables").alias("mean_tables"))
     return per_key.join(customers, "k").groupBy("c_mktsegment").agg(F.avg("mean_tables").alias("mean_tables"), F.count("*").alias("n"))
@@ -104,7 +114,7 @@ def _coverage_sql():
     return ORACLES["coverage_summary"]
 
 
-QUERIES = {"content_files": files, "salary_presence": presence_by_key, "benefit_by_year": presence_by_year, "benefit_missing": missing_by_key, "benefit_totals": benefit_totals, "benefit_audit": audit, "record_filters": kept_rows, "benefit_segments": mean_of_means, "coverage_and_content": coverage_and_content}
+QUERIES = {"content_files": files, "salary_presence": presence_by_key, "benefit_by_year": presence_by_year, "benefit_missing": missing_by_key, "benefit_totals": benefit_totals, "top_benefits": top_benefits, "last_salary_year": last_year, "benefit_audit": audit, "record_filters": kept_rows, "benefit_segments": mean_of_means, "coverage_and_content": coverage_and_content}
 
 FLAG_SQL = " UNION ALL ".join(f"SELECT k, '{c}' AS name, avg(CASE WHEN {e} THEN 0 ELSE 1 END) * 100 AS missing FROM f WHERE k IS NOT NULL GROUP BY k" for c, e in (("has_salary", "salary_tables > 0"), ("has_pension", "has_pension"), ("has_leave", "has_leave"), ("has_overtime", "has_overtime")))
 TOTAL_SQL = " UNION ALL ".join(f"SELECT '{c}' AS benefit, avg({c}::INT) * 100 AS per_cent, count(*) FILTER ({c}) AS files FROM f" for c in ("has_pension", "has_leave", "has_overtime"))
@@ -114,11 +124,13 @@ ORACLES = {
     "benefit_by_year": f"WITH {FILES} SELECT year(first_start) AS year, avg(has_pension::INT) * 100 AS per_cent, count(*) AS files, sum(has_pension::INT) AS with_flag FROM f GROUP BY 1",
     "benefit_missing": f"WITH {FILES} {FLAG_SQL}",
     "benefit_totals": f"WITH {FILES} {TOTAL_SQL}",
+    "top_benefits": f"WITH {FILES} SELECT * FROM ({TOTAL_SQL}) ORDER BY per_cent DESC, benefit LIMIT 3",
+    "last_salary_year": f"WITH {FILES} SELECT year(last_start) AS year, avg((salary_tables > 0)::INT) * 100 AS per_cent, count(*) AS files, sum((salary_tables > 0)::INT) AS with_flag FROM f GROUP BY 1 HAVING sum((salary_tables > 0)::INT) > 0 ORDER BY year DESC LIMIT 1",
     "benefit_audit": f"""WITH {RECORDS}, n AS (SELECT count(pension_age) AS a, count(*) FILTER (flag = 'x') AS b, count(*) FILTER (leave_days = 'Empty') AS c, count(overtime) AS d FROM r)
  SELECT 'pension' AS benefit, 'pension_age' AS "column", a AS non_empty_rows, '' AS matched_multiple FROM n UNION ALL SELECT 'pension', 'flag', b, 'pension,overtime' FROM n
  UNION ALL SELECT 'leave', 'leave_days', c, '' FROM n UNION ALL SELECT 'overtime', 'overtime', d, '' FROM n UNION ALL SELECT 'overtime', 'flag', b, 'pension,overtime' FROM n""",
     "record_filters": f"""WITH {RECORDS}, x AS (SELECT *, coalesce(cell, '') = 'v' OR pension_age IS NOT NULL OR overtime IS NOT NULL OR flag IS NOT NULL AS filled FROM r)
- SELECT year(s) AS year, count(*) AS n, count(*) FILTER (filled) AS with_content, count(*) FILTER (filled OR leave_days = ' ') AS with_cells, 0 AS mixed_empty,
+ SELECT year(s) AS year, count(*) AS n, count(*) FILTER (filled) AS with_content, count(*) FILTER (filled OR leave_days = ' ') AS with_cells, count(*) FILTER (cell IS NULL AND pension_age IS NULL) AS empty_with_pension,
  count(*) FILTER (cell IS NULL) AS empty, count(*) FILTER (leave_days <> '') AS truthy, count(*) FILTER (leave_days = 'Empty') AS with_text FROM x GROUP BY 1""",
     "benefit_segments": f"WITH {FILES}, m AS (SELECT k, avg(salary_tables) AS a FROM f WHERE k IS NOT NULL GROUP BY k) SELECT c_mktsegment, avg(a) AS mean_tables, count(*) AS n FROM m JOIN customer ON k = c_custkey GROUP BY 1",
     "coverage_and_content": f"WITH {FILES}, cov AS ({_coverage_sql()}), m AS (SELECT k, avg(salary_tables) AS mean_tables FROM f WHERE k IS NOT NULL GROUP BY k) SELECT m.k, num_gaps, coverage_months, mean_tables FROM m JOIN cov ON m.k = cov.k",

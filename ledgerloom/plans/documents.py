@@ -19,8 +19,15 @@ def neighbours(s, d):
 
 
 def similarity(s, d):
-    a, b = F.col("text"), F.col("other")
-    rows = neighbours(s, d).select("doc_id", T.character_similarity(a, b).alias("characters"), T.term_similarity(a, b).alias("terms"), F.size(F.array_except(F.array_distinct(T.words(a)), F.array_distinct(T.words(b)))).cast("long").alias("only_here"))
+    """Each document against the next: what is compared is taken from each text once, and only that is brought together."""
+    t = F.col("text")
+    one = table(s, d, "documents").select("doc_id", T.characters(t).alias("characters"), T.key_terms(t).alias("terms"), F.array_distinct(T.words(t)).alias("words"), (F.length(t) == 0).alias("none"))
+    parts = ["characters", "terms", "words", "none"]
+    sides = one.select(F.explode(F.array(F.struct(F.col("doc_id").alias("pair"), F.lit("a").alias("side")), F.struct((F.col("doc_id") - 1).alias("pair"), F.lit("b").alias("side")))).alias("at"), F.struct(*parts).alias("of"))
+    held = lambda x: F.first(F.when(F.col("at.side") == x, F.col("of")), ignorenulls=True).alias(x)
+    both = sides.groupBy(F.col("at.pair").alias("doc_id")).agg(held("a"), held("b")).where("a is not null and b is not null")
+    terms = F.when(F.col("a.none") & F.col("b.none"), 1.0).when(F.col("a.none") | F.col("b.none"), 0.0).otherwise(T.jaccard(F.col("a.terms"), F.col("b.terms")))
+    rows = both.select("doc_id", T.jaccard(F.col("a.characters"), F.col("b.characters")).alias("characters"), terms.alias("terms"), F.size(F.array_except("a.words", "b.words")).cast("long").alias("only_here"))
     return rows.withColumns({"characters": F.round("characters", 6), "terms": F.round("terms", 6)}).withColumn("alike", (F.col("characters") >= 0.8) & (F.col("terms") >= 0.6))
 
 
@@ -57,6 +64,18 @@ def hidden(s, d):
     return neighbours(s, d).select("doc_id", S.hidden_issues(F.col("text"), F.col("other"), ocr).alias("issues")).select("doc_id", F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
+HIDDEN = rf"""WITH p AS (SELECT a.doc_id, CASE WHEN starts_with(a.text, 'ERROR') THEN '' ELSE coalesce(a.text, '') END AS na, CASE WHEN starts_with(b.text, 'ERROR') THEN '' ELSE coalesce(b.text, '') END AS la,
+ CASE WHEN a.doc_id % 10 = 0 THEN '' ELSE array_to_string(string_split(a.text, ' ')[1:CAST(ceil(len(string_split(a.text, ' ')) / 2) AS INTEGER)], ' ') END AS r FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+o AS (SELECT na, la, CASE WHEN starts_with(r, 'ERROR') THEN '' ELSE r END AS oc, list_transform(string_split(la, chr(10)), lambda l: length(regexp_replace(l, '^\s+|\s+$', '', 'g')) > 200) AS long FROM p),
+w AS (SELECT *, length(na) AS a, length(la) AS b, length(oc) AS c, regexp_extract_all(lower(na), '{W}+') AS n1, regexp_extract_all(lower(oc), '{W}+') AS o1, {distinct_words('na')} AS wa, {distinct_words('la')} AS wb, {distinct_words('oc')} AS wc, list_position(long, true) AS pos FROM o),
+x AS (SELECT *, CASE WHEN pos > 0 THEN string_split(la, chr(10))[1:pos - 1] ELSE string_split(la, chr(10)) END AS seen, len(n1) / nullif(len(o1), 0)::DOUBLE AS q FROM w),
+f AS (SELECT unnest([CASE WHEN a > 0 AND b > 0 AND abs(a - b) / greatest(a, b)::DOUBLE > 0.2 THEN 'methods differ' END, CASE WHEN a > 0 AND c > 0 AND c / a::DOUBLE > 1.5 THEN 'more recognised' END, CASE WHEN b > a * 1.3 THEN 'more in layout' END,
+ CASE WHEN pos > 0 THEN 'long line' END, CASE WHEN len(list_filter(seen, lambda l: len(list_filter({in_list(S.HIDDEN_WORDS)}, lambda k: contains(lower(l), k))) > 0)) > 0 THEN 'annotation' END,
+ CASE WHEN c > 0 AND len(list_filter(wc, lambda v: NOT list_contains(wa, v) AND NOT list_contains(wb, v))) > 10 THEN 'only recognised' END, CASE WHEN a > 0 AND c > 0 AND len(wa) - len(list_intersect(wa, wc)) > 10 THEN 'only native' END,
+ CASE WHEN a > 0 AND c > 0 AND len(wb) - len(list_intersect(wb, wc)) > 10 THEN 'only layout' END, CASE WHEN q > 1.3 THEN 'more words native' END, CASE WHEN q < 0.7 AND q > 0 THEN 'more words recognised' END]) AS issue FROM x)
+SELECT issue, count(*) AS n FROM f WHERE issue IS NOT NULL GROUP BY 1"""
+
+
 def pages(s, d):
     """Conversations as documents of pages: which text a page gets."""
     c = table(s, d, "conversations")
@@ -99,13 +118,15 @@ def matched(s, d):
 
 
 def match_levels(s, d):
-    rows = C.matches(lists(s, d), ["conv_id"], "a", "b").withColumn("change", F.when(F.col("conv_id") % 6 == 5, "cut").otherwise((F.col("conv_id") % 6).cast("string")))
-    levels = [c for c in rows.columns if c.endswith("_match") and c != "data_match"]
-    return rows.where("change <> 'cut'").groupBy("change").agg(*(F.bool_and(c).alias(c) for c in levels))
+    rows = C.matches(lists(s, d), ["conv_id"], "a", "b").withColumn("change", (F.col("conv_id") % 6).cast("string"))
+    levels = [c for c in rows.columns if c.endswith("_match")]
+    return rows.groupBy("change").agg(*(F.bool_and(c).alias(c) for c in levels))
 
 
 MATCH_LEVELS = """SELECT change, change = '0' AS hash_match, change = '0' AS strict_match, change IN ('0', '1') AS flexible_match, change IN ('0', '1', '2') AS very_flexible_match,
- change IN ('0', '1', '2', '3') AS fuzzy_match, true AS meaning_match FROM (SELECT DISTINCT CAST(conv_id % 6 AS VARCHAR) AS change FROM conversations WHERE conv_id % 6 < 5)"""
+ change IN ('0', '1', '2', '3') AS fuzzy_match, change <> '5' AS meaning_match, true AS data_match FROM (SELECT DISTINCT CAST(conv_id % 6 AS VARCHAR) AS change FROM conversations)"""
+ALL_MATCH = """SELECT count(DISTINCT conv_id) AS pairs, bool_and(conv_id % 6 = 0) AS hash_all, bool_and(conv_id % 6 = 0) AS strict_all, bool_and(conv_id % 6 < 2) AS flexible_all, bool_and(conv_id % 6 < 3) AS very_flexible_all,
+ bool_and(conv_id % 6 < 4) AS fuzzy_all, bool_and(conv_id % 6 < 5) AS meaning_all, true AS data_all FROM conversations"""
 
 
 def list_differences(s, d):
@@ -121,8 +142,8 @@ COLUMNS = ["salary_1", "jobgroup", "training", "Homeoffice", "vacation_time", "s
 
 def items(s, d):
     c = table(s, d, "conversations")
-    wages = c.where("role = 'user'").select("conv_id", "turn", F.left("text", F.lit(20)).alias("salary_1"), F.when(F.col("turn") % 4 == 0, "all").alias("jobgroup"), F.lit("x").alias("unknown"))
-    others = c.where("role <> 'user'").select("conv_id", "turn", F.left("text", F.lit(10)).alias("training"), F.when(F.col("turn") > 2, "25").otherwise("").alias("vacation_time"), F.when(F.col("turn") < 4, F.concat(F.lit("2020-01-0"), "turn")).alias("start_date_contract"), F.lit("").alias("expiry_date_contract"))
+    wages = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("salary_1"), F.when(F.col("turn") % 4 == 0, "all").alias("jobgroup"), F.lit("x").alias("unknown"))
+    others = c.where("role <> 'user'").select("conv_id", "turn", F.col("text").alias("training"), F.when(F.col("turn") > 2, "25").otherwise("").alias("vacation_time"), F.when(F.col("turn") < 4, F.concat(F.lit("2020-01-0"), "turn")).alias("start_date_contract"), F.lit("").alias("expiry_date_contract"))
     return wages, others
 
 
@@ -130,9 +151,9 @@ def fan_out(s, d):
     return R.fan_out(*items(s, d), "conv_id", "turn", COLUMNS)
 
 
-FAN_OUT = """WITH o AS (SELECT conv_id, turn, text[:10] AS training, CASE WHEN turn > 2 THEN '25' ELSE '' END AS vacation_time, CASE WHEN turn < 4 THEN '2020-01-0' || turn ELSE '' END AS start FROM conversations WHERE role <> 'user'),
+FAN_OUT = """WITH o AS (SELECT conv_id, turn, text AS training, CASE WHEN turn > 2 THEN '25' ELSE '' END AS vacation_time, CASE WHEN turn < 4 THEN '2020-01-0' || turn ELSE '' END AS start FROM conversations WHERE role <> 'user'),
 k AS (SELECT unnest(['Pension', 'Leave', 'Termination', 'Overtime', 'Training', 'Homeoffice']) AS infotype)
-SELECT conv_id, turn AS item, 'Wage' AS infotype, text[:20] AS salary_1, CASE WHEN turn % 4 = 0 THEN 'all' ELSE '' END AS jobgroup, '' AS training, '' AS "Homeoffice", '' AS vacation_time,
+SELECT conv_id, turn AS item, 'Wage' AS infotype, text AS salary_1, CASE WHEN turn % 4 = 0 THEN 'all' ELSE '' END AS jobgroup, '' AS training, '' AS "Homeoffice", '' AS vacation_time,
  coalesce((SELECT start FROM o WHERE o.conv_id = c.conv_id AND start <> '' ORDER BY turn DESC LIMIT 1), '') AS start_date_contract, '' AS expiry_date_contract FROM conversations c WHERE role = 'user'
 UNION ALL SELECT conv_id, turn, infotype, '', '', CASE WHEN infotype = 'Training' THEN training ELSE '' END, '', CASE WHEN infotype = 'Leave' THEN vacation_time ELSE '' END, start, '' FROM o, k"""
 
@@ -172,6 +193,8 @@ ORACLES = {
     "markdown_documents": MARKDOWN,
     "markdown_table": "SELECT -2 AS n, '| n_nationkey | n_name |' AS line UNION ALL SELECT -1, '| --- | --- |' UNION ALL SELECT n_nationkey, '| ' || n_nationkey || ' | ' || trim(n_name) || ' |' FROM nation",
     "match_levels": MATCH_LEVELS,
+    "all_match": ALL_MATCH,
+    "hidden_text": HIDDEN,
     "list_differences": LIST_DIFFERENCES,
     "record_fan_out": FAN_OUT,
     "filled_records": FILLED,

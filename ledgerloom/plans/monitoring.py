@@ -45,6 +45,10 @@ def slowest(s, d):
     return log(s, d).orderBy(F.desc("processing_time_seconds"), "event_id").limit(5).select("event_id", "processing_time_seconds")
 
 
+def most_tokens(s, d):
+    return log(s, d).orderBy(F.desc("total_tokens"), "event_id").limit(5).select("event_id", "total_tokens")
+
+
 def tracked(s, d):
     files = log(s, d).select(F.col("cao_number").alias("key"), F.col("filename").alias("file"))
     n = F.col("file").cast("int")
@@ -65,8 +69,11 @@ def kinds(s, d):
 
 
 def completeness(s, d):
-    c = table(s, d, "conversations").groupBy("conv_id").agg(*(F.max(F.when(F.col("turn") == i, F.col("text"))).alias(f"t{i}") for i in range(6)))
-    fields = F.create_map(*(x for i in range(6) for x in (F.lit(f"topic_{i}"), F.to_json(F.struct(F.col(f"t{i}").alias("v"))))))
+    """Conversations as documents with a field for each turn; texts of an odd length count as not there."""
+    said = F.when(F.length("text") % 2 == 0, F.col("text"))
+    c = table(s, d, "conversations").groupBy("conv_id", "turn").agg(F.max(said).alias("v"))
+    entry = F.struct(F.concat(F.lit("topic_"), F.lpad(F.col("turn").cast("string"), 3, "0")), F.to_json(F.struct("v")))
+    c, fields = c.groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("all")), F.col("all")
     value = lambda v: F.coalesce(F.get_json_object(v, "$.v"), F.lit(""))
     return Q.completeness(c.withColumn("fields", fields), "conv_id", "fields", lambda v: ~missing.has_text(value(v)))
 
@@ -86,6 +93,7 @@ QUERIES = {
     "runlog_by_size": lambda s, d: R.by_size(log(s, d)),
     "runlog_errors": lambda s, d: R.errors(log(s, d)),
     "runlog_slowest": slowest,
+    "runlog_most_tokens": most_tokens,
     "runlog_retries": lambda s, d: log(s, d).where("not success").groupBy(R.retry_class(F.col("error_message")).alias("retry")).agg(F.count("*").alias("n")),
     "stage_tracker": tracked,
     "file_validity": validity,
@@ -97,7 +105,7 @@ QUERIES = {
 }
 
 KINDS = "c AS (SELECT conv_id, CASE role WHEN 'user' THEN 'Wage' WHEN 'assistant' THEN 'Pension' ELSE 'LEAVE' END AS infotype, turn AS position, turn % 2 = 0 OR length(text) <= 400 AS no_cell, turn % 4 <> 1 AS no_other FROM conversations)"
-COMPLETE = "t AS (SELECT DISTINCT c.conv_id, i, coalesce((SELECT max(text) FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = i), '') AS v FROM conversations c, range(6) r(i)), m AS (SELECT conv_id, 6 AS n_fields, count(*) FILTER (regexp_matches(v, '\\S')) AS n_filled, coalesce(list('topic_' || i ORDER BY i) FILTER (NOT regexp_matches(v, '\\S')), []) AS empty_fields FROM t GROUP BY 1)"
+COMPLETE = "t AS (SELECT conv_id, turn AS i, coalesce(max(text) FILTER (length(text) % 2 = 0), '') AS v FROM conversations GROUP BY 1, 2), m AS (SELECT conv_id, count(*) AS n_fields, count(*) FILTER (regexp_matches(v, '\\S')) AS n_filled, coalesce(list('topic_' || lpad(i::VARCHAR, 3, '0') ORDER BY i) FILTER (NOT regexp_matches(v, '\\S')), []) AS empty_fields FROM t GROUP BY 1)"
 ORACLES = {
     "event_windows": "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H') AS start, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failures, round(sum(value), 4) AS seconds FROM events GROUP BY 1",
     "runlog_latest": f"WITH {LOG} SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.filename = e.filename AND y.cao_number = e.cao_number AND (y.timestamp > e.timestamp OR y.timestamp = e.timestamp AND y.event_id < e.event_id))",
@@ -109,6 +117,7 @@ ORACLES = {
     "runlog_by_size": f"WITH {LOG} SELECT CAST(floor(file_size_mb) AS INTEGER) || '-' || CAST(floor(file_size_mb) + 1 AS INTEGER) || 'MB' AS bucket, avg(total_tokens) AS avg_tokens, count(*) AS files FROM e GROUP BY 1",
     "runlog_errors": f"WITH {LOG} SELECT CASE WHEN contains(error_message, ':') THEN split_part(error_message, ':', 1) ELSE 'Unknown' END AS kind, count(*) AS n FROM e WHERE NOT success GROUP BY 1",
     "runlog_slowest": "SELECT event_id, value AS processing_time_seconds FROM events ORDER BY value DESC, event_id LIMIT 5",
+    "runlog_most_tokens": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS total_tokens FROM events ORDER BY total_tokens DESC, event_id LIMIT 5",
     "runlog_retries": "SELECT CASE WHEN event_id % 3 = 0 THEN 'timeout' WHEN event_id % 3 = 2 THEN 'other' WHEN event_id % 2 = 0 THEN 'daily quota' ELSE 'quota' END AS retry, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
     "stage_tracker": """WITH f AS (SELECT DISTINCT event_type AS key, user_id AS n, CAST(user_id AS VARCHAR) AS file FROM events)
  SELECT key, count(*) AS found, count(*) FILTER (n % 5 <> 0) AS parsed_ok, count(*) FILTER (n % 5 = 0) AS parsed_failed, coalesce(string_agg(file, ', ' ORDER BY file) FILTER (n % 5 = 0), '') AS parsed_failed_files,
@@ -121,6 +130,6 @@ ORACLES = {
  SELECT conv_id, list_sort(list_filter(['wage', 'pension', 'leave', 'termination', 'overtime', 'training', 'homeoffice'], lambda x: NOT list_contains(p, x))) AS missing, list_sort(p) AS present FROM k""",
     "quality_empty_rows": f"""WITH {KINDS}, o AS (SELECT conv_id, bool_and(no_cell AND no_other) AS others_all_empty FROM c WHERE infotype <> 'Wage' GROUP BY 1)
  SELECT conv_id, infotype, count(*) AS n, count(*) FILTER (no_cell AND no_other) AS n_empty, any_value(others_all_empty) AS others_all_empty FROM c LEFT JOIN o USING (conv_id) GROUP BY 1, 2""",
-    "document_completeness": f"WITH {COMPLETE} SELECT conv_id, n_fields, n_filled, n_filled * 100.0::DOUBLE / 6 AS per_cent, empty_fields FROM m",
+    "document_completeness": f"WITH {COMPLETE} SELECT conv_id, n_fields, n_filled, n_filled * 100.0::DOUBLE / n_fields AS per_cent, empty_fields FROM m",
     "empty_fields": f"WITH {COMPLETE} SELECT unnest(empty_fields) AS field, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, field LIMIT 20",
 }

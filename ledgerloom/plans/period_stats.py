@@ -36,8 +36,14 @@ def by_year(s, d):
 
 
 def every_year(s, d):
-    counts = periods(s, d).where("k % 5 = 0").groupBy(F.year("e").alias("year")).agg(F.count("*").alias("n"))
-    return P.densified(counts.where("year % 2 = 0"), "year", "n")
+    counts = periods(s, d).groupBy(F.year("e").alias("year")).agg(F.count("*").alias("n"))
+    return P.densified(counts, "year", "n")
+
+
+def gaps_every_length(s, d):
+    """How many gaps have each length, lengths without any too."""
+    counts = P.gaps(periods(s, d), *ARGS).groupBy(F.col("gap_days").cast("int").alias("days")).agg(F.count("*").alias("n"))
+    return P.densified(counts, "days", "n")
 
 
 def by_month(s, d):
@@ -70,7 +76,7 @@ def keyed_gaps(s, d):
 COVERAGE_SQL = f"coverage AS ({OWN['coverage_summary'].replace('WITH p', 'WITH p', 1)})"
 RENEWALS_SQL = f"renewals AS ({OWN['renewals']})"
 
-QUERIES = {"periods_by_key": by_key, "renewal_stats": renewal_stats, "renewal_subsets": subsets, "periods_by_year": by_year, "periods_every_year": every_year, "periods_by_month": by_month, "gap_histogram": gap_histogram, "coverage_correlation": coverage_correlation, "coverage_report": report, "renewals_with_gaps": keyed_gaps}
+QUERIES = {"periods_by_key": by_key, "renewal_stats": renewal_stats, "renewal_subsets": subsets, "periods_by_year": by_year, "periods_every_year": every_year, "gaps_every_length": gaps_every_length, "periods_by_month": by_month, "gap_histogram": gap_histogram, "coverage_correlation": coverage_correlation, "coverage_report": report, "renewals_with_gaps": keyed_gaps}
 
 ORACLES = {
     "periods_by_key": f"WITH p AS ({PERIODS_SQL}) SELECT k, min(s) AS first, max(e) AS last, count(*) AS n, avg(e - s) AS mean_days, median(e - s) AS median_days FROM p GROUP BY k",
@@ -79,9 +85,10 @@ ORACLES = {
     "renewal_subsets": f"""WITH {RENEWALS_SQL}, m AS (SELECT renewal_days, renewal_days / 30.4375::DOUBLE AS months FROM renewals)
  SELECT 'all' AS subset, count(*) AS n, avg(months) AS mean_months, median(months) AS median_months FROM m UNION ALL SELECT 'positive', count(*), avg(months), median(months) FROM m WHERE renewal_days > 0""",
     "periods_by_year": f"""WITH p AS ({PERIODS_SQL}), y AS (SELECT year(s) AS year, 1 AS a, 0 AS b FROM p UNION ALL SELECT year(e), 0, 1 FROM p) SELECT year, sum(a) AS starts, sum(b) AS ends FROM y GROUP BY year""",
-    "periods_every_year": f"""WITH p AS ({PERIODS_SQL}), c AS (SELECT year(e) AS year, count(*) AS n FROM p WHERE k % 5 = 0 AND year(e) % 2 = 0 GROUP BY 1)
+    "periods_every_year": f"""WITH p AS ({PERIODS_SQL}), c AS (SELECT year(e) AS year, count(*) AS n FROM p GROUP BY 1)
  SELECT y.year, coalesce(c.n, 0) AS n FROM (SELECT unnest(range(min(year), max(year) + 1)) AS year FROM c) y LEFT JOIN c ON y.year = c.year""",
     "periods_by_month": f"WITH p AS ({PERIODS_SQL}) SELECT month(s) AS month, count(*) AS n FROM p GROUP BY 1",
+    "gaps_every_length": GAPS_SQL + ", c AS (SELECT CAST(gap_days AS INTEGER) AS days, count(*) AS n FROM gaps GROUP BY 1) SELECT y.days, coalesce(c.n, 0) AS n FROM (SELECT unnest(range(min(days), max(days) + 1)) AS days FROM c) y LEFT JOIN c ON y.days = c.days",
     "gap_histogram": GAPS_SQL + """, b AS (SELECT min(gap_days) AS a, max(gap_days) AS b, count(*) AS total FROM gaps), w AS (SELECT a, (b - a) / 30::DOUBLE AS w, total FROM b)
  SELECT CAST(least(floor((gap_days - a) / w), 29) AS INTEGER) AS bin, any_value(a + least(floor((gap_days - a) / w), 29) * w) AS low, any_value(a + least(floor((gap_days - a) / w), 29) * w + w) AS high,
  count(*) AS n, count(*) * 100.0 / any_value(total) AS per_cent FROM gaps, w GROUP BY 1""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import content, documents, monitoring, period_stats, periods, relations, scalars
+from ledgerloom.plans import content, documents, monitoring, nested, period_stats, periods, relations, scalars
 
-SECTIONS = (periods, period_stats, scalars, content, relations, monitoring, documents)
+SECTIONS = (periods, period_stats, scalars, content, relations, monitoring, documents, nested)
 
 
 def queries() -> dict:

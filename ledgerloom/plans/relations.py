@@ -57,10 +57,11 @@ def union_first(s, d):
 
 
 def key_sets(s, d):
-    """Customers in both lists, and those in one only."""
-    old, new = (x.where("o_custkey is not null").where(f"o_custkey % {n} <> 0").select("o_custkey") for x, n in zip(old_and_new(s, d), (5, 7), strict=True))
+    """Customers and months in both lists, and those in one only."""
+    months = table(s, d, "orders").select("o_orderkey", F.month("o_orderdate").alias("month"))
+    old, new = (x.where("o_custkey is not null").join(months, "o_orderkey").select("o_custkey", "month") for x in old_and_new(s, d))
     both = old.intersect(new).withColumn("side", F.lit("both"))
-    return both.unionByName(J.both_ways(old, new, ["o_custkey"]))
+    return both.unionByName(J.both_ways(old, new, ["o_custkey", "month"]))
 
 
 def listed_names(s, d):
@@ -77,9 +78,16 @@ def inventories(s, d):
 
 
 def field_differences(s, d):
-    rows = table(s, d, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("quantity"), "l_orderkey")
+    """Lines of even and of odd orders as two tables of the same parts."""
+    rows = table(s, d, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("quantity"), "l_orderkey")
     fields = ["l_returnflag", "l_linestatus", "line", "quantity"]
-    return J.field_differences(rows.where("l_orderkey % 50 = 0"), rows.where("l_orderkey % 50 = 1"), ["l_suppkey"], fields)
+    return J.field_differences(rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1"), ["l_partkey"], fields)
+
+
+def unmatched_parts(s, d):
+    """Parts with lines of even orders and none of odd ones."""
+    rows = table(s, d, "lineitem").select("l_partkey", "l_linenumber", "l_orderkey")
+    return J.unmatched(rows.where("l_orderkey % 2 = 0"), rows.where("l_orderkey % 2 = 1"), ["l_partkey", "l_linenumber"])
 
 
 def contract_dates(s, d):
@@ -109,7 +117,7 @@ def workers(s, d):
 
 def shuffled(s, d):
     """A seeded order, and the work of one of two processes in it."""
-    rows = table(s, d, "orders").select("o_orderkey", F.xxhash64("o_orderkey", F.lit(43)).alias("at"))
+    rows = D.shuffled(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 43).withColumn("at", D.shuffle_key("o_orderkey", 43))
     return D.assigned(rows, ["at", "o_orderkey"], 2).select("o_orderkey", "worker")
 
 
@@ -121,7 +129,7 @@ def limited(s, d):
 
 def paired_files(s, d):
     """Parts with the candidate file of their stem, the first wanted suffix winning."""
-    parts = table(s, d, "part").select("p_partkey", F.col("p_name").alias("stem")).where("p_partkey % 2 = 0")
+    parts = table(s, d, "part").select("p_partkey", F.col("p_name").alias("stem"))
     found = table(s, d, "part").select(F.col("p_name").alias("stem"), F.explode(F.when(F.col("p_size") > 25, F.array(F.lit("PDF"), F.lit("pdf"))).when(F.col("p_size") > 10, F.array(F.lit("PDF"))).otherwise(F.array(F.lit("txt")))).alias("suffix"))
     return J.preferred(parts, found, "stem", "suffix", ["pdf", "PDF"])
 
@@ -132,20 +140,22 @@ def numeric_order(s, d):
     return rows.where("needed = 'Yes'").select(F.col("k").try_cast("int").alias("k")).dropna().orderBy("k")
 
 
-QUERIES = {"info_join": info_join, "append_new_rows": append_new, "union_first_wins": union_first, "key_sets": key_sets, "listed_names": listed_names, "inventory_checks": inventories, "field_differences": field_differences, "contract_dates": contract_dates, "sequence_ids": sequence, "unique_names": unique_names, "worker_split": workers, "shuffled_split": shuffled, "limit_after_skip": limited, "paired_files": paired_files, "numeric_keys": numeric_order}
+QUERIES = {"info_join": info_join, "append_new_rows": append_new, "union_first_wins": union_first, "key_sets": key_sets, "listed_names": listed_names, "inventory_checks": inventories, "field_differences": field_differences, "unmatched_parts": unmatched_parts, "contract_dates": contract_dates, "sequence_ids": sequence, "unique_names": unique_names, "worker_split": workers, "shuffled_split": shuffled, "limit_after_skip": limited, "paired_files": paired_files, "numeric_keys": numeric_order}
 
 OLD = "o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS o_custkey, o_totalprice FROM orders), old AS (SELECT * FROM o WHERE o_orderkey % 3 <> 0), new AS (SELECT * FROM o WHERE o_orderkey % 3 <> 2)"
-FIELD = " UNION ALL ".join(f"SELECT l_suppkey, l_orderkey % 50 AS side, '{name}' AS field, CAST({e} AS VARCHAR) AS v FROM lineitem WHERE l_orderkey % 50 < 2" for name, e in (("l_returnflag", "l_returnflag"), ("l_linestatus", "l_linestatus"), ("line", "l_linenumber"), ("quantity", "CAST(trunc(l_quantity) AS INTEGER)")))
+FIELD = " UNION ALL ".join(f"SELECT l_partkey, l_orderkey % 2 AS side, '{name}' AS field, CAST({e} AS VARCHAR) AS v FROM lineitem" for name, e in (("l_returnflag", "l_returnflag"), ("l_linestatus", "l_linestatus"), ("line", "l_linenumber"), ("quantity", "CAST(trunc(l_quantity) AS INTEGER)")))
 ORACLES = {
     "info_join": INFO_JOIN,
     "append_new_rows": f"WITH {OLD} SELECT *, NULL::VARCHAR AS extra FROM old UNION ALL SELECT *, 'x' FROM new WHERE o_custkey IS NULL OR o_custkey NOT IN (SELECT o_custkey FROM old WHERE o_custkey % 2 = 0)",
     "union_first_wins": f"WITH {OLD}, b AS (SELECT *, 0 AS part FROM old UNION ALL SELECT *, 1 FROM new) SELECT DISTINCT ON (o_custkey) * FROM b WHERE o_custkey IS NOT NULL ORDER BY o_custkey, part, o_orderkey",
-    "key_sets": f"""WITH {OLD}, a AS (SELECT DISTINCT o_custkey FROM old WHERE o_custkey % 5 <> 0), b AS (SELECT DISTINCT o_custkey FROM new WHERE o_custkey % 7 <> 0)
- SELECT o_custkey, CASE WHEN a.x AND b.x THEN 'both' WHEN a.x THEN 'left' ELSE 'right' END AS side FROM (SELECT *, true AS x FROM a) a FULL JOIN (SELECT *, true AS x FROM b) b USING (o_custkey)""",
+    "key_sets": f"""WITH {OLD}, m AS (SELECT o_orderkey, month(o_orderdate) AS month FROM orders), a AS (SELECT DISTINCT o_custkey, month FROM old JOIN m USING (o_orderkey) WHERE o_custkey IS NOT NULL), b AS (SELECT DISTINCT o_custkey, month FROM new JOIN m USING (o_orderkey) WHERE o_custkey IS NOT NULL)
+ SELECT o_custkey, month, CASE WHEN a.x AND b.x THEN 'both' WHEN a.x THEN 'left' ELSE 'right' END AS side FROM (SELECT *, true AS x FROM a) a FULL JOIN (SELECT *, true AS x FROM b) b USING (o_custkey, month)""",
     "listed_names": "SELECT s_suppkey, s_name, s_suppkey % 2 = 0 AS flag FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem) AND (s_suppkey % 2 <> 0 OR s_suppkey % 3 = 0)",
     "inventory_checks": " UNION ALL ".join(f"SELECT doc_id, '{a} not in {b}' AS check FROM (SELECT {ia} AS doc_id FROM {a} EXCEPT SELECT {ib} FROM {b})" for a, ia, b, ib in (("documents", "doc_id", "labels", "doc_id"), ("labels", "doc_id", "documents", "doc_id"), ("benchmark", "item_id", "labels", "doc_id"), ("labels", "doc_id", "benchmark", "item_id"), ("benchmark", "item_id", "documents", "doc_id"))),
-    "field_differences": f"""WITH v AS (SELECT DISTINCT * FROM ({FIELD})), k AS (SELECT l_suppkey, field FROM v GROUP BY 1, 2 HAVING count(DISTINCT side) = 2), x AS (SELECT l_suppkey, field, v, min(side) AS side FROM v GROUP BY 1, 2, 3 HAVING count(*) = 1)
- SELECT l_suppkey, field, coalesce(list(v ORDER BY v) FILTER (side = 0), []) AS only_left, coalesce(list(v ORDER BY v) FILTER (side = 1), []) AS only_right FROM x JOIN k USING (l_suppkey, field) GROUP BY 1, 2""",
+    "field_differences": f"""WITH v AS (SELECT DISTINCT * FROM ({FIELD})), k AS (SELECT l_partkey, field FROM v GROUP BY 1, 2 HAVING count(DISTINCT side) = 2), x AS (SELECT l_partkey, field, v, min(side) AS side FROM v GROUP BY 1, 2, 3 HAVING count(*) = 1)
+ SELECT l_partkey, field, coalesce(list(v ORDER BY v) FILTER (side = 0), []) AS only_left, coalesce(list(v ORDER BY v) FILTER (side = 1), []) AS only_right FROM x JOIN k USING (l_partkey, field) GROUP BY 1, 2""",
+    "unmatched_parts": "SELECT DISTINCT l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 2 = 0 AND (l_partkey, l_linenumber) NOT IN (SELECT (l_partkey, l_linenumber) FROM lineitem WHERE l_orderkey % 2 = 1)",
+    "shuffled_split": "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY md5(o_orderkey || ':43'), o_orderkey) - 1) % 2 AS INTEGER) AS worker FROM orders",
     "contract_dates": """WITH x AS (SELECT l_orderkey, l_linenumber AS n, l_shipdate, l_partkey, l_extendedprice FROM lineitem WHERE l_linenumber % 2 = 0)
  SELECT o_orderkey AS l_orderkey, o_totalprice, (SELECT strftime(l_shipdate, '%Y-%m-%d') FROM x WHERE x.l_orderkey = o_orderkey ORDER BY n DESC, l_shipdate DESC, l_partkey DESC, l_extendedprice DESC LIMIT 1) AS start_date FROM orders""",
     "sequence_ids": f"""WITH {OLD}, t AS (SELECT o_custkey, max(o_orderkey % 1200) AS top FROM old GROUP BY 1), n AS (SELECT new.*, coalesce(top, 0) + (SELECT count(*) FROM new y WHERE y.o_custkey = new.o_custkey AND y.o_orderkey <= new.o_orderkey) AS n FROM new LEFT JOIN t USING (o_custkey) WHERE o_custkey IS NOT NULL)
@@ -153,6 +163,6 @@ ORACLES = {
     "unique_names": """SELECT o_orderkey, o_custkey, o_orderpriority AS name, o_orderpriority || coalesce((SELECT '_' || nullif(count(*), 0) FROM orders y WHERE y.o_custkey = x.o_custkey AND y.o_orderpriority = x.o_orderpriority AND y.o_orderkey < x.o_orderkey), '') AS unique_name FROM orders x""",
     "worker_split": "SELECT o_orderkey, o_totalprice, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS INTEGER) AS worker FROM orders",
     "limit_after_skip": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 ORDER BY o_orderkey LIMIT 10",
-    "paired_files": "WITH c AS (SELECT p_name AS stem, bool_or(p_size > 25) AS lower, bool_or(p_size > 10) AS upper FROM part GROUP BY 1) SELECT p_partkey, p_name AS stem, CASE WHEN lower THEN 'pdf' ELSE 'PDF' END AS suffix FROM part JOIN c ON p_name = stem WHERE p_partkey % 2 = 0 AND upper",
+    "paired_files": "WITH c AS (SELECT p_name AS stem, bool_or(p_size > 25) AS lower, bool_or(p_size > 10) AS upper FROM part GROUP BY 1) SELECT p_partkey, p_name AS stem, CASE WHEN lower THEN 'pdf' ELSE 'PDF' END AS suffix FROM part JOIN c ON p_name = stem WHERE upper",
     "numeric_keys": "SELECT c_custkey::INTEGER AS k FROM customer WHERE c_acctbal > 0",
 }

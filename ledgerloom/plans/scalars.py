@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, missing, numbers, text
+from ledgerloom.operators.compare import MONEY, PERCENT
 from ledgerloom.plans.tables import table
 
 W = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
@@ -122,7 +123,8 @@ def dated(s, d):
     """Orders told as text: a start and an end date after labels, in one of five forms, an amount and a percentage."""
     day, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
     form = lambda x: F.when(k % 5 == 0, F.date_format(x, "dd-MM-yyyy")).when(k % 5 == 1, F.date_format(x, "dd/MM/yyyy")).when(k % 5 == 2, F.date_format(x, "dd.MM.yyyy")).when(k % 5 == 3, F.date_format(x, "yyyy-MM-dd")).otherwise(F.date_format(x, "dd-MM-yy"))
-    said = F.concat(F.lit("Page INGANGSDATUM: "), form(day), F.lit(" Expiratiedatum "), form(F.date_add(day, 30)), F.lit(" loon € "), F.format_number(F.floor("o_totalprice"), 0), F.lit(".50 of 5.5% per "), k)
+    notice = F.when(k % 3 == 0, F.concat(F.lit(" KVO datum: "), form(F.date_add(day, 60)))).when(k % 3 == 1, F.concat(F.lit(" datum formele kennisgeving van ontvangst "), form(F.date_add(day, 90)))).otherwise("")
+    said = F.concat(F.lit("Page INGANGSDATUM: "), form(day), F.lit(" Expiratiedatum "), form(F.date_add(day, 30)), notice, F.lit(" loon € "), F.format_number(F.floor("o_totalprice"), 0), F.lit(".50 of 5.5% per "), k)
     return table(s, d, "orders").select("o_orderkey", day.alias("day"), said.alias("text"), form(day).alias("written"))
 
 
@@ -135,11 +137,11 @@ def dates_in_text(s, d):
         "o_orderkey",
         dates.labelled(t, "Ingangsdatum").alias("started"),
         dates.labelled(t, "Expiratiedatum").alias("ended"),
-        dates.labelled(t, "kvo datum").alias("told"),
+        dates.notified(t).alias("told"),
         dates.iso_or_same(F.col("written")).alias("iso"),
         F.size(dates.all_in(t)).cast("long").alias("n_dates"),
-        F.regexp_extract_all(t, F.lit(r"(\d+(?:\.\d+)?)\s*%"), 1)[0].cast("double").alias("percentage"),
-        F.replace(F.regexp_extract(t, r"[€$£]\s*(\d+(?:,\d{3})*(?:\.\d{2})?)", 1), F.lit(","), F.lit("")).cast("double").alias("amount"),
+        F.regexp_extract_all(t, F.lit(PERCENT), 1)[0].cast("double").alias("percentage"),
+        F.replace(F.regexp_extract(t, MONEY, 1), F.lit(","), F.lit("")).cast("double").alias("amount"),
     )
 
 
@@ -147,33 +149,31 @@ def form(day: str) -> str:
     return f"CASE f WHEN 0 THEN strftime({day}, '%d-%m-%Y') WHEN 1 THEN strftime({day}, '%d/%m/%Y') WHEN 2 THEN strftime({day}, '%d.%m.%Y') WHEN 3 THEN strftime({day}, '%Y-%m-%d') ELSE strftime({day}, '%d-%m-%y') END"
 
 
-DATES_IN_TEXT = f"""WITH {DATED} SELECT o_orderkey, {form('day')} AS started, {form('day + 30')} AS ended, CAST(NULL AS VARCHAR) AS told,
- CASE WHEN o_orderkey % 5 IN (0, 1, 3) THEN strftime(day, '%Y-%m-%d') ELSE {form('day')} END AS iso, CASE WHEN o_orderkey % 5 IN (0, 1, 3) THEN 2 ELSE 0 END AS n_dates,
+DATES_IN_TEXT = f"""WITH {DATED} SELECT o_orderkey, {form('day')} AS started, {form('day + 30')} AS ended, CASE WHEN o_orderkey % 3 = 0 AND f < 2 THEN {form('day + 60')} WHEN o_orderkey % 3 = 1 THEN {form('day + 90')} END AS told,
+ CASE WHEN o_orderkey % 5 IN (0, 1, 3) THEN strftime(day, '%Y-%m-%d') ELSE {form('day')} END AS iso, CASE WHEN o_orderkey % 5 IN (0, 1, 3) THEN CASE WHEN o_orderkey % 3 < 2 THEN 3 ELSE 2 END ELSE 0 END AS n_dates,
  5.5::DOUBLE AS percentage, p + 0.5::DOUBLE AS amount FROM v"""
 
 
 def parsed_dates(s, d):
     rows = dated(s, d).withColumn("american", F.date_format("day", "MM/dd/yyyy"))
-    mostly_late = rows.where(F.dayofmonth("day") > 12)  # no day first date can be read
-    parsed = dates.parse_column(mostly_late, "american", "month_first")
+    parsed = dates.parse_column(rows, "american", "month_first")  # over half of the days are no months, so those are read month first
     return dates.parse_column(parsed, "written", "day_first").select("o_orderkey", "day_first", "month_first")
 
 
-PARSED_DATES = f"WITH {DATED} SELECT o_orderkey, day AS day_first, day AS month_first FROM v WHERE day(day) > 12"
+PARSED_DATES = f"WITH {DATED} SELECT o_orderkey, day AS day_first, CASE WHEN day(day) > 12 THEN day ELSE make_date(year(day), day(day), month(day)) END AS month_first FROM v"
 
 
 def sizes(s, d):
     rows = table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 50 == 0, 0.0).otherwise(F.col("p_retailprice")).alias("a"), (F.col("p_size") * 100.0).alias("b"))
     a, b = F.col("a"), F.col("b")
     ratio = F.when(a > 0, b / a).otherwise(0.0)
-    tier = F.when(a > 1500, 1200).when(a > 1000, 900).otherwise(600)
-    return rows.select("p_partkey", F.round(ratio, 6).alias("ratio"), numbers.ratio_class(ratio).alias("size_class"), F.round(numbers.relative_difference(a, b), 6).alias("difference"), numbers.retry_seconds(a / 1000, F.col("p_partkey") % 4).alias("wait"), numbers.page_tokens(a / 1000).alias("tokens"), tier.alias("time_limit"), F.round(numbers.share(a, b), 6).alias("share"), numbers.half_even(b / 8, 0).alias("half_even"))
+    return rows.select("p_partkey", F.round(ratio, 6).alias("ratio"), numbers.ratio_class(ratio).alias("size_class"), F.round(numbers.relative_difference(a, b), 6).alias("difference"), numbers.retry_seconds(a / 1000, F.col("p_partkey") % 4).alias("wait"), numbers.page_tokens(a / 1000).alias("tokens"), numbers.time_limit(a / 200).alias("time_limit"), F.round(numbers.share(a, b), 6).alias("share"), numbers.half_even(b / 8, 0).alias("half_even"))
 
 
 SIZES = """WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 0.0::DOUBLE ELSE p_retailprice END AS a, p_size * 100.0::DOUBLE AS b FROM part), r AS (SELECT *, CASE WHEN a > 0 THEN b / a ELSE 0 END AS q FROM v)
 SELECT p_partkey, round(q, 6) AS ratio, CASE WHEN q > 2 THEN 'large' WHEN q = 0 THEN NULL WHEN q < 0.5 THEN 'small' ELSE 'similar' END AS size_class, round(abs(a - b) / greatest(a, b), 6) AS difference,
  CAST(floor((floor(a / 1000 * 1024 * 1024 / 4) / 125000::DOUBLE * pow(2, p_partkey % 4) + 1 + p_partkey % 4) * 60) AS BIGINT) AS wait, CAST(floor(a / 1000 * 1024 / 50) AS BIGINT) * 258 AS tokens,
- CASE WHEN a > 1500 THEN 1200 WHEN a > 1000 THEN 900 ELSE 600 END AS time_limit, round(a * 100 / b, 6) AS share, round_even(b / 8, 0) AS half_even FROM r"""
+ CASE WHEN a / 200 > 8 THEN 1200 WHEN a / 200 > 5 THEN 900 ELSE 600 END AS time_limit, round(a * 100 / b, 6) AS share, round_even(b / 8, 0) AS half_even FROM r"""
 
 
 def size_ratios(s, d):

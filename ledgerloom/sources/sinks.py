@@ -33,6 +33,11 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def write_summary(row: DataFrame, path: str) -> None:
+    """The one row of a summary as JSON, in place of the one before."""
+    row.limit(1).coalesce(1).write.mode("overwrite").json(path)
+
+
 def checked_json(rows: DataFrame, column: str) -> DataFrame:
     """Adds is_valid and pretty: valid JSON in a normal form, other text as it is."""
     value = F.try_parse_json(column)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.dedupe import keep
@@ -18,6 +18,13 @@ def run_new(spark: SparkSession, source: str, schema: str, target: str, checkpoi
     return sum(p["numInputRows"] for p in query.recentProgress)
 
 
+def watched(rows: DataFrame, success: str, seconds: str) -> tuple[DataFrame, Observation]:
+    """rows as they are, and an observation of how many came through and failed and their seconds: filled by the first action on rows, without a pass of its own."""
+    seen = Observation()
+    figures = (F.count("*").alias("files"), F.count_if(~F.col(success)).alias("failures"), F.sum(seconds).alias("seconds"))
+    return rows.observe(seen, *figures), seen
+
+
 def upsert_log(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str], at: str) -> None:
     """Keeps in target the latest row of each key: every batch is appended as a version of its own, and latest() reads through.
 
