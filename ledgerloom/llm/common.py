@@ -1,4 +1,7 @@
-"""What the operators share: the shared folder, written tables and shipping this package to executors."""
+"""What the operators share: the shared folder, written tables and shipping this package to executors.
+
+Written tables hold nulls, empty and very long texts, repeated rows and columns of any name as they are; an empty table is written as one.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +11,22 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch, unless the session has a number of its own: long documents make the usual 10,000 heavy.
+#: Rows and bytes of an Arrow batch, unless the session has numbers of its own: long documents make the usual 10,000 rows heavy.
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+#: MB of a written table on disk that may be broadcast.
+BROADCAST_MB = 8
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of our own."""
+    """The folder that spark.checkpoint.dir names; where it is unset and the master is local, as in tests, one of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _checkpoint_dir(spark)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -38,23 +47,53 @@ def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> D
     path = new_path(spark, tag)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _folder(table: DataFrame):
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    return path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()), path
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables. What has been computed from them must be written by then."""
+    for table in tables:
+        fs, path = _folder(table)
+        fs.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_enough(df: DataFrame, rows: int = 1_000_000) -> bool:
-    """Whether df, a written table of narrow rows, may be broadcast: it has at most so many rows."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(table: DataFrame, mb: float = BROADCAST_MB) -> bool:
+    """Whether a written table may be broadcast: its files have at most so many MB."""
+    fs, path = _folder(table)
+    return fs.getContentSummary(path).getLength() <= mb * 2**20
+
+
+def lookup(df: DataFrame, tag: str) -> DataFrame:
+    """df, written, to be joined to a larger table: broadcast if its files are small, else both sides are shuffled, where Spark can split a hot key."""
+    table = written(df, tag)
+    if not small_enough(table):
+        return table
+    out = F.broadcast(table)
+    out._written_at = table._written_at
+    return out
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors of a cluster; local masters share the driver's files. Also bounds Arrow batches."""
+    """Sends this package to the executors of a cluster; local masters share the driver's files.
+
+    Also bounds the Arrow batches of this session by rows and bytes, where it still has Spark's defaults.
+    """
     sc = spark.sparkContext
     if spark.conf.get(BATCH_KEY) == "10000":
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    if spark.conf.get(BYTES_KEY).rstrip("bB") == str(64 << 20):
+        spark.conf.set(BYTES_KEY, str(BATCH_BYTES))
     if sc.master.startswith("local"):
         os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([PACKAGE_ROOT, *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]))
         sc.environment.setdefault("PYTHONPATH", os.environ["PYTHONPATH"])

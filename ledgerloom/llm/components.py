@@ -9,11 +9,14 @@ from ledgerloom.llm import common
 
 
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
-    """node and component (its smallest node) of all nodes in links (a, b: long).
+    """node and component (its smallest node) of all nodes in links (a, b: long), written.
 
     Every round each node takes the smallest label among its neighbours, then the label of its label, until nothing
-    changes. Rounds are written to the shared folder. Smallest labels are pre-aggregated, so a node with many links
-    is no heavy group; a link to a label that many share is an equi-join that Spark can split.
+    changes. Rounds are written to the shared folder; a round's table goes when the next one is there. Smallest labels are
+    pre-aggregated, so a node with many links is no heavy group; a link to a label that many share is an equi-join that
+    Spark can split.
+
+    A link of a node with itself, or with null, is none. Repeated links count once; without links there are no nodes.
     """
     edges = links.select("a", "b").where("a <> b")
     edges = common.written(edges.union(edges.select("b", "a")).distinct(), f"{tag}-edges")
@@ -24,6 +27,10 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         of = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
         jumped = lower.join(of, F.col("label") == F.col("to"), "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
         found = common.written(jumped, tag)
-        labels = found.select("node", "label")
+        common.dropped(labels)
+        labels = found
         if found.where("old <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+            common.dropped(edges)
+            out = found.select("node", F.col("label").alias("component"))
+            out._written_at = found._written_at
+            return out

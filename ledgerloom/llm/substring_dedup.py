@@ -5,20 +5,23 @@ wanted recall needs, give candidates; exact Jaccard similarity decides. Passages
 floating paragraphs: WINDOW words from each anchor, a place whose hash is the rightmost smallest of SPREAD neighbours.
 A floating paragraph has one band, all of its words: one other word in it takes 5 of its 20 shingles away, below
 the threshold. Two texts that share WINDOW + SPREAD + 1 words in a row share an anchor and what follows it; the shared
-run is then followed word by word in both directions to where it ends.
+run, verified by a hash of all its words, is then followed word by word in both directions to where it ends. What lines and blocks
+have removed is never what a run is kept for, and a run goes only for the sake of a document before its own: so what goes
+is always still there elsewhere, a line or block as one that is similar, a run word by word.
 
 Clusters. Equal lines are one class. In each bucket of a band every class is compared with the class that has most
 copies, and the components of these links are contracted; in buckets that still hold several, classes of different components
 are compared if they share one of their rarest shingles, as any two similar enough must. Of each component the
 first paragraph by (doc_id, text's hash, place) is kept, null doc_id last, with all others of its document; those of other documents go.
 
-A document is a distinct (doc_id, text); repeated rows of it are treated alike. Null texts and texts without words
+Ties are decided by (doc_id, text's hash, place), so reruns agree. Very long texts are hashed block by block. A document is a distinct (doc_id, text); repeated rows of it are treated alike. Null texts and texts without words
 lose nothing. A removed passage leaves one line break where one was beside it, else one space. Texts that lose
 nothing stay as they are, byte for byte. An empty table gives an empty table. Other columns are kept.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ K, PER_CENT = 5, 80
 LINE_WORDS, WINDOW, SPREAD = 24, 24, 24
 #: Words of an anchor's hash; recall at the threshold that the bands are tuned for, and bands that may be spent on it.
 ANCHOR, RECALL, MOST_BANDS = 3, 0.99, 8
+#: Words before and after a run of floating paragraphs among which its end lies.
+REACH = SPREAD + ANCHOR
 #: Characters that a worker hashes at once.
 BATCH_CHARS = 1 << 20
 U = np.uint64
@@ -113,12 +118,16 @@ class Lines:
         block = np.flatnonzero((step > 1) | (np.diff(owner, prepend=-1) != 0))  # a line without words has no number here
         inside = np.diff(np.append(block, len(line)))
         wrapped = (line[block] != line[block + inside - 1]) & (np.bincount(owner[block], minlength=1)[owner[block]] > 1)
-        start, words = np.append(start, block[wrapped]), np.append(words, inside[wrapped])
+        of = np.searchsorted(block, start, "right") - 1
+        around = np.where(wrapped[of], block[of], -1) if len(start) else start
+        start, words, around = np.append(start, block[wrapped]), np.append(words, inside[wrapped]), np.append(around, np.full(wrapped.sum(), -1))
         order = np.lexsort((words, start))
         order = order[words[order] >= LINE_WORDS]
-        start, self.words = start[order], words[order]
+        start, self.words, around = start[order], words[order], around[order]
         self.owner = owner[start]
-        self.at = start - np.searchsorted(owner, self.owner)  # counted from the text's first word
+        text_at = np.searchsorted(owner, self.owner)
+        self.at = start - text_at  # counted from the text's first word
+        self.block = np.where(around >= 0, around - text_at, -1)  # where the block of a line starts, -1 for what is in none
         size = self.words - K + 1
         self.bounds = np.concatenate(([0], np.cumsum(size)))
         s = textops.fold(h, K)
@@ -151,7 +160,7 @@ def _lists(values: pa.Array, owner: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), values)
 
 
-LINE = "struct<at:int,words:int,s1:long,s2:long,bands:array<long>>"
+LINE = "struct<at:int,words:int,block:int,s1:long,s2:long,bands:array<long>>"
 
 
 def read_paragraphs(docs: DataFrame) -> DataFrame:
@@ -168,7 +177,8 @@ def read_paragraphs(docs: DataFrame) -> DataFrame:
             s1, s2 = lines.signatures()
             n = len(lines.at)
             bands = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * BANDS).astype(np.int32)), pa.array(lines.bands().ravel()))
-            found = pa.StructArray.from_arrays([pa.array(lines.at.astype(np.int32)), pa.array(lines.words.astype(np.int32)), pa.array(s1), pa.array(s2), bands], ["at", "words", "s1", "s2", "bands"])
+            ints = (pa.array(x.astype(np.int32)) for x in (lines.at, lines.words, lines.block))
+            found = pa.StructArray.from_arrays([*ints, pa.array(s1), pa.array(s2), bands], ["at", "words", "block", "s1", "s2", "bands"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("sig"), _lists(windows, owner[at], len(texts)), _lists(found, lines.owner, len(texts))], names=["doc_id", "sig", "windows", "lines"]
             )
@@ -185,14 +195,44 @@ def _other(kept: str) -> Column:
     return (F.col("sig") != F.col(f"{kept}.sig")) | ~F.col("doc_id").eqNullSafe(F.col(f"{kept}.doc_id"))
 
 
-def shared_runs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """doc_id, sig, start, end (words) and kept_doc_id of each run of words that another document before this one has."""
-    windows = paragraphs.select("doc_id", "sig", F.inline("windows"))
-    repeated = windows.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("key")
-    repeated = common.written(repeated, "dedup-keys")
+def marked_windows(paragraphs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """doc_id, sig, key, at and free of the floating paragraphs, written. free: none of its words is removed already.
+
+    Those so deep inside what is removed that following them to their ends would not lead out of it are left out.
+    """
+    rows = _beside(paragraphs.select("doc_id", "sig", "windows"), cuts, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows, cuts_ = batch.column("windows"), batch.column("cuts")
+            flat, cut = windows.flatten(), cuts_.flatten()
+            owner = windows.value_parent_indices()
+            row, start, end = (x.to_numpy().astype(np.int64) for x in (cuts_.value_parent_indices(), cut.field("start"), cut.field("end")))
+            # One axis for all documents of the batch. Cuts of one document do not touch, so the first that ends behind a place is the one to look at.
+            far = np.int64(1) << 32
+            place = owner.to_numpy() * far + flat.field("at").to_numpy()
+            at = np.searchsorted(row * far + end, place, "right")
+            opens, closes = (np.append(row * far + x, np.iinfo(np.int64).max)[at] for x in (start, end))
+            stays = pa.array((opens > place - REACH) | (closes < place + WINDOW + REACH))
+            names = ["doc_id", "sig", "key", "at", "free"]
+            columns = [batch.column("doc_id").take(owner), batch.column("sig").take(owner), flat.field("key"), flat.field("at"), pa.array(opens >= place + WINDOW)]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(stays)
+
+    return common.written(rows.mapInArrow(run, "doc_id long, sig long, key long, at int, free boolean"), "dedup-marked")
+
+
+def shared_runs(docs: DataFrame, windows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """doc_id, sig, start, end (words) and kept_doc_id of each run of words that another document before this one keeps, written.
+
+    windows: marked floating paragraphs; cuts: what is removed already. Only free ones are kept, and a run goes for the sake of a
+    document before it alone, so all of its words are there in the end.
+    """
+    repeated = windows.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.max("free").alias("free")).where("lo <> hi and free").select("key")
+    repeated = common.lookup(repeated, "dedup-keys")
     found = common.written(windows.join(repeated, "key"), "dedup-windows")
-    kept = found.groupBy("key").agg(F.min(_place("at")).alias("kept"))
-    gone = found.join(kept, "key").where(_other("kept"))
+    common.dropped(repeated)
+    kept = common.lookup(found.where("free").groupBy("key").agg(F.min(_place("at")).alias("kept")), "dedup-keepers")
+    gone = found.join(kept, "key").where(_place() > F.struct("kept.none", "kept.doc_id", "kept.sig"))
     # Floating paragraphs that follow one another in both documents are one run.
     pair = Window.partitionBy("doc_id", "sig", "kept.doc_id", "kept.sig", F.col("at") - F.col("kept.at")).orderBy("at")
     begins = F.coalesce((F.col("at") > F.lag("at").over(pair) + WINDOW).cast("int"), F.lit(1))
@@ -200,14 +240,15 @@ def shared_runs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     runs = runs.withColumn("shift", F.col("at") - F.col("kept.at")).groupBy("doc_id", "sig", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.sig").alias("kept_sig"), "shift", "run")
     runs = runs.agg(F.min("at").alias("start"), (F.max("at") + WINDOW).alias("end"))
     runs = common.written(runs.withColumns({"kept_start": F.col("start") - F.col("shift"), "kept_end": F.col("end") - F.col("shift")}).drop("run", "shift"), "dedup-runs")
+    common.dropped(found, kept)
 
     ends = runs.select("doc_id", "sig", "start", "end").union(runs.select("kept_doc_id", "kept_sig", "kept_start", "kept_end")).distinct()
-    around = neighbours(docs, ends)
+    around = neighbours(docs, ends, cuts)
     same = lambda x: (F.col("doc_id").eqNullSafe(F.col(f"{x}doc")) & (F.col("sig") == F.col(f"{x}sig")) & (F.col("start") == F.col(f"{x}start")) & (F.col("end") == F.col(f"{x}end")))
-    named = lambda x: around.toDF(*(f"{x}{c}" for c in ("doc", "sig", "start", "end", "before", "after")))
-    own = runs.join(named("o_"), same("o_")).select(*runs.columns, "o_before", "o_after")
+    named = lambda x: around.toDF(*(f"{x}{c}" for c in ("doc", "sig", "start", "end", "run", "before", "after")))
+    own = runs.join(named("o_"), same("o_")).select(*runs.columns, "o_run", "o_before", "o_after")
     other = F.col("kept_doc_id").eqNullSafe(F.col("k_doc")) & (F.col("kept_sig") == F.col("k_sig")) & (F.col("kept_start") == F.col("k_start")) & (F.col("kept_end") == F.col("k_end"))
-    both = own.join(named("k_"), other)
+    both = own.join(named("k_"), other).where("o_run = k_run")  # the words between the ends, verified: no edit at all
 
     def alike(x: str) -> Column:
         """Leading neighbours that both documents have."""
@@ -215,14 +256,23 @@ def shared_runs(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
         first = F.array_position(F.zip_with(F.slice(f"o_{x}", 1, n), F.slice(f"k_{x}", 1, n), lambda a, b: a == b), False)
         return F.when(first > 0, first - 1).otherwise(n).cast("int")
 
-    return both.select("doc_id", "sig", (F.col("start") - alike("before")).alias("start"), (F.col("end") + alike("after")).alias("end"), "kept_doc_id")
+    out = common.written(both.select("doc_id", "sig", (F.col("start") - alike("before")).alias("start"), (F.col("end") + alike("after")).alias("end"), "kept_doc_id"), "dedup-shared")
+    common.dropped(runs, around)
+    return out
+
 
+def _beside(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """rows joined to other (d, s, ...) on the document: doc_id = d, null too, and sig = s."""
+    return rows.join(other, rows["doc_id"].eqNullSafe(other["d"]) & (rows["sig"] == other["s"]), how).drop("d", "s")
 
-def neighbours(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """ends (doc_id, sig, start, end) with hashes of up to SPREAD + ANCHOR words before start, nearest first, and after end."""
-    reach = SPREAD + ANCHOR
-    wanted = ends.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("start", "end")).alias("ends")).toDF("d", "s", "ends")
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["sig"] == F.col("s"))).dropDuplicates(["doc_id", "sig"]).select("doc_id", "sig", "text", "ends")
+
+def neighbours(docs: DataFrame, ends: DataFrame, cuts: DataFrame) -> DataFrame:
+    """ends (doc_id, sig, start, end) with a hash of the words between them, and hashes of up to REACH words before start, nearest first, and after end, written.
+
+    Words that are removed already (cuts), and what lies behind those, are no neighbours.
+    """
+    wanted = common.lookup(ends.groupBy(F.col("doc_id").alias("d"), F.col("sig").alias("s")).agg(F.collect_list(F.struct("start", "end")).alias("ends")), "dedup-ends")
+    found = _beside(_beside(docs, wanted, "inner"), cuts, "left").select("doc_id", "sig", "text", "ends", "cuts")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(rows):
@@ -230,20 +280,31 @@ def neighbours(docs: DataFrame, ends: DataFrame) -> DataFrame:
             bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
             short = (h >> U(32)).astype(np.uint32).view(np.int32)
             out: list[tuple] = []
-            for i, (doc, sig, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "sig", "ends")), strict=True)):
-                words = short[bounds[i] : bounds[i + 1]]
-                out += [(doc, sig, x["start"], x["end"], words[max(0, x["start"] - reach) : x["start"]][::-1], words[x["end"] : x["end"] + reach]) for x in own]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "sig", "start", "end", "before", "after"])
-
-    return common.written(found.mapInArrow(run, "doc_id long, sig long, start int, end int, before array<int>, after array<int>"), "dedup-neighbours")
+            for i, (doc, sig, own, gone) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "sig", "ends", "cuts")), strict=True)):
+                words, whole = short[bounds[i] : bounds[i + 1]], h[bounds[i] : bounds[i + 1]]
+                opens, closes = ([x[k] for x in gone or []] for k in ("start", "end"))
+                for x in own:
+                    a, b = x["start"], x["end"]
+                    low, high = bisect.bisect_right(closes, a), bisect.bisect_left(opens, b)
+                    low = max(0, a - REACH, closes[low - 1] if low else 0)
+                    high = min(b + REACH, opens[high] if high < len(opens) else b + REACH)
+                    told = textops.mix(whole[a:b] + np.arange(b - a, dtype=np.uint64) * U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
+                    out.append((doc, sig, a, b, int(told.view(np.int64)), words[low:a][::-1], words[b:high]))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "sig", "start", "end", "run", "before", "after"])
+
+    out = found.mapInArrow(run, "doc_id long, sig long, start int, end int, run long, before array<int>, after array<int>")
+    out = common.written(out.dropDuplicates(["doc_id", "sig", "start", "end"]), "dedup-neighbours")  # a repeated row gives its own again
+    common.dropped(wanted)
+    return out
 
 
-def line_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def line_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
     """node and the distinct shingles of each class (node, place: its first line), written."""
-    wanted = classes.groupBy(F.col("place.doc_id").alias("d"), F.col("place.sig").alias("s")).agg(F.collect_list(F.struct(F.col("place.at").alias("at"), "words", "node")).alias("own"))
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["sig"] == F.col("s"))).dropDuplicates(["doc_id", "sig"]).select("text", "own")
+    own = F.collect_list(F.struct(F.col("place.at").alias("at"), F.col("place.words").alias("words"), "node")).alias("own")
+    wanted = common.lookup(places.groupBy(F.col("place.doc_id").alias("d"), F.col("place.sig").alias("s")).agg(own), "dedup-wanted")
+    found = _beside(docs, wanted, "inner").select("text", "own")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(rows):
@@ -258,7 +319,13 @@ def line_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     sets.append(np.unique(lines.shingles[lines.bounds[no] : lines.bounds[no + 1]]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return common.written(found.mapInArrow(run, "node long, shingles array<long>"), "dedup-sets")
+    sets = common.written(found.mapInArrow(run, "node long, shingles array<long>"), "dedup-sets")
+    common.dropped(wanted)
+    if sets.count() > places.count():  # repeated rows of a document
+        once = common.written(sets.dropDuplicates(["node"]), "dedup-sets")
+        common.dropped(sets)
+        sets = once
+    return sets
 
 
 def similar(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -269,52 +336,106 @@ def similar(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return common.written(joined.where(100 * F.col("both") >= per_cent * (F.col("all") - F.col("both"))).select("a", "b").distinct(), "dedup-links")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, per_cent: int) -> DataFrame:
-    """s1, s2 (class) and place of the kept line, of each class that more than one document has lines of, or similar lines."""
-    banded = lines.select("doc_id", "sig", "at", "words", "s1", "s2", F.explode("bands").alias("band"))
+def near_groups(docs: DataFrame, lines: DataFrame, per_cent: int) -> DataFrame:
+    """s1, s2 and component of each class of equal lines that is similar to another one, written. A class is called by its s1."""
+    banded = lines.select("s1", "s2", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("band")
-    met = common.written(banded.join(common.written(buckets, "dedup-buckets"), "band"), "dedup-met")
-    classes = met.groupBy("s1", "s2").agg(F.min(_place("at")).alias("place"), F.max("words").alias("words"), F.count("*").alias("copies"))
-    classes = common.written(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-classes")
-    inside = met.select("band", "s1", "s2").distinct().join(classes.drop("place"), ["s1", "s2"]).select("band", "node", "copies", "words")
-    inside = common.written(inside, "dedup-inside")
-    sets = line_sets(docs, classes)
-
-    lead = F.max(F.struct("copies", F.xxhash64("node").alias("at"), "node"))["node"].alias("lead")
-    pairs = inside.join(inside.groupBy("band").agg(lead), "band").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    buckets = common.lookup(buckets, "dedup-buckets")
+    met = common.written(banded.join(buckets, "band").groupBy(F.col("s1").alias("node"), "s2", "band").agg(F.count("*").alias("copies")), "dedup-met")
+    common.dropped(buckets)
+    classes = common.lookup(met.groupBy("node").agg(F.min("s2").alias("s2")), "dedup-classes")
+    first = F.min(_place("at", "words")).alias("place")
+    places = common.written(lines.join(classes.withColumnRenamed("node", "s1"), ["s1", "s2"]).groupBy(F.col("s1").alias("node")).agg(first), "dedup-places")
+    sets = line_sets(docs, places)
+    common.dropped(places)
+
+    leads = common.lookup(met.groupBy("band").agg(F.max(F.struct("copies", F.xxhash64("node").alias("at"), "node"))["node"].alias("lead")), "dedup-leads")
+    pairs = met.join(leads, "band").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     links = similar(pairs, sets, per_cent)
     groups = components(links, "dedup-components")
-
-    apart = inside.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = apart.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    apart = common.written(apart.join(several, "band").select("band", "node", "component"), "dedup-apart")
+    more = apart_pairs(met, sets, groups, per_cent)
+    if not more.isEmpty():
+        again = similar(more, sets, per_cent)
+        common.dropped(groups)
+        groups = components(links.union(again), "dedup-components")
+        common.dropped(again)
+    near = common.written(classes.join(groups, "node").select(F.col("node").alias("s1"), "s2", "component"), "dedup-near")
+    common.dropped(met, classes, sets, leads, links, more, groups)
+    return near
+
+
+def apart_pairs(met: DataFrame, sets: DataFrame, groups: DataFrame, per_cent: int) -> DataFrame:
+    """a and b: classes of different components that may be similar enough, of those in buckets that hold several components, written."""
+    apart = met.select("node", "band").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = common.lookup(apart.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"), "dedup-several")
+    of = apart.join(several, "band").select("node", "component").distinct().join(sets, "node")
+    of = common.written(of.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "dedup-shingles")
     # Two sets of similarity t share one of the n - ceil(t * n) + 1 shingles that come first in any common order: here the rarest.
-    of = apart.select("node").distinct().join(sets, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    ranked = of.join(of.groupBy("shingle").count(), "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("all"))
-    ranked = ranked.withColumn("own", F.size(F.filter("all", lambda x: x["count"] == 1)))  # these come first and are shared with nothing
-    length = (F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1).cast("int")
-    rare = ranked.select("node", "n", "own", F.posexplode(F.slice("all", 1, length)).alias("place", "x")).where("x.count > 1").select("node", "n", "place", (F.col("place") - F.col("own")).alias("shared"), F.col("x.shingle").alias("shingle"))
-    keyed = common.written(apart.join(rare, "node"), "dedup-keyed")
-    mixed = keyed.groupBy("band", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "shingle")
-    keyed = keyed.join(mixed, ["band", "shingle"])
-    ours, theirs = (keyed.select("band", "shingle", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}"), F.col("shared").alias(f"s{c}")) for c in "ab")
-    theirs = theirs.withColumnsRenamed({"band": "other_band", "shingle": "other_shingle"})
-    # What two sets share lies before the places of a shared shingle in both, or behind them.
-    most = F.least("sa", "sb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    can = (100 + per_cent) * most >= per_cent * (F.col("na") + F.col("nb"))
-    met = ours.join(theirs, (F.col("band") == F.col("other_band")) & (F.col("shingle") == F.col("other_shingle")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & can)
-    shared = met.groupBy("a", "b", "band").agg(F.count("*").alias("both"), *(F.max(c).alias(c) for c in ("na", "nb", "pa", "pb")))
-    behind = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    more = shared.where((100 + per_cent) * (F.col("both") + behind) >= per_cent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
-    more = common.written(more, "dedup-pairs")
-    links = links.union(similar(more, sets, per_cent))
-    groups = components(links, "dedup-components")
+    counts = common.lookup(of.groupBy("shingle").count().where("count > 1"), "dedup-counts")
+    ranked = of.join(counts, "shingle").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("all"))
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("all"))  # shingles of this class alone come first and are shared with nothing
+    length = F.greatest(F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1 - F.col("alone"), F.lit(0)).cast("int")
+    first = ranked.withColumn("first", F.transform(F.slice("all", F.lit(1), length), lambda x: x["shingle"]))
+    bit = lambda least: F.aggregate("first", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.when(F.pmod(x, F.lit(128)).between(least, least + 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(128)).cast("int") - least)).otherwise(0)))
+    rare = first.select("node", "component", "n", "alone", F.size("first").alias("own"), bit(0).alias("low"), bit(64).alias("high"), F.posexplode("first").alias("before", "shingle"))
+    rare = common.written(rare, "dedup-rare")
+    mixed = common.lookup(rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle"), "dedup-mixed")
+    keyed = rare.join(mixed, "shingle")
+    columns = {"node": "", "component": "c", "n": "n", "alone": "u", "own": "o", "low": "x", "high": "y", "before": "r"}
+    ours, theirs = (keyed.select("shingle", *(F.col(x).alias(f"{y}{c}") for x, y in columns.items())) for c in "ab")
+    theirs = theirs.withColumnRenamed("shingle", "same")
+    # What two sets share lies before a shared shingle in both prefixes, or behind it. Of all that is in a prefix, what has a bit that the
+    # other one lacks is not shared, and behind the prefix that ends first lie as many shingles as that set needs, less one.
+    lacks = {c: sum(F.bit_count(F.col(f"{x}{c}").bitwiseAND(F.bitwise_not(f"{x}{d}"))) for x in "xy") for c, d in ("ab", "ba")}
+    left = {c: F.col(f"n{c}") - F.col(f"u{c}") - F.col(f"r{c}") for c in "ab"}
+    most = F.least(F.least("ra", "rb") + F.least(left["a"], left["b"]), F.least(F.col("oa") - lacks["a"], F.col("ob") - lacks["b"]) + F.greatest(*(F.ceil(F.col(f"n{c}") * per_cent / 100) - 1 for c in "ab")))
+    needed = per_cent * (F.col("na") + F.col("nb"))
+    meet = ours.join(theirs, (F.col("shingle") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ((100 + per_cent) * most >= needed))
+    shared = meet.groupBy("a", "b").agg(F.count("*").alias("both"), *(F.max(c).alias(c) for c in ("na", "nb", "ua", "ub", "ra", "rb")))
+    behind = F.least(F.col("na") - F.col("ua") - F.col("ra"), F.col("nb") - F.col("ub") - F.col("rb")) - 1
+    more = common.written(shared.where((100 + per_cent) * (F.col("both") + behind) >= needed).select("a", "b"), "dedup-pairs")
+    common.dropped(several, of, counts, rare, mixed)
+    return more
+
+
+def removed_lines(docs: DataFrame, paragraphs: DataFrame, per_cent: int) -> DataFrame:
+    """doc_id, sig, start, end (words) and kept_doc_id of each line and block that goes, written.
+
+    Of a component that has blocks, or lines outside of blocks, the first of these is kept: nothing else can remove it.
+    Where there are only lines of blocks, the first of those whose block stays is kept.
+    """
+    lines = paragraphs.select("doc_id", "sig", F.inline("lines"))
+    near = near_groups(docs, lines, per_cent)
+    exact = lines.groupBy("s1", "s2").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("s1", "s2")
+    exact = exact.join(near.select("s1", "s2"), ["s1", "s2"], "left_anti").select("s1", "s2", F.col("s1").alias("g1"), F.col("s2").alias("g2"))
+    groups = common.lookup(near.select("s1", "s2", F.col("component").alias("g1"), F.lit(0).cast("long").alias("g2")).unionByName(exact), "dedup-groups")
+    hit = common.written(lines.select("doc_id", "sig", "at", "words", "block", "s1", "s2").join(groups, ["s1", "s2"]).drop("s1", "s2"), "dedup-hit")
+    common.dropped(near, groups)
+
+    keep = F.min(_place("at")).alias("kept")
+    outer = common.lookup(hit.where("block < 0").groupBy("g1", "g2").agg(keep), "dedup-kept")
+    gone, used = hit.join(outer, ["g1", "g2"]).where(_other("kept")), [hit, outer]
+    inner = hit.where("block >= 0").join(outer, ["g1", "g2"], "left_anti")
+    if not inner.isEmpty():
+        blocks = gone.where("block < 0").select(F.col("doc_id").alias("d"), F.col("sig").alias("s"), F.col("at").alias("cut_at")).distinct()
+        own = inner["doc_id"].eqNullSafe(F.col("d")) & (inner["sig"] == F.col("s")) & (inner["block"] == F.col("cut_at"))
+        blocks = common.lookup(blocks, "dedup-blocks")
+        stay = common.written(inner.join(blocks, own, "left_anti"), "dedup-inner")
+        first = common.lookup(stay.groupBy("g1", "g2").agg(keep), "dedup-kept")
+        gone, used = gone.unionByName(stay.join(first, ["g1", "g2"]).where(_other("kept"))), [*used, blocks, stay, first]
+    out = common.written(gone.select("doc_id", "sig", F.col("at").alias("start"), (F.col("at") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id")), "dedup-gone")
+    common.dropped(*used)
+    return out
 
-    near = classes.join(groups, "node")
-    near = near.join(near.groupBy("component").agg(F.min("place").alias("kept")), "component").select("s1", "s2", "kept")
-    near = common.written(near, "dedup-near")
-    exact = lines.groupBy("s1", "s2").agg(F.min(_place("at")).alias("kept"), F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("s1", "s2", "kept")
-    return near.unionByName(exact.join(near.select("s1", "s2"), ["s1", "s2"], "left_anti"))
+
+def cuts_of(gone: DataFrame) -> DataFrame:
+    """d, s (document) and cuts, its removed spans in order, joined where they touch, to be looked up."""
+    doc = Window.partitionBy("doc_id", "sig").orderBy("start", "end")
+    opens = (F.col("start") > F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))).cast("int")
+    joined = gone.select("doc_id", "sig", "start", "end").withColumn("opens", F.coalesce(opens, F.lit(1))).withColumn("no", F.sum("opens").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("doc_id", "sig", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cuts = joined.groupBy(F.col("doc_id").alias("d"), F.col("sig").alias("s")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    return common.lookup(cuts, "dedup-cuts")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -324,16 +445,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, sig and spans (start, end in words, kept_doc_id) of each document that loses text, written."""
+    """doc_id, sig and spans (start, end in words, kept_doc_id) of each document that loses text, written.
+
+    Lines and blocks go first. What they leave is then searched for shared runs, so no run is removed for the sake of one that goes itself.
+    """
     common.ship(docs.sparkSession)
     slim = _keyed(docs)
     paragraphs = read_paragraphs(slim)
-    lines = paragraphs.select("doc_id", "sig", F.inline("lines"))
-    groups = line_groups(slim, lines, per_cent)
-    gone = lines.select("doc_id", "sig", "at", "words", "s1", "s2").join(groups, ["s1", "s2"]).where(_other("kept"))
-    gone = gone.select("doc_id", "sig", F.col("at").alias("start"), (F.col("at") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id"))
-    both = gone.unionByName(shared_runs(slim, paragraphs))
-    return common.written(both.groupBy("doc_id", "sig").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kept_doc_id"))).alias("spans")), "dedup-spans")
+    gone = removed_lines(slim, paragraphs, per_cent)
+    cuts = cuts_of(gone)
+    windows = marked_windows(paragraphs, cuts)
+    common.dropped(paragraphs)
+    runs = shared_runs(slim, windows, cuts)
+    both = gone.unionByName(runs)
+    out = common.written(both.groupBy("doc_id", "sig").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kept_doc_id"))).alias("spans")), "dedup-spans")
+    common.dropped(gone, cuts, windows, runs)
+    return out
 
 
 def merged(found: list[dict]) -> list[tuple[int, int, int | None]]:
@@ -383,7 +510,7 @@ def _holes(texts: list[str | None], found: list[list[dict]]) -> Iterator[list[tu
 def _with_spans(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     sig = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = found.select(F.col("doc_id").alias("_dedup_doc"), F.col("sig").alias("_dedup_sig"), F.col("spans").alias("_dedup_spans"))
-    if common.small_enough(own, 20_000):
+    if common.small_enough(found):
         own = F.broadcast(own)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_dedup_doc")) & (sig == F.col("_dedup_sig"))
     return docs.join(own, same, how).drop("_dedup_doc", "_dedup_sig")

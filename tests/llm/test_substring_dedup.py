@@ -204,3 +204,57 @@ def test_op7(spark):
         assert len(removed[r.doc_id][-1]) == r.n_words >= S.WINDOW
     want = {d for d, _ in brute(rows)}
     assert want <= set(removed)
+
+
+def test_what_a_removed_line_alone_holds_stays_elsewhere(spark):
+    rng = random.Random(31)
+    base = prose(rng, 80)
+    changed = [*base[:40], "zchanged", *base[41:]]
+    rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join([*prose(rng, 90), *changed[7:73], *prose(rng, 90)]))]
+    left = {r.doc_id: r.text for r in S.deduplicated(frame(spark, rows)).collect()}
+    assert set(left) == {1, 3} and left[1] == rows[0][1] and "zchanged" in left[3].split()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_no_word_vanishes_and_every_passage_is_kept_once(spark, seed):
+    rng = random.Random(seed)
+    fresh = iter("w%d" % i for i in range(10**6))
+    passages = [[next(fresh) for _ in range(rng.randint(51, 140))] for _ in range(15)]
+    rows = []
+    for d in range(40):
+        parts = []
+        for p in rng.sample(range(15), rng.randint(0, 4)):
+            parts += [[next(fresh) for _ in range(rng.randint(40, 160))], passages[p]]
+        rows.append((d, " ".join(w for part in [*parts, [next(fresh) for _ in range(60)]] for w in part)))
+    rng.shuffle(rows)
+    left = {r.doc_id: r.text for r in S.deduplicated(frame(spark, rows)).collect()}
+    assert {w for _, t in rows for w in t.split()} == {w for t in left.values() for w in t.split()}
+    for p in passages:
+        whole, first = " ".join(p), p[len(p) // 2]
+        holders = [d for d, t in rows if whole in t]
+        if holders:
+            assert [d for d, t in left.items() if first in t.split()] == [min(holders)] and whole in left[min(holders)]
+
+
+def test_lines_of_a_removed_block_are_no_keepers(spark):
+    rng = random.Random(17)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    text = lambda *lines: "\n".join(" ".join(x) for x in lines)
+    near = lambda w, i: [*w[:20], "other%d" % i, *w[21:]]
+    own = lambda: text(prose(rng, 30), prose(rng, 30))
+    # 1 and 2 share a block of two lines; 3 has the second line, as 2 has it, alone between blank lines, and 4 within a block of its own.
+    rows = [(1, text(a, b) + "\n\n" + own()), (2, text(a, near(b, 2)) + "\n\n" + own()), (4, text(c, near(b, 2)) + "\n\n" + own())]
+    left = {r.doc_id: r.text for r in S.deduplicated(frame(spark, rows)).collect()}
+    assert text(a, b) in left[1] and " ".join(a) not in left[2]
+    assert " ".join(c) in left[4]
+    assert sum("other2" in t for t in left.values()) <= 1 and any(" ".join(b) in t for t in left.values())
+
+
+def test_very_long_text_and_hot_passage(spark):
+    rng = random.Random(23)
+    hot = prose(rng, 70)
+    long = " ".join(prose(rng, 60_000))
+    rows = [(d, " ".join([*prose(rng, 60), *hot, *prose(rng, 60)])) for d in range(1, 400)] + [(900, long + " " + " ".join(hot)), (901, " ".join(hot) + "\n" + long)]
+    left = {r.doc_id: r.text for r in S.deduplicated(frame(spark, rows)).collect()}
+    assert [d for d, t in left.items() if " ".join(hot) in t] == [1] and set(left) == {d for d, _ in rows} - {901}  # both of its lines are elsewhere
+    assert sum(len(words_of(t)) > 50_000 for t in left.values()) == 1
