@@ -7,7 +7,7 @@ Prefixes. All shingles have one order: estimated number of documents that hold i
 similarity t or more share at least m = ceil(t * n) shingles, n the size of the larger; so the first n - m + l
 shingles of each share at least l, for any l. Each document picks its own l by estimated cost: a longer prefix meets more
 documents, but they have to share l shingles before they are compared. Two documents must share the smaller of
-their two numbers. Places in the prefixes bound what two sets can share besides. The estimate is a table of CELLS counts, of shingles that repeat within a batch of a task; it steers cost
+their two numbers. Places in the prefixes, and bits of what is in them, bound what two sets can share besides. The estimate is a table of CELLS counts, of shingles that repeat within a batch of a task; it steers cost
 only, any order gives the same links.
 
 Components. In a group of near copies every pair would be a candidate. So first each class is compared with one leader,
@@ -16,7 +16,8 @@ between different components are compared after that. Links within a component c
 
 A text with fewer than k words is one shingle, its whole sequence. A null text, or one without words, has no shingle,
 links with nothing and is its own component. A row without doc_id links like others and has the smallest doc_id of its
-component, or null. Repeated rows stay. An empty table gives an empty table. Other columns are ignored.
+component, or null. Repeated rows stay. Very long texts are hashed block by
+block, as one sequence of words. Of several documents with one set, and of several leaders, the tie goes to the smallest doc_id or the largest hash. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +80,9 @@ def read_sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     counts = found.where("not is_doc").groupBy("s1").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     table = np.ones(CELLS, np.float32)
     table[counts.column("s1").to_numpy()] += counts.column("n").to_numpy()
-    return found.where("is_doc").select("doc_id", "sig", F.col("n").alias("n_shingles"), "s1", "s2"), table
+    rows = found.where("is_doc").select("doc_id", "sig", F.col("n").alias("n_shingles"), "s1", "s2")
+    rows._written_at = found._written_at
+    return rows, table
 
 
 def choose_prefixes(no: np.ndarray, x: np.ndarray, docs: int, table: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,11 +126,9 @@ def prefixes(docs: DataFrame, k: int, table: np.ndarray, per_cent: int) -> DataF
 
 
 def shingles_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """node and shingles of the given classes (node, first_doc, s1, s2; written), written. A repeated row may give a class twice."""
-    ids = classes.select(F.col("first_doc").alias("doc_id")).distinct()
-    if common.small_enough(classes):
-        ids = F.broadcast(ids)
-    named = docs.withColumn("key", F.coalesce("doc_id", F.lit(0))).join(ids.select(F.coalesce("doc_id", F.lit(0)).alias("key")).distinct(), "key", "left_semi").drop("key")
+    """node and shingles of the given classes (node, first_doc, s1, s2), written. A repeated row may give a class twice."""
+    ids = common.lookup(classes.select(F.coalesce("first_doc", F.lit(0)).alias("key")).distinct(), "join-ids")
+    named = docs.withColumn("key", F.coalesce("doc_id", F.lit(0))).join(ids, "key", "left_semi").drop("key")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(rows):
@@ -139,18 +140,22 @@ def shingles_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     sets = named.mapInArrow(run, "first_doc long, s1 long, s2 long, shingles array<long>")
     keys = classes.select(F.col("first_doc").alias("d"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), "node")
     same = F.col("first_doc").eqNullSafe(F.col("d")) & (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2"))
-    return common.written(sets.join(keys, same).select("node", "shingles"), "join-shingles")
+    out = common.written(sets.join(keys, same).select("node", "shingles"), "join-shingles")
+    common.dropped(ids)
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """The pairs (a, b; written) whose sets are similar enough, written."""
+    """The pairs (a, b) whose sets are similar enough, written."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = common.written(classes.join(nodes, "node", "left_semi"), "join-wanted")
+    wanted = common.lookup(classes.join(nodes, "node", "left_semi"), "join-wanted")
     sets = shingles_of(docs, wanted, k)
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b")).alias("all"))
-    return common.written(joined.where(100 * F.col("both") >= per_cent * (F.col("all") - F.col("both"))).select("a", "b").distinct(), "join-links")
+    out = common.written(joined.where(100 * F.col("both") >= per_cent * (F.col("all") - F.col("both"))).select("a", "b").distinct(), "join-links")
+    common.dropped(wanted, sets)
+    return out
 
 
 def _posting(c: str) -> list:
@@ -171,17 +176,29 @@ def _enough(met: DataFrame, per_cent: int) -> DataFrame:
     return counted.where((F.col("shared") >= F.col("least")) & _overlap(F.col("shared") - 1, per_cent)).select("a", "b", "shared")
 
 
+#: Columns of a posting that a join of two needs, and their letters there.
+SIDE = {"meta": "m", "before": "r", "own": "o", "low": "x", "high": "y"}
+
+
 def _may_link(per_cent: int):
-    """Of one shared shingle, with places in both prefixes: whether the sizes and places allow the similarity.
+    """Of one shared shingle, with places in both prefixes: whether sizes, places and bits allow the similarity.
 
-    ra and rb: the shingles before it that any other prefix has; only those can be shared too.
+    ra and rb: the shingles before it that any other prefix has; only those can be shared too. Of all oa such shingles in a prefix, those
+    whose bit the other one lacks are not shared; behind the prefix that ends first lie as many shingles as that set needs, less what it asks for.
     """
-    n, p = {}, {}
-    for c in "ab":
+    n, p, ell, behind, lacks = {}, {}, {}, {}, {}
+    for c, d in ("ab", "ba"):
         n[c] = F.shiftrightunsigned(f"m{c}", 31)
+        ell[c] = F.col(f"m{c}").bitwiseAND(F.lit(7))
         p[c] = F.shiftrightunsigned(F.col(f"m{c}").bitwiseAND(F.lit((1 << 31) - 1)), 3)
+        behind[c] = F.ceil(n[c] * per_cent / 100) - ell[c]
+        lacks[c] = sum(F.bit_count(F.col(f"{x}{c}").bitwiseAND(F.bitwise_not(f"{x}{d}"))) for x in "xy")
     most = F.least("ra", "rb") + F.least(n["a"] - p["a"], n["b"] - p["b"])
-    return (100 * F.least(n["a"], n["b"]) >= per_cent * F.greatest(n["a"], n["b"])) & ((100 + per_cent) * most >= per_cent * (n["a"] + n["b"]))
+    shared = F.least(F.col("oa") - lacks["a"], F.col("ob") - lacks["b"])
+    needed = per_cent * (n["a"] + n["b"])
+    sizes = 100 * F.least(n["a"], n["b"]) >= per_cent * F.greatest(n["a"], n["b"])
+    bits = ((100 + per_cent) * (shared + F.greatest(behind["a"], behind["b"])) >= needed) & (shared >= F.least(ell["a"], ell["b"]))
+    return sizes & ((100 + per_cent) * most >= needed) & bits
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -190,55 +207,84 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """doc_id, sig (hash of the text), n_shingles, group (null without shingles) and component_id of each document."""
+    """doc_id, sig (hash of the text), n_shingles, group (null without shingles) and component_id of each document, written."""
     common.ship(docs.sparkSession)
     docs = _slim(docs)
     rows, table = read_sets(docs, k)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))["doc_id"]
     classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(first.alias("first_doc"))
     classes = common.written(classes.withColumn("node", F.monotonically_increasing_id()), "join-classes")
+    postings = read_postings(docs, classes, k, per_cent, table)
+    leader_pairs = common.written(nearest_leaders(postings, per_cent), "join-pairs")
+    links = verified(docs, leader_pairs, classes, k, per_cent)
+    groups = components(links)
+    pairs = common.written(apart_pairs(postings, groups, per_cent), "join-pairs")
+    common.dropped(postings, leader_pairs)
+    if not pairs.isEmpty():
+        more = verified(docs, pairs, classes, k, per_cent)
+        common.dropped(groups)
+        groups = components(links.union(more))
+        common.dropped(more)
+    common.dropped(pairs, links)
+
+    named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = common.lookup(named.groupBy("component").agg(F.min("first_doc").alias("component_id")), "join-smallest")
+    named = common.lookup(named.join(smallest, "component").select("s1", "s2", F.col("component").alias("group"), "component_id"), "join-named")
+    found = rows.join(named, ["s1", "s2"], "left")
+    lonely = F.col("n_shingles") == 0
+    group = F.when(~lonely, F.col("group")).alias("group")
+    out = found.select("doc_id", "sig", "n_shingles", group, F.when(lonely, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = common.written(out, "join-found")
+    common.dropped(rows, classes, groups, smallest, named)
+    return out
+
+
+def read_postings(docs: DataFrame, classes: DataFrame, k: int, per_cent: int, table: np.ndarray) -> DataFrame:
+    """shingle, node, meta, before, own, low, high and typical of each shingle in the prefix of a class that another prefix has too, written.
 
+    before: how many such shingles come before it in its prefix; own: how many there are; low and high: a bit for each, of 128 by its hash;
+    typical: the share of a prefix that others have too.
+    """
     keys = classes.select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), "first_doc", "node")
     own = (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))
     chosen = common.written(prefixes(docs, k, table, per_cent).join(keys, own).select("node", "n", "ell", "prefix"), "join-prefixes")
     place = F.posexplode("prefix").alias("place", "shingle")
     meta = F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 3)).bitwiseOR(F.col("ell").cast("long"))
     postings = chosen.select("node", "n", "ell", place).select("shingle", "node", meta.alias("meta"))
-    repeated = postings.select("shingle").groupBy("shingle").count().where("count > 1").select("shingle")
-    postings = common.written(postings.join(repeated, "shingle"), "join-postings")
-
-    # One leader for each shingle, the class most of whose prefix others have too: in a group of near copies, one with few
-    # edits of its own. Each class keeps the leader with which it shares most.
-    own_rows = Window.partitionBy("node").orderBy("meta")
-    size = F.shiftrightunsigned("meta", 31) * (100 - per_cent)
-    postings = postings.withColumn("before", F.row_number().over(own_rows) - 1).withColumn("typical", F.count("*").over(Window.partitionBy("node")) / size)
-    postings = common.written(postings, "join-ranked")
-    ranked = F.struct("typical", F.xxhash64("node").alias("at"), "node", "meta", "before")
-    leaders = postings.groupBy("shingle").agg(F.max(ranked).alias("lead"))
+    repeated = common.lookup(postings.groupBy("shingle").count().where("count > 1").select("shingle"), "join-repeated")
+    shared = common.written(postings.join(repeated, "shingle"), "join-postings")
+    common.dropped(chosen, repeated)
+    rows, ordered = Window.partitionBy("node"), Window.partitionBy("node").orderBy("meta")
+    place = F.col("shingle").bitwiseAND(F.lit(127)).cast("int")
+    bit = lambda least: F.bit_or(F.when((place >= least) & (place < least + 64), F.call_function("shiftleft", F.lit(1).cast("long"), place - least)).otherwise(0)).over(rows)
+    ranked = shared.withColumn("before", F.row_number().over(ordered) - 1).withColumn("own", F.count("*").over(rows).cast("int"))
+    ranked = ranked.withColumns({"low": bit(0), "high": bit(64), "typical": F.col("own") / (F.shiftrightunsigned("meta", 31) * (100 - per_cent))})
+    ranked = common.written(ranked, "join-ranked")
+    common.dropped(shared)
+    return ranked
+
+
+def nearest_leaders(postings: DataFrame, per_cent: int) -> DataFrame:
+    """a and b: each class with the leader that it shares most with.
+
+    Each shingle has one leader, the class most of whose prefix others have too: in a group of near copies, one with few edits of its own.
+    """
+    ranked = F.struct("typical", F.xxhash64("node").alias("at"), "node", *(F.col(c) for c in SIDE))
+    leaders = common.lookup(postings.groupBy("shingle").agg(F.max(ranked).alias("lead")), "join-leaders")
     met = postings.join(leaders, "shingle").where("node <> lead.node")
-    met = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("meta").alias("ma"), F.col("lead.meta").alias("mb"), F.col("before").alias("ra"), F.col("lead.before").alias("rb")).where(_may_link(per_cent))
-    best = _enough(met, per_cent).groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
-    links = verified(docs, common.written(best, "join-pairs"), classes, k, per_cent)
-    groups = components(links)
+    met = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), *(F.col(c).alias(f"{x}a") for c, x in SIDE.items()), *(F.col(f"lead.{c}").alias(f"{x}b") for c, x in SIDE.items())).where(_may_link(per_cent))
+    return _enough(met, per_cent).groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
 
-    # All candidates between different components.
-    apart_rows = postings.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = apart_rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    apart_rows = common.written(apart_rows.join(apart, "shingle"), "join-apart")
-    ours, theirs = (apart_rows.select("shingle", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("meta").alias(f"m{c}"), F.col("before").alias(f"r{c}")) for c in "ab")
+
+def apart_pairs(postings: DataFrame, groups: DataFrame, per_cent: int) -> DataFrame:
+    """a and b: all candidates between different components."""
+    rows = postings.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
+    rows = common.written(rows.join(common.lookup(several, "join-several"), "shingle"), "join-apart")
+    ours, theirs = (rows.select("shingle", F.col("node").alias(c), F.col("component").alias(f"c{c}"), *(F.col(x).alias(f"{y}{c}") for x, y in SIDE.items())) for c in "ab")
     theirs = theirs.withColumnRenamed("shingle", "same")
     met = ours.join(theirs, (F.col("shingle") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(per_cent))
-    pairs = common.written(_enough(met, per_cent), "join-pairs")
-    links = links.union(verified(docs, pairs, classes, k, per_cent))
-    groups = components(links)
-
-    named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = named.join(smallest, "component").select("s1", "s2", F.col("component").alias("group"), "component_id")
-    found = rows.join(named, ["s1", "s2"], "left")
-    lonely = F.col("n_shingles") == 0
-    group = F.when(~lonely, F.col("group")).alias("group")
-    return found.select("doc_id", "sig", "n_shingles", group, F.when(lonely, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return _enough(met, per_cent)
 
 
 def linked(docs: DataFrame, k: int = 4, per_cent: int = 85) -> DataFrame:
@@ -248,13 +294,15 @@ def linked(docs: DataFrame, k: int = 4, per_cent: int = 85) -> DataFrame:
 
 def representatives(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
     """The rows of docs that stay when one document of each component does, once: the smallest doc_id, null last, then the smallest hash of the text."""
-    found = common.written(grouped(docs, k, per_cent).where("n_shingles > 0"), "join-found")
+    whole = grouped(docs, k, per_cent)
+    found = whole.where("n_shingles > 0")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")
-    lead = found.groupBy("group").agg(F.min(rank).alias("lead"))
+    lead = common.lookup(found.groupBy("group").agg(F.min(rank).alias("lead")), "join-lead")
     gone = found.join(lead, "group").where((F.col("sig") != F.col("lead.sig")) | ~F.col("doc_id").eqNullSafe(F.col("lead.doc_id")))
     gone = common.written(gone.select(F.col("doc_id").alias("_join_doc"), F.col("sig").alias("_join_sig")).distinct(), "join-gone")
     twice = found.groupBy("doc_id", "sig").count().where("count > 1").select(F.col("doc_id").alias("_join_doc"), F.col("sig").alias("_join_sig"))
     twice = common.written(twice, "join-twice")
+    common.dropped(whole, lead)
     own = F.xxhash64(F.col("text").cast("string"))
 
     def semi(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
