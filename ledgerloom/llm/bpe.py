@@ -2,7 +2,11 @@
 
 A cut before a single space that a non-space follows is always a cut between two matches of the tokenizer's pattern,
 so a text can be encoded as its segments between such cuts. Segments repeat, so each worker keeps the ids of those
-that it has seen, up to a limit, and asks the library for new ones only, many at a time.
+that it has seen, up to a limit, and asks the library for new ones only, many at a time. A text that holds the string of
+one of the tokenizer's added tokens is encoded whole: the library parts such a text at those first.
+
+Null and empty texts have no ids. Very long texts are encoded in pieces that end at cuts. Repeated texts and empty
+batches are ordinary; rows and columns are the callers' matter.
 """
 
 from __future__ import annotations
@@ -57,9 +61,7 @@ def tokenizer_from_file(path: str):
     _quiet()
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
 
 
 def tokenizer_from_ranks(path: str, pattern: str):
@@ -88,6 +90,7 @@ class Encoder:
         self.tokenizer, self.keep = tokenizer, keep
         vocabulary = tokenizer.get_vocab()
         self.vocabulary = tokenizer.get_vocab_size()
+        self.added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # a character for each byte
@@ -145,7 +148,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin, and the end."""
-        own = {i: self._long(t) for i, t in enumerate(texts) if t and len(t) > 4 * LONG}
+        own = {i: self._ids([t])[0] for i, t in enumerate(texts) if t and any(x in t for x in self.added)}
+        own |= {i: self._long(t) for i, t in enumerate(texts) if t and len(t) > 4 * LONG and i not in own}
         data = [t.encode() if t and i not in own else b"" for i, t in enumerate(texts)]
         lengths = np.array([len(x) for x in data], np.int64)
         raw = np.frombuffer(b"".join(data), np.uint8)

@@ -10,7 +10,8 @@ Spark's own writers commit it and any store that Spark reads can hold it:
 
 Blocks hold a multiple of 8 ids, so each starts at a whole byte and any run of ids is read from its blocks alone.
 
-Null texts are empty documents, of the end id only. Repeated rows each keep their place; among rows of one doc_id
+The string of an added token in a text becomes its id, as the library does it. Null texts are empty documents, of the end id only.
+A document longer than a shard is a shard of its own. Repeated rows each keep their place; among rows of one doc_id
 the order is that of their texts. Rows without doc_id come first. An empty table gives an empty table. Other columns are ignored.
 """
 
