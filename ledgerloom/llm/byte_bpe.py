@@ -6,13 +6,15 @@ bytes that start a character turns these into character offsets. A character of
 tokens: its tokens then all span that character. Decoding looks up the bytes of each id and joins them, so that split
 characters are whole again before anything reads them as UTF-8.
 
-Null texts are empty: no ids and no bytes. All rows and other columns are kept; an empty table gives an empty table.
+Null texts are empty: no ids, no offsets and no bytes. Very long texts are encoded in pieces, with the same ids. All rows,
+repeated ones too, and other columns are kept; columns named as an added one are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,13 +127,17 @@ def encode_checked(docs: DataFrame, rank_file: str, pattern: str, text: str = "t
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Encodes and decodes each text and returns digests of both instead of the lists."""
+    """Encodes and decodes each text and returns digests instead of the lists.
+
+    offsets_crc32 is the checksum of all tokens' first and then all tokens' last-plus-one characters, as little-endian signed 32-bit integers.
+    """
 
     def compute(ids: np.ndarray, decoder: Decoder):
         data = decoder.decode(ids)
         shown = " ".join(map(str, ids.tolist())).encode()
-        return len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(data).hexdigest(), decoder.split(ids, data)
+        starts, ends = (x.astype("<i4").tobytes() for x in decoder.offsets(ids, data))
+        return len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(data).hexdigest(), decoder.split(ids, data), zlib.crc32(ends, zlib.crc32(starts))
 
-    fields = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string()), ("split_tokens", "long", pa.int64())]
+    fields = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string()), ("split_tokens", "long", pa.int64()), ("offsets_crc32", "long", pa.int64())]
     common.ship(docs.sparkSession)
     return _mapped(docs.select("doc_id", F.col("text").cast("string").alias("text")), rank_file, pattern, "text", fields, compute, keep_text=False)

@@ -1,10 +1,12 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -60,8 +62,24 @@ def test_pack_and_random_access(bits):
         shard.read(0, len(flat) + 1)
 
 
+def test_added_tokens_as_the_untouched_library(monkeypatch):
+    plain, own = tokenizers.Tokenizer.from_file(JSON), bpe.encoder_from_file(JSON)
+    texts = ["<|endoftext|> hi", "two  <|endoftext|>  sides", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "<|endoftext", "some words  here", ""]
+    assert split(own, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert split(own, texts[:1]) == [[50256, 23105]]
+
+
+@pytest.mark.parametrize("size", [50, 64, 1000])
+def test_very_long_texts_in_pieces(monkeypatch, whole, size):
+    monkeypatch.setattr(bpe, "LONG", size)
+    text = "word  and 12 more,\n\n then é 日本語 " * 60 + "x" * 900 + " \n y"
+    plain, by_json, by_ranks, own = whole
+    assert split(by_json, ["a b", text]) == [plain.encode(t, add_special_tokens=False).ids for t in ("a b", text)]
+    assert split(by_ranks, [text, None]) == [own.encode_ordinary(text), []]
+
+
 def expected_rows(rows):
-    t = bpe.tokenizer_from_file(JSON)
+    t = tokenizers.Tokenizer.from_file(JSON)
     out, start = [], 0
     for doc_id, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -94,6 +112,13 @@ def test_op4(spark, whole):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+        starts, ends, at, char_of = [], [], 0, [i for i, c in enumerate(r.text) for _ in c.encode()]
+        for i in ids:
+            n = len(whole[3].decode_single_token_bytes(i))
+            starts.append(char_of[at])
+            ends.append(char_of[at + n - 1] + 1)
+            at += n
+        assert r.offsets_crc32 == zlib.crc32(struct.pack(f"<{2 * len(ids)}i", *starts, *ends))
 
 
 def test_encode_and_decode(spark, whole):
