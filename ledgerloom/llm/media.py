@@ -5,15 +5,22 @@ the format then reads its structure and lengths from there: only what it confirm
 medium starts at its first byte has that type, whatever was declared. Confirmed media that start later, and are not part of
 another, are carved: their place, length and type are told.
 
+Marks that validators need are found once for a value, so a value of many magic bytes takes time in proportion to its length; only
+chunks with checksums may be read once for each start that claims them. Very long values need memory for themselves.
+
 Null values are empty. A value without confirmed medium has type `application/octet-stream`. Equal values give equal
 results; repeated rows stay. All other columns are kept; columns named as an added one are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import io
+import re
 import struct
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,7 +35,7 @@ UNKNOWN = "application/octet-stream"
 ALIGN = 64
 
 
-def _wav(d: memoryview, at: int) -> int:
+def _wav(d: bytes, at: int, known: Marks) -> int:
     """Length of a RIFF/WAVE file with a format chunk before its data, or 0."""
     if len(d) - at < 44 or bytes(d[at + 8 : at + 12]) != b"WAVE":
         return 0
@@ -49,7 +56,7 @@ def _wav(d: memoryview, at: int) -> int:
     return size if pos in (at + size, at + size + 1) and {b"fmt ", b"data"} <= seen else 0
 
 
-def _bmp(d: memoryview, at: int) -> int:
+def _bmp(d: bytes, at: int, known: Marks) -> int:
     """Length of a bitmap with 8, 24 or 32 bits a pixel, uncompressed, or 0."""
     if len(d) - at < 54:
         return 0
@@ -59,12 +66,12 @@ def _bmp(d: memoryview, at: int) -> int:
     return size if good and size == start + row * abs(height) and at + size <= len(d) else 0
 
 
-def _png(d: memoryview, at: int) -> int:
+def _png(d: bytes, at: int, known: Marks) -> int:
     """Length of a PNG file whose chunks all have right checksums, or 0."""
     pos, first = at + 8, True
     while pos + 12 <= len(d):
         n, name = struct.unpack_from(">I4s", d, pos)
-        if pos + 12 + n > len(d) or first != (name == b"IHDR"):
+        if pos + 12 + n > len(d) or first != (name == b"IHDR") or first and n != 13:
             return 0
         if zlib.crc32(d[pos + 4 : pos + 8 + n]) != struct.unpack_from(">I", d, pos + 8 + n)[0]:
             return 0
@@ -74,7 +81,7 @@ def _png(d: memoryview, at: int) -> int:
     return 0
 
 
-def _gif(d: memoryview, at: int) -> int:
+def _gif(d: bytes, at: int, known: Marks) -> int:
     """Length of a GIF file by its blocks, or 0."""
     if len(d) - at < 14:
         return 0
@@ -82,11 +89,17 @@ def _gif(d: memoryview, at: int) -> int:
     pos = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
 
     def blocks(p: int) -> int:
-        while p < len(d) and d[p]:
+        met = []
+        while p < len(d) and d[p] and p not in known.block_ends:
+            met.append(p)
             p += d[p] + 1
-        return p + 1
+        end = known.block_ends.get(p, p + 1)
+        known.block_ends.update(dict.fromkeys(met, end))
+        return end
 
-    while pos < len(d):
+    tried = []
+    while pos < len(d) and pos not in known.no_gif:
+        tried.append(pos)
         if d[pos] == 0x3B:
             return pos + 1 - at
         if d[pos] == 0x21:
@@ -95,65 +108,97 @@ def _gif(d: memoryview, at: int) -> int:
             own = d[pos + 9]
             pos = blocks(pos + 11 + (3 << ((own & 7) + 1) if own & 0x80 else 0))
         else:
-            return 0
+            break
+    known.no_gif.update(tried)
     return 0
 
 
-def _jpeg(d: memoryview, at: int) -> int:
+def _jpeg(d: bytes, at: int, known: Marks) -> int:
     """Length of a JPEG file by its segments, or 0."""
-    pos, scanned = at + 2, False
-    while pos + 4 <= len(d):
-        if d[pos] != 0xFF:
-            return 0
+    pos, scanned, tried = at + 2, False, []
+    while pos + 2 <= len(d) and d[pos] == 0xFF and (pos, scanned) not in known.no_jpeg:
+        tried.append((pos, scanned))
         mark = d[pos + 1]
-        if mark == 0xD9:
-            return pos + 2 - at if scanned else 0
-        if mark in (0, 0x01, 0xFF) or 0xD0 <= mark <= 0xD8:
-            return 0
+        if mark == 0xD9 and scanned:
+            return pos + 2 - at
+        if mark in (0, 0x01, 0xD9, 0xFF) or 0xD0 <= mark <= 0xD8 or pos + 4 > len(d):
+            break
         pos += 2 + struct.unpack_from(">H", d, pos + 2)[0]
         if mark == 0xDA:
-            scanned, raw = True, bytes(d[pos:])
-            p = 0
-            while (p := raw.find(b"\xff", p)) >= 0 and p + 1 < len(raw) and (raw[p + 1] == 0 or 0xD0 <= raw[p + 1] <= 0xD7):
-                p += 2
-            if p < 0 or p + 1 >= len(raw):
-                return 0
-            pos += p
-    return pos + 2 - at if scanned and len(d) - pos >= 2 and bytes(d[pos : pos + 2]) == b"\xff\xd9" else 0
-
-
-def _zip(d: memoryview, at: int) -> int:
-    """Length of an archive to the end record that points back to this start, or 0."""
-    raw = bytes(d[at:])
-    p = raw.find(b"PK\x05\x06")
-    while p >= 0 and p + 22 <= len(raw):
-        size, where, note = struct.unpack_from("<IIH", raw, p + 12)
-        if where + size == p and p + 22 + note <= len(raw):
-            return p + 22 + note
-        p = raw.find(b"PK\x05\x06", p + 4)
+            scanned = True
+            while (pos := d.find(b"\xff", pos)) >= 0 and pos + 1 < len(d) and (d[pos + 1] == 0 or 0xD0 <= d[pos + 1] <= 0xD7):
+                pos += 2
+            if pos < 0 or pos + 1 >= len(d):
+                break
+    known.no_jpeg.update(tried)
     return 0
 
 
-def _pdf(d: memoryview, at: int) -> int:
+def _zip(d: bytes, at: int, known: Marks) -> int:
+    """Length of an archive to the first end record that points back to this start, or 0."""
+    return known.archives.get(at, at) - at
+
+
+def _pdf(d: bytes, at: int, known: Marks) -> int:
     """Length of a document to its last end mark, after a cross-reference pointer and before the next document, or 0."""
-    raw = bytes(d[at:])
-    end = raw.rfind(b"%%EOF")
-    pointer = raw.rfind(b"startxref", 0, max(end, 0))
-    if pointer <= 0 or not raw[5:6].isdigit():
+    heads, ends, pointers = known.heads, known.ends, known.pointers
+    after = lambda places, x: places[i] if (i := bisect.bisect_left(places, x)) < len(places) else -1
+    before = lambda places, x: places[i] if (i := bisect.bisect_left(places, x) - 1) >= 0 else -1
+    if not d[at + 5 : at + 6].isdigit() or not ends or ends[-1] < at:
+        return 0
+    pointer = before(pointers, ends[-1])
+    first = after(ends, after(pointers, at))
+    if pointer <= at or first < 0:
         return 0
-    first = raw.find(b"%%EOF", raw.find(b"startxref"))
-    p = raw.find(b"%PDF-", first)
-    while 0 <= p < pointer:
-        opened = raw.rfind(b"stream", first, p)
-        attached = opened >= 0 and raw[opened - 3 : opened] != b"end"  # in a stream of this document
-        if raw[p + 5 : p + 6].isdigit() and not attached:
-            return raw.rfind(b"%%EOF", 0, p) + 5
-        p = raw.find(b"%PDF-", p + 5)
-    return end + 5
+    i = bisect.bisect_left(heads, first)
+    while i < len(heads) and heads[i] < pointer:
+        opened = before(known.streams, heads[i])
+        attached = opened >= first and d[opened - 3 : opened] != b"end"  # in a stream of this document
+        if d[heads[i] + 5 : heads[i] + 6].isdigit() and not attached:
+            return before(ends, heads[i]) + 5 - at
+        i += 1
+    return ends[-1] + 5 - at
+
+
+class Marks:
+    """What the validators look up in a value, found once: places of marks, the archives' ends by their starts, places from which a chain of blocks fails, and where chains of a GIF's sub-blocks end."""
+
+    def __init__(self, data: bytes):
+        self.data, self.no_gif, self.no_jpeg = data, set(), set()
+        self.block_ends: dict[int, int] = {}
+
+    def _all(self, mark: bytes) -> list[int]:
+        return [m.start() for m in re.finditer(re.escape(mark), self.data)]
+
+    @functools.cached_property
+    def heads(self) -> list[int]:
+        return self._all(b"%PDF-")
+
+    @functools.cached_property
+    def ends(self) -> list[int]:
+        return self._all(b"%%EOF")
+
+    @functools.cached_property
+    def pointers(self) -> list[int]:
+        return self._all(b"startxref")
+
+    @functools.cached_property
+    def streams(self) -> list[int]:
+        return self._all(b"stream")
+
+    @functools.cached_property
+    def archives(self) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for p in self._all(b"PK\x05\x06"):
+            if p + 22 <= len(self.data):
+                size, where, note = struct.unpack_from("<IIH", self.data, p + 12)
+                if p + 22 + note <= len(self.data):
+                    out.setdefault(p - size - where, p + 22 + note)
+        return out
 
 
 #: Magic bytes, media type and validator of each format. The magic bytes are fixed values.
-FORMATS: dict[bytes, tuple[str, Callable[[memoryview, int], int]]] = {
+FORMATS: dict[bytes, tuple[str, Callable[[bytes, int, Marks], int]]] = {
     b"RIFF": ("audio/wav", _wav),
     b"BM": ("image/bmp", _bmp),
     b"\x89PNG\r\n\x1a\n": ("image/png", _png),
@@ -178,13 +223,13 @@ def _automaton():
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """Start, length and type of the outermost confirmed media, in order."""
-    view, found, reached = memoryview(data), [], 0
+    known, found, reached = Marks(data), [], 0
     for last, (n, magic) in _automaton().iter(data.decode("latin-1")):
         at = last - n + 1
         if at < reached:
             continue
         kind, length = FORMATS[magic]
-        if size := length(view, at):
+        if size := length(data, at, known):
             found.append((at, size, kind))
             reached = at + size
     return found
@@ -223,10 +268,37 @@ def samples(data: bytes, kind: str) -> bytes:
     raise ValueError(f"no 8-bit samples in {kind}")
 
 
+@functools.lru_cache(maxsize=1)
+def companions() -> tuple[list[bytes], list[bytes]]:
+    """Small media to stand before and behind another: what each has before it ends by itself."""
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\x80")) + chunk(b"IEND", b"")
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes((0, 0, 0, 255, 255, 255)) + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00;"
+    segment = lambda mark, body: b"\xff" + bytes([mark]) + struct.pack(">H", len(body) + 2) + body
+    table = lambda kind: segment(0xC4, bytes([kind, 1, *[0] * 15, 0]))  # noqa: E731  one code, for symbol 0
+    jpeg = b"\xff\xd8" + segment(0xDB, bytes([0, *[1] * 64])) + segment(0xC0, struct.pack(">BHHBBBB", 8, 8, 8, 1, 1, 0x11, 0)) + table(0) + table(0x10) + segment(0xDA, bytes((1, 1, 0, 0, 63, 0))) + b"\x3f\xff\xd9"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr(zipfile.ZipInfo("note.txt"), b"note")
+    pdf, places = b"%PDF-1.4\n", []
+    for no, body in enumerate((b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[]/Count 0>>"), 1):
+        places.append(len(pdf))
+        pdf += b"%d 0 obj%sendobj\n" % (no, body)
+    pdf += b"xref\n0 3\n0000000000 65535 f \n%s" % b"".join(b"%010d 00000 n \n" % x for x in places) + b"trailer<</Size 3/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % pdf.rindex(b"endobj")
+    return [b"", png, gif, jpeg], [b"", held.getvalue(), pdf, png + b"--" + jpeg]
+
+
+def wrapped(raw: bytes) -> bytes:
+    """A stored value of raw: its padded bytes as a sound or an image, by its checksum alone between other media or none."""
+    code = zlib.crc32(raw)
+    before, behind = companions()
+    return before[code >> 1 & 3] + (to_bmp if code & 1 else to_wav)(padded(raw)) + behind[code >> 3 & 3]
+
+
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, declared_type and media: each text's bytes, padded and stored losslessly as 8-bit samples.
+    """doc_id, n_bytes, declared_type and media: each text's bytes, padded and stored losslessly as 8-bit samples, in a value with other media around them.
 
-    Texts of an odd checksum become images, others sound. The declared type is always that of sound, as from a careless source.
+    The declared type is always that of sound, as from a careless source.
     """
     common.ship(docs.sparkSession)
 
@@ -235,9 +307,8 @@ def store(docs: DataFrame) -> DataFrame:
             raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
             for at in range(0, len(raw), 256):
                 part = raw[at : at + 256]
-                media = [to_bmp(padded(x)) if zlib.crc32(x) & 1 else to_wav(padded(x)) for x in part]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(part)), pa.array([len(x) for x in part], pa.int64()), pa.array(["audio/wav"] * len(part)), pa.array(media, pa.binary())],
+                    [batch.column("doc_id").slice(at, len(part)), pa.array([len(x) for x in part], pa.int64()), pa.array(["audio/wav"] * len(part)), pa.array(list(map(wrapped, part)), pa.binary())],
                     names=["doc_id", "n_bytes", "declared_type", "media"],
                 )
 
@@ -263,17 +334,22 @@ def sniffed(media: DataFrame, column: str = "media") -> DataFrame:
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(added).fields]))
 
 
+SAMPLED = ("audio/wav", "image/bmp")
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores each text, sniffs the stored bytes and reads the payload back from what was found."""
+    """Stores each text, sniffs the stored bytes and reads the payload back from the one medium with 8-bit samples that was found, at the first byte or carved."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in rows:
             out = []
             for data, kind, declared, size, carved in zip(*(batch.column(c).to_pylist() for c in ("media", "media_type", "declared_type", "media_size", "carved")), strict=True):
-                payload = samples(data[:size], kind)
-                counts = sum(payload) / len(payload)
-                feature = f"{kind};declared={declared};corrected={str(kind != declared).lower()};carved={len(carved)};mean={counts:.3f}"
+                found = [(0, size, kind), *((x["start"], x["size"], x["media_type"]) for x in carved)]
+                at, n, own = next(x for x in found if x[2] in SAMPLED)
+                payload = samples(data[at : at + n], own)
+                parts = "+".join(f"{k}@{a}:{m}" for a, m, k in found)
+                feature = f"{kind};declared={declared};corrected={str(kind != declared).lower()};payload={own};parts={parts};mean={sum(payload) / len(payload):.3f}"
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(

@@ -1,7 +1,12 @@
 import hashlib
 import struct
+import time
 import zlib
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from ledgerloom.llm import media as M
 from ledgerloom.llm.queries import op6_media
 
@@ -74,3 +79,46 @@ def test_op6(spark):
     for r in op6_media(spark, d).collect():
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == expected(text[r.doc_id])
         assert seen.setdefault(text[r.doc_id], r[5:]) == r[5:]
+
+
+def naive(data):
+    """Every place, every format, without an automaton."""
+    found, at = [], 0
+    while at < len(data):
+        for magic, (kind, length) in M.FORMATS.items():
+            if data[at : at + len(magic)] == magic and (n := length(data, at, M.Marks(data))):
+                found.append((at, n, kind))
+                at += n - 1
+                break
+        at += 1
+    return found
+
+
+PIECES = [b"", b"junk", b"BM", b"RIFF", b"PK\x03\x04", b"%PDF-1.", b"%%EOF", b"startxref", b"\xff\xd8\xff\xe0\x00\x04ab", b"GIF89a", GIF, JPEG, ZIP, PDF, png(), M.to_wav(b"a" * 64), M.to_bmp(b"b" * 64), GIF[:-1], png()[:-3]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=8))
+def test_against_a_naive_scan(pieces):
+    data = b"".join(pieces)
+    assert M.sniff(data) == naive(data)
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-1", b"PK\x03\x04", b"PK\x03\x04PK\x05\x06", b"%PDF-1startxref", b"\xff\xd8\xff\xe0\x00\x06xx", b"GIF89a\x01\x00\x01\x00\x00\x00\x00!", b"RIFF", b"BM"])
+def test_many_magic_bytes_take_time_in_proportion(unit):
+    began = time.process_time()
+    M.sniff(unit * (400_000 // len(unit)))
+    assert time.process_time() - began < 8
+
+
+def test_stored_values_have_media_around_the_payload(spark):
+    texts = [f"%%EOF startxref %PDF-1.7 PK\x05\x06 number {i}" for i in range(64)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = M.digests(df).collect()
+    for r in rows:
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == expected(texts[r.doc_id])
+        stored = M.wrapped(texts[r.doc_id].encode())
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        parts = "+".join(f"{k}@{a}:{n}" for a, n, k in naive(stored))
+        assert f";parts={parts};" in r.feature and sum(n for _, n, _ in naive(stored)) in (len(stored), len(stored) - 2)
+    assert {p.split("@")[0] for r in rows for p in r.feature.split("parts=")[1].split(";")[0].split("+")} == {k for k, _ in M.FORMATS.values()}
