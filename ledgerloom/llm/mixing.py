@@ -9,12 +9,13 @@ Which documents of a length are taken is decided by the order of a seeded hash.
 
 Only counts by (source, length) reach a single task, never documents. Reruns give the same rows.
 
-Null texts and texts without words have size 0 and take 0. Null is a source of its own, last in order. Repeated rows
-count each. A source of size 0 has target 0. An empty table gives an empty table. Other columns are ignored.
+Null texts and texts without words have size 0 and take 0. Null is a source of its own, last in order. Very long texts count
+whole. Repeated rows count each; rows that are the same in all that decides stand for one another. A source of size 0 has target 0. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -138,8 +139,9 @@ def chosen(docs: DataFrame, weights: Sequence[float], most: float, seed: int) ->
     sources = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     plan = targets(sources, weights, most)
     whole = F.round("target").cast("long")
-    passes = F.when(F.col("source_size") > 0, F.least(F.lit(int(most)), F.floor(whole / F.col("source_size")))).otherwise(0).cast("int")
-    plan = plan.withColumn("passes", passes).withColumn("budget", F.when(F.col("passes") < int(most), whole - F.col("passes") * F.col("source_size")).otherwise(0))
+    times = math.ceil(most)  # a source's share stops at most times its size; a document of it is taken so often, rounded up
+    passes = F.when(F.col("source_size") > 0, F.least(F.lit(times), F.floor(whole / F.col("source_size")))).otherwise(0).cast("int")
+    plan = plan.withColumn("passes", passes).withColumn("budget", F.when(F.col("passes") < times, whole - F.col("passes") * F.col("source_size")).otherwise(0))
     plan = common.written(plan, "mix-plan").withColumnRenamed("source", "plan_source")
 
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
@@ -153,15 +155,15 @@ def chosen(docs: DataFrame, weights: Sequence[float], most: float, seed: int) ->
 
     largest = counted.agg(F.max("docs")).first()[0] or 0
     buckets = max(64, -(-largest // BUCKET_ROWS))
-    order: Column = F.xxhash64("doc_id", F.lit(seed))
+    order: Column = F.xxhash64("doc_id", "sig", F.lit(seed))  # without the text, rows of one doc_id would tie
     placed = slim.join(plan, same).withColumn("order", order).withColumn("bucket", F.pmod("order", F.lit(buckets)))
     placed = placed.select("doc_id", "sig", "source", "no", "size", "source_size", "target", "passes", "order", "bucket")
     # Buckets of the hash are taken whole in their order; only in the one where the number runs out are documents ranked.
     sums = placed.groupBy("no", "size", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("no", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shares = sums.withColumn("before", before).join(wanted, ["no", "size"]).select("no", "size", "bucket", (F.col("wanted") - F.col("before")).alias("room"))
-    rank = F.row_number().over(Window.partitionBy("no", "size", "bucket").orderBy("order", "doc_id"))
-    done = placed.join(shares, ["no", "size", "bucket"]).withColumn("copies", F.col("passes") + (rank <= F.col("room")).cast("int"))
+    shares = sums.withColumn("before", before).join(wanted.hint("merge"), ["no", "size"]).select("no", "size", "bucket", (F.col("wanted") - F.col("before")).alias("room"))
+    rank = F.row_number().over(Window.partitionBy("no", "size", "bucket").orderBy("order", "doc_id", "sig"))
+    done = placed.join(shares.hint("merge"), ["no", "size", "bucket"]).withColumn("copies", F.col("passes") + (rank <= F.col("room")).cast("int"))
     return done.select("doc_id", "sig", "source", "size", "source_size", "target", "copies")
 
 

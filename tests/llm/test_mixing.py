@@ -42,6 +42,27 @@ def test_fit_with_long_documents_and_few_lengths(lengths, counts, budget, near):
     assert (took >= 0).all() and (took <= counts).all() and int((took * lengths).sum()) == near
 
 
+@pytest.mark.parametrize("lengths", [[300_000, 310_007, 400_003, 555_555], [999_983, 524_287, 65_537, 131_071, 7]])
+@pytest.mark.parametrize("part", [0.1, 0.2, 0.29, 0.5, 0.77])
+def test_fit_of_long_documents_against_all_subsets(lengths, part):
+    counts = [3] * len(lengths)
+    sums = {0}
+    for n in lengths:
+        sums = {x + k * n for x in sums for k in range(4)}
+    for budget in (int(part * 3 * sum(lengths)), 855_555, 1_210_013):
+        took = M.fit(np.array(lengths, np.int64), np.array(counts, np.int64), budget)
+        assert abs(int((took * lengths).sum()) - budget) == min(abs(x - budget) for x in sums)
+
+
+def test_fractional_limit_and_rows_without_doc_id(spark):
+    rows = [(i, " ".join(["w"] * 10), "a") for i in range(10)] + [(None, "v%d " % i * 10, "b") for i in range(200)] + [(7, "u%d " % i * 10, "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [r for r in M.mix(df, most=2.5).collect() if r.source == "a"]
+    assert got[0].target == 250 and sum(r.taken for r in got) == 250 and max(r.copies for r in got) == 3
+    again = [sorted(map(str, M.mixed(x, (1, 3), 1.5).collect())) for x in (df, df.repartition(7))]
+    assert again[0] == again[1]
+
+
 def brute_targets(sizes, weights=(5, 2, 1), most=3.0):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
