@@ -16,7 +16,7 @@ until they are identical.
 The loss mask covers the text of assistant turns.
 
 Null texts and roles are empty. Turns are in order of turn (null first), ties by role and text; repeated rows are
-turns of their own. Rows without conv_id form one conversation. An empty table gives an empty table. Other columns are ignored.
+turns of their own. Very long texts are escaped and read back whole. Rows without conv_id form one conversation. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ The models are fitted on a bounded sample of labelled documents: about FIT_DOCS
 doc_id. Everything else runs over all documents and whole texts.
 
 Letters alone count. A text that is null or has no letter is `und` with score 0; so is any text if no labelled document
-can be learned from. Rows without doc_id are predicted and never learned from. Repeated rows stay; an empty table gives
+can be learned from. Of languages with equal proportions the first in code order is predicted. Very long texts are
+read whole, as the words that they have. Rows without doc_id are predicted and never learned from. Repeated rows stay; an empty table gives
 an empty table. Other columns are kept, replaced if named as an added one.
 """
 

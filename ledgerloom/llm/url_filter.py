@@ -7,8 +7,9 @@ pages' own text, and multinomial naive Bayes scores the words of host and path.
 Counts and scores are tables: the pieces of host names are joined with the word counts, and tokens with their odds.
 Everything is done for distinct URLs and joined back to the rows, so nothing depends on page_id and repeated rows stay.
 
-A null URL, or one without `://`, has empty host and path, no rule and no words: its verdict is allow. An empty table
-gives an empty table. Other columns are ignored.
+A null URL, or one without `://`, has empty host and path, no rule and no words: its verdict is allow. A score of 0, the
+tie of both classes, is allow too; of two equally long rules that fit, the later in code order decides, and of two equally likely
+splits the one with the shorter last word. Very long URLs and pages are read whole. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations

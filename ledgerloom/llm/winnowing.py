@@ -8,7 +8,8 @@ rightmost. Chosen hashes are kept once each, with their positions (in units, fro
 Guarantee: two texts that share w + k - 1 neighbouring units share a whole window, so its hash is in both fingerprints.
 
 A text with fewer than k units has one hash, of all its units; with fewer than w hashes, one window. A text without
-units (null, empty or white space) has the hash of nothing. Equal texts have equal fingerprints. Repeated rows stay;
+units (null, empty or white space) has the hash of nothing. Equal texts have equal fingerprints, and of equal hashes in a window
+the rightmost is kept. A very long text is one array of units in its task. Repeated rows stay;
 an empty table gives an empty table; other columns are ignored.
 """
 

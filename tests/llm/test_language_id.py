@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -59,6 +60,28 @@ def test_mixture_against_plain_em(docs):
     assert got[2].sum() == 0 and got[3].argmax() == 2
 
 
+def test_selection_against_all_sets(docs):
+    """The set of languages with the best penalised likelihood, by EM over every set of them, one word after another."""
+    model = L.fit(docs)
+    rng = random.Random(12)
+    texts = [" ".join(prose(x, rng.choice([1, 2, 5, 40]), rng) for x in rng.choices(list(SOUNDS), k=rng.randint(1, 3))) for _ in range(25)]
+    for text, pi in zip(texts, L.mixtures(texts, model)):
+        words = L._WORD.findall(text.lower())
+        logs = np.array([model.log_likelihoods([w])[0] for w in words], float)
+
+        def score(own):
+            share = np.full(len(own), 1 / len(own))
+            for _ in range(L.STEPS if len(own) > 1 else 0):
+                r = np.exp(logs[:, own] - logs.max(1)[:, None]) * share
+                share = (r / np.maximum(r.sum(1), 1e-30)[:, None]).mean(0)
+            fit = (np.log(np.maximum((np.exp(logs[:, own] - logs.max(1)[:, None]) * share).sum(1), 1e-30)) + logs.max(1)).sum()
+            return fit - L.PENALTY * (len(own) - 1) * np.log(len(words) + 1)
+
+        sets = [list(c) for n in (1, 2, 3) for c in itertools.combinations(range(3), n)]
+        best = max(map(score, sets))
+        assert score(list(np.flatnonzero(pi > 0))) == pytest.approx(best, abs=0.05), text
+
+
 def test_more_than_three_languages(spark):
     sounds = SOUNDS | {"dd": ["жи", "ло", "ств", "ый"], "ee": ["θα", "νο", "ρει", "ξυ"], "ff": ["عل", "مي", "نا", "دو"]}
     rng = random.Random(21)
