@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents in, token ids out. Each stage is one operator of ledgerloom.llm."""
+"""The corpus pipeline: documents in, token ids out. Each stage is one operator of ledgerloom.llm.
+
+Null and empty texts, and those without letters, have no language and go in the first stage. Rows without doc_id or source are
+documents like others, last in order. Repeated rows stay until the n-gram Jaccard join, which keeps one. Very long texts are
+handled whole by every stage; ties are the operators'. An empty table passes through all stages. Other columns of documents are kept.
+"""
 
 from __future__ import annotations
 
@@ -59,7 +64,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents. Each one's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        common.dropped(*before)
+        before = [docs]
     return docs
