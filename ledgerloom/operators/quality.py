@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Kinds of rows that every agreement should have. Fixed values.
@@ -14,8 +14,12 @@ EXPECTED = ("wage", "pension", "leave", "termination", "overtime", "training", "
 def duplicates(rows: DataFrame, keys: Sequence[str], kind: str, file: str, position: str, excluded: str = "wage", samples: int = 5) -> DataFrame:
     """Keys with more than one row: how many, the first row's file and the first positions. One kind of rows may repeat."""
     wanted = rows.where(F.lower(kind) != excluded)
-    grouped = wanted.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by(file, position).alias("first_file"), F.slice(F.array_sort(F.collect_list(position)), 1, samples).alias("positions"))
-    return grouped.where("n > 1")
+    counted = wanted.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by(file, position).alias("first_file")).where("n > 1")
+    # Only the first positions of a key are gathered: tasks cut the rest off before they are shuffled.
+    first = wanted.withColumn("_no", F.row_number().over(Window.partitionBy(*keys).orderBy(position))).where(F.col("_no") <= samples)
+    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list(position)).alias("positions"))
+    same = [counted[k].eqNullSafe(first[k]) for k in keys]
+    return counted.join(first, same).select(*(counted[k] for k in keys), "n", "first_file", "positions")
 
 
 def missing_kinds(rows: DataFrame, key: str, kind: str, expected: Sequence[str] = EXPECTED) -> DataFrame:

@@ -25,9 +25,13 @@ CONTRACT = ("start_date_contract", "expiry_date_contract")
 TOPICS = ("general", "wage", "pension", "leave", "termination", "overtime", "training", "homeoffice")
 
 
-def joined_lists(topic: Column) -> Column:
-    """A topic's list of lists as a list of texts."""
-    return F.transform(topic, lambda row: F.array_join(row, " | "))
+def joined_lists(topic: Column, depth: int = 2) -> Column:
+    """A topic's list of lists as a list of texts. depth: how many lists the column's type has one in another; inner ones are joined first."""
+
+    def flat(value: Column, left: int) -> Column:
+        return F.array_join(value if left == 1 else F.transform(value, lambda v: flat(v, left - 1)), " | ")
+
+    return topic if depth == 1 else F.transform(topic, lambda row: flat(row, depth - 1))
 
 
 def topic_text(title: str, lines: Column) -> Column:

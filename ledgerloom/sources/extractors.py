@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 #: Words that point to a topic, by topic. The first topic that fits has the line.
 TOPIC_WORDS = {
@@ -22,7 +23,7 @@ TOPIC_WORDS = {
     "training": ("training", "opleiding"),
     "homeoffice": ("home office", "remote", "thuiswerk"),
 }
-Extractor = Callable[[str], dict[str, list[str]]]
+Extractor = Callable[[str], dict[str, list[str]]] | Callable[[bytes], dict[str, list[str]]]
 
 
 def by_keywords(text: str) -> dict[str, list[str]]:
@@ -34,10 +35,20 @@ def by_keywords(text: str) -> dict[str, list[str]]:
     return found
 
 
+def items(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One document to many rows: keys, topic, item (0-based within the topic) and line of all that was extracted."""
+    topics = found.select(*keys, F.explode("topics").alias("topic", "lines"))
+    return topics.select(*keys, "topic", F.posexplode("lines").alias("item", "line"))
+
+
 def extracted(documents: DataFrame, keys: Sequence[str], text: str, extractor: Extractor = by_keywords) -> DataFrame:
-    """keys, topics (map of topic to lines), success and error_message; one document's failure is its row's error, not the job's."""
+    """keys, topics (map of topic to lines), success and error_message; one document's failure is its row's error, not the job's.
+
+    text may be a binary column, for an extractor that reads files; null is an empty value of the column's kind.
+    """
     rows = documents.select(*keys, text)
     fields = [f for f in rows.schema.fields if f.name in keys]
+    empty = b"" if isinstance(rows.schema[text].dataType, BinaryType) else ""
     kind = pa.map_(pa.string(), pa.list_(pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +56,7 @@ def extracted(documents: DataFrame, keys: Sequence[str], text: str, extractor: E
             topics, errors = [], []
             for value in batch.column(text).to_pylist():
                 try:
-                    topics.append(list(extractor(value or "").items()))
+                    topics.append(list(extractor(value or empty).items()))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001  a plug-in may raise anything
                     topics.append(None)

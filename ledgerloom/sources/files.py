@@ -63,7 +63,7 @@ def run_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 
 def names(spark: SparkSession, path: str) -> DataFrame:
     """The non-blank lines of a text file, trimmed."""
-    return spark.read.text(path).select(F.trim("value").alias("name")).where(has_text(F.col("name")))
+    return spark.read.text(path).select(F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("name")).where(has_text(F.col("name")))
 
 
 def sniff(spark: SparkSession, path: str, lines: int = 20) -> tuple[str, str]:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.operators import content as C
+from ledgerloom.operators import records
 from ledgerloom.sources import extractors, files, sinks
 from ledgerloom.streaming import incremental
 
@@ -121,3 +122,20 @@ def test_upserts_keep_the_latest(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         incremental.upsert_log(spark, source, schema, target, mark, ["k"], "at")
     assert sorted((r.k, r.v) for r in incremental.latest(spark, target, ["k"], "at").collect()) == [(1, 3), (2, 2), (3, 5)]
+
+
+def test_extracting_bytes_to_many_rows(spark):
+    df = spark.createDataFrame([(1, bytearray(b"salary 5\nverlof 2\nwage")), (2, None)], "id long, content binary")
+    found = extractors.extracted(df, ["id"], "content", lambda b: extractors.by_keywords(b.decode()))
+    assert found.where("success").count() == 2
+    assert sorted(tuple(r) for r in extractors.items(found, ["id"]).collect()) == [(1, "leave", 0, "verlof 2"), (1, "wage", 0, "salary 5"), (1, "wage", 1, "wage")]
+
+
+def test_names_after_a_byte_order_mark(spark, tmp_path):
+    (tmp_path / "n.txt").write_bytes("\ufeff first \n\n second".encode())
+    assert [r.name for r in files.names(spark, str(tmp_path / "n.txt")).collect()] == ["first", "second"]
+
+
+def test_lists_in_lists(spark):
+    df = spark.sql("SELECT array(array(array('a', 'b'), array('c')), array(array('d'))) AS t, array('x') AS one")
+    assert tuple(df.select(records.joined_lists(df.t, 3), records.joined_lists(df.one, 1)).first()) == (["a | b | c", "d"], ["x"])
