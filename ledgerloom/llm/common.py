@@ -74,10 +74,10 @@ def small_enough(table: DataFrame, mb: float = BROADCAST_MB) -> bool:
     return fs.getContentSummary(path).getLength() <= mb * 2**20
 
 
-def lookup(df: DataFrame, tag: str) -> DataFrame:
+def lookup(df: DataFrame, tag: str, mb: float = BROADCAST_MB) -> DataFrame:
     """df, written, to be joined to a larger table: broadcast if its files are small, else both sides are shuffled, where Spark can split a hot key."""
     table = written(df, tag)
-    if not small_enough(table):
+    if not small_enough(table, mb):
         return table
     out = F.broadcast(table)
     out._written_at = table._written_at

@@ -33,11 +33,17 @@ from ledgerloom.llm import bpe, common, textops
 from ledgerloom.llm.components import components
 
 CELLS = 1 << 20
+#: MB of a table's files up to which it is broadcast here: what it is joined to are narrow rows, cheap to shuffle.
+LOOKUP_MB = 1
 #: Largest number of shared shingles that a document may ask for, and the cost of a comparison in posting entries.
 MOST, COMPARE = 4, 8.0
 U = np.uint64
 
 
+def lookup(df: DataFrame, tag: str) -> DataFrame:
+    return common.lookup(df, tag, LOOKUP_MB)
+
+
 def _signature(no: np.ndarray, x: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each document's set: sums of differently mixed members."""
     out = []
@@ -127,7 +133,7 @@ def prefixes(docs: DataFrame, k: int, table: np.ndarray, per_cent: int) -> DataF
 
 def shingles_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """node and shingles of the given classes (node, first_doc, s1, s2), written. A repeated row may give a class twice."""
-    ids = common.lookup(classes.select(F.coalesce("first_doc", F.lit(0)).alias("key")).distinct(), "join-ids")
+    ids = lookup(classes.select(F.coalesce("first_doc", F.lit(0)).alias("key")).distinct(), "join-ids")
     named = docs.withColumn("key", F.coalesce("doc_id", F.lit(0))).join(ids, "key", "left_semi").drop("key")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +154,7 @@ def shingles_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per_cent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, written."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = common.lookup(classes.join(nodes, "node", "left_semi"), "join-wanted")
+    wanted = lookup(classes.join(nodes, "node", "left_semi"), "join-wanted")
     sets = shingles_of(docs, wanted, k)
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -228,8 +234,8 @@ def grouped(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
     common.dropped(pairs, links)
 
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = common.lookup(named.groupBy("component").agg(F.min("first_doc").alias("component_id")), "join-smallest")
-    named = common.lookup(named.join(smallest, "component").select("s1", "s2", F.col("component").alias("group"), "component_id"), "join-named")
+    smallest = lookup(named.groupBy("component").agg(F.min("first_doc").alias("component_id")), "join-smallest")
+    named = lookup(named.join(smallest, "component").select("s1", "s2", F.col("component").alias("group"), "component_id"), "join-named")
     found = rows.join(named, ["s1", "s2"], "left")
     lonely = F.col("n_shingles") == 0
     group = F.when(~lonely, F.col("group")).alias("group")
@@ -251,7 +257,7 @@ def read_postings(docs: DataFrame, classes: DataFrame, k: int, per_cent: int, ta
     place = F.posexplode("prefix").alias("place", "shingle")
     meta = F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.shiftleft(F.col("place").cast("long"), 3)).bitwiseOR(F.col("ell").cast("long"))
     postings = chosen.select("node", "n", "ell", place).select("shingle", "node", meta.alias("meta"))
-    repeated = common.lookup(postings.groupBy("shingle").count().where("count > 1").select("shingle"), "join-repeated")
+    repeated = lookup(postings.groupBy("shingle").count().where("count > 1").select("shingle"), "join-repeated")
     shared = common.written(postings.join(repeated, "shingle"), "join-postings")
     common.dropped(chosen, repeated)
     rows, ordered = Window.partitionBy("node"), Window.partitionBy("node").orderBy("meta")
@@ -270,7 +276,7 @@ def nearest_leaders(postings: DataFrame, per_cent: int) -> DataFrame:
     Each shingle has one leader, the class most of whose prefix others have too: in a group of near copies, one with few edits of its own.
     """
     ranked = F.struct("typical", F.xxhash64("node").alias("at"), "node", *(F.col(c) for c in SIDE))
-    leaders = common.lookup(postings.groupBy("shingle").agg(F.max(ranked).alias("lead")), "join-leaders")
+    leaders = lookup(postings.groupBy("shingle").agg(F.max(ranked).alias("lead")), "join-leaders")
     met = postings.join(leaders, "shingle").where("node <> lead.node")
     met = met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), *(F.col(c).alias(f"{x}a") for c, x in SIDE.items()), *(F.col(f"lead.{c}").alias(f"{x}b") for c, x in SIDE.items())).where(_may_link(per_cent))
     return _enough(met, per_cent).groupBy("a").agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
@@ -280,7 +286,7 @@ def apart_pairs(postings: DataFrame, groups: DataFrame, per_cent: int) -> DataFr
     """a and b: all candidates between different components."""
     rows = postings.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = rows.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("shingle")
-    rows = common.written(rows.join(common.lookup(several, "join-several"), "shingle"), "join-apart")
+    rows = common.written(rows.join(lookup(several, "join-several"), "shingle"), "join-apart")
     ours, theirs = (rows.select("shingle", F.col("node").alias(c), F.col("component").alias(f"c{c}"), *(F.col(x).alias(f"{y}{c}") for x, y in SIDE.items())) for c in "ab")
     theirs = theirs.withColumnRenamed("shingle", "same")
     met = ours.join(theirs, (F.col("shingle") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(per_cent))
@@ -297,7 +303,7 @@ def representatives(docs: DataFrame, k: int, per_cent: int) -> DataFrame:
     whole = grouped(docs, k, per_cent)
     found = whole.where("n_shingles > 0")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")
-    lead = common.lookup(found.groupBy("group").agg(F.min(rank).alias("lead")), "join-lead")
+    lead = lookup(found.groupBy("group").agg(F.min(rank).alias("lead")), "join-lead")
     gone = found.join(lead, "group").where((F.col("sig") != F.col("lead.sig")) | ~F.col("doc_id").eqNullSafe(F.col("lead.doc_id")))
     gone = common.written(gone.select(F.col("doc_id").alias("_join_doc"), F.col("sig").alias("_join_sig")).distinct(), "join-gone")
     twice = found.groupBy("doc_id", "sig").count().where("count > 1").select(F.col("doc_id").alias("_join_doc"), F.col("sig").alias("_join_sig"))
