@@ -2,7 +2,8 @@
 
 A cut before a single space that a non-space follows is always a cut between two matches of the tokenizer's pattern,
 so a text can be encoded as its segments between such cuts. Segments repeat, so each worker keeps the ids of those
-that it has seen, up to a limit, and asks the library for new ones only, many at a time. A text that holds the string of
+that it has seen, up to a limit, and asks the library for new ones only, many at a time. A segment is found again by its
+own bytes, never by a hash alone. A text that holds the string of
 one of the tokenizer's added tokens is encoded whole: the library parts such a text at those first.
 
 Null and empty texts have no ids. Very long texts are encoded in pieces that end at cuts. Repeated texts and empty
@@ -22,8 +23,8 @@ _CUT = re.compile(r" (?=\S)")
 #: Bytes before which a space is cut off: not white space, nor the first byte of white space outside ASCII.
 _CUT_BEFORE = np.ones(256, bool)
 _CUT_BEFORE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of a segment that fit into the two numbers of its key, beside its length.
+SHORT = 15
 #: Segments kept by a worker.
 KEEP = 1_000_000
 #: Characters in a piece of a very long text.
@@ -83,8 +84,18 @@ def tokenizer_from_ranks(path: str, pattern: str):
     return t
 
 
+def _keys(raw: np.ndarray, a: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and the length of segments of at most SHORT bytes as two numbers each: equal for equal segments only."""
+    padded = np.concatenate((raw, np.zeros(16, np.uint8)))
+    eights = np.ndarray((len(raw) + 9,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    kept = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+    first = eights[a] & kept[np.minimum(size, 8)]
+    second = eights[a + 8] & kept[np.clip(size - 8, 0, 8)]
+    return first, second | size.astype(np.uint64) << np.uint64(56)
+
+
 class Encoder:
-    """Ids of texts. Keeps the ids of the segments that it has seen, found again by two 64-bit hashes of their bytes."""
+    """Ids of texts. Keeps the ids of the segments that it has seen: short ones in a table by their bytes as numbers, longer ones in a dictionary."""
 
     def __init__(self, tokenizer, keep: int = KEEP):
         self.tokenizer, self.keep = tokenizer, keep
@@ -94,32 +105,19 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # a character for each byte
-        rng = np.random.default_rng(7)
-        self.values = [rng.integers(1, 2**63, 256, dtype=np.uint64) for _ in range(2)]
-        self.powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64),) * 2
         self._forget()
 
     def _forget(self) -> None:
-        self.check = np.zeros(0, np.uint64)  # the second hash of each segment
         slots = 1 << (3 * self.keep - 1).bit_length()
-        self.slot_hash, self.slot_place = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+        self.slot_place = np.full(slots, -1, np.int32)
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # the key of each segment, zeros for a longer one
+        self.longer: dict[bytes, int] = {}
         self.pool, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _hashes(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        if len(self.powers[0]) < len(raw):
-            n = 1 << max(16, (len(raw) - 1).bit_length())
-            self.powers = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))), dtype=np.uint64) for x in (_BASE, _INVERSE))
-        out = []
-        for values in self.values:
-            total = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(values[raw] * self.powers[0][: len(raw)], out=total[1:])
-            out.append((total[b] - total[a]) * self.powers[1][a])
-        return out
-
-    def _learn(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray, hashes: list[np.ndarray]) -> None:
+    def _learn(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         """Encodes new segments, each with its leading space, one behind another as one text, and parts the ids where their bytes end."""
         step = 20_000
         pools, sizes = [self.pool], [self.sizes]
@@ -133,8 +131,43 @@ class Encoder:
             sizes.append(np.diff(cuts, prepend=0))
         self.pool, self.sizes = np.concatenate(pools), np.concatenate(sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self._insert(hashes[0], np.arange(len(self.check), len(self.sizes), dtype=np.int32))
-        self.check = np.concatenate([self.check, hashes[1]])
+
+    def _places(self, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each segment among those that are kept; new ones are encoded first."""
+        size = b - a
+        place = np.empty(len(a), np.int64)
+        short = np.flatnonzero(size <= SHORT)
+        first, second = _keys(raw, a[short], size[short])
+        found = self._find(first, second)
+        known, at_a, at_b = len(self.sizes), [], []
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            order = new[np.lexsort((second[new], first[new]))]
+            other = np.ones(len(order), bool)
+            other[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+            found[order] = known + np.cumsum(other) - 1
+            one = order[other]
+            at_a.append(a[short[one]])
+            at_b.append(b[short[one]])
+            self.first, self.second = np.concatenate((self.first, first[one])), np.concatenate((self.second, second[one]))
+            self._insert(np.arange(known, known + len(one)))
+        place[short] = found
+        data, tail_a, tail_b = raw.tobytes() if len(short) < len(a) else b"", [], []
+        for i in np.flatnonzero(size > SHORT):
+            segment = data[a[i] : b[i]]
+            at = self.longer.get(segment)
+            if at is None:
+                at = self.longer[segment] = len(self.first) + len(tail_a)
+                tail_a.append(a[i])
+                tail_b.append(b[i])
+            place[i] = at
+        if tail_a:
+            self.first, self.second = (np.concatenate((x, np.zeros(len(tail_a), np.uint64))) for x in (self.first, self.second))
+            at_a.append(np.array(tail_a, np.int64))
+            at_b.append(np.array(tail_b, np.int64))
+        if at_a:
+            self._learn(raw, np.concatenate(at_a), np.concatenate(at_b))
+        return place
 
     def _long(self, text: str) -> np.ndarray:
         """A very long text, encoded in pieces."""
@@ -165,18 +198,10 @@ class Encoder:
         a = np.flatnonzero(cut)
         b = np.append(a[1:], len(raw))[: len(a)]
         head = is_head[a]
-        if max(len(self.check) + len(a), len(self.pool) // 8) > 2 * self.keep:
+        if max(len(self.sizes) + len(a), len(self.pool) // 8) > 2 * self.keep:
             self._forget()
         ra, rb = a[~head], b[~head]
-        h = self._hashes(raw, ra, rb)
-        place = self._find(h[0])
-        if len(new := np.flatnonzero(place < 0)):
-            _, first, again = np.unique(h[0][new], return_index=True, return_inverse=True)
-            place[new] = len(self.check) + again
-            new = new[first]
-            self._learn(raw, ra[new], rb[new], [x[new] for x in h])
-        if not (self.check[place] == h[1]).all():
-            raise AssertionError("two segments have the same hash")
+        place = self._places(raw, ra, rb)
         heads = self._ids([raw[x:y].tobytes().decode() for x, y in zip(a[head], b[head], strict=True)])
         pool = np.concatenate([self.pool, *heads])  # heads lie behind the pool, for this call only
         starts, sizes = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
@@ -191,27 +216,31 @@ class Encoder:
             return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
         return flat, bounds
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Places of hashes in the open-addressed table, -1 for new ones."""
-        out, left, mask = np.full(len(h), -1, np.int64), np.arange(len(h)), len(self.slot_hash) - 1
-        slot = (h & np.uint64(mask)).astype(np.int64)
+    def _slots(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        mixed = (first * np.uint64(0xD6E8FEB86659FD93) ^ second) * np.uint64(0x94D049BB133111EB)
+        return ((mixed ^ mixed >> np.uint64(29)) & np.uint64(len(self.slot_place) - 1)).astype(np.int64)
+
+    def _find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of short segments in the open-addressed table, -1 for new ones."""
+        out, left, mask = np.full(len(first), -1, np.int64), np.arange(len(first)), len(self.slot_place) - 1
+        slot = self._slots(first, second)
         while len(left):
-            place, same = self.slot_place[slot], self.slot_hash[slot] == h[left]
+            place = self.slot_place[slot]
             there = place >= 0
-            out[left[there & same]] = place[there & same]
-            on = there & ~same
-            left, slot = left[on], (slot[on] + 1) & mask
+            slot, left, place = slot[there], left[there], place[there]
+            same = (self.first[place] == first[left]) & (self.second[place] == second[left])
+            out[left[same]] = place[same]
+            left, slot = left[~same], (slot[~same] + 1) & mask
         return out
 
-    def _insert(self, h: np.ndarray, place: np.ndarray) -> None:
-        mask = len(self.slot_hash) - 1
-        slot = (h & np.uint64(mask)).astype(np.int64)
-        while len(h):
+    def _insert(self, place: np.ndarray) -> None:
+        mask = len(self.slot_place) - 1
+        slot = self._slots(self.first[place], self.second[place])
+        while len(place):
             free = self.slot_place[slot] < 0
             self.slot_place[slot[free]] = place[free]
-            mine = free & (self.slot_place[slot] == place)
-            self.slot_hash[slot[mine]] = h[mine]
-            h, place, slot = h[~mine], place[~mine], (slot[~mine] + 1) & mask
+            mine = self.slot_place[slot] == place
+            place, slot = place[~mine], (slot[~mine] + 1) & mask
 
 
 @functools.lru_cache(maxsize=4)

@@ -1,34 +1,27 @@
 """Words and shingles of many texts at once, as 64-bit hashes in numpy arrays.
 
-A word is a run of bytes other than ASCII white space, A-Z lower-cased. Its hash is a sum of a fixed random value for
-each byte times a power of an odd base modulo 2**64, so that one running sum gives the hash of every word; a final mix
-spreads the bits. Two different shingles share a hash with probability about 2**-64.
+A word is a run of bytes other than ASCII white space, A-Z lower-cased. Its hash takes eight bytes after the other, each
+mixed nonlinearly with what came before, so that no pattern of letters cancels out; a long word is hashed by BLAKE2.
+Two different words, or shingles, share a hash with probability about 2**-64.
+
+Null texts have no words. Very long texts are taken in blocks that end at white space. Columns and rows are the callers' matter.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
 SPACES = (9, 10, 11, 12, 13, 32)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
-_VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
-_VALUES[65:91] = _VALUES[97:123]
-_BASE, _MASK = 0xD6E8FEB86659FD93, (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes that are hashed in one go; the two tables of powers take 16 MB.
-BLOCK = 1 << 20
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _tables:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(BLOCK, base, np.uint64)
-            p[0] = 1
-            _tables[name] = np.cumprod(p, dtype=np.uint64)
-    return _tables["up"][:n], _tables["down"][:n]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+#: Bytes that are hashed in one go, and the longest word that is hashed together with others.
+BLOCK, LONG_WORD = 1 << 20, 64
+_KEPT = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,24 +33,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word of at most BLOCK bytes."""
     raw = np.frombuffer(data, np.uint8)
-    gap = IS_SPACE[raw]
-    edge = np.flatnonzero(np.diff(gap.astype(np.int8), prepend=1, append=1))
+    edge = np.flatnonzero(np.diff(IS_SPACE[raw].astype(np.int8), prepend=1, append=1))
     starts, ends = edge[::2], edge[1::2]
-    up, down = _powers(len(raw) + 0)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[raw] * up, out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts] if len(starts) else np.zeros(0, np.uint64)
-    return mix(h + U(0x9E3779B97F4A7C15) * (ends - starts).astype(np.uint64)), starts, ends
+    lower = np.concatenate((_LOWER[raw], np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(raw) + 1,), "<u8", lower, strides=(1,))  # the eight bytes from each byte on
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(1))
+    left = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(left):
+        h[left] = mix((h[left] ^ (eights[starts[left] + at] & _KEPT[np.minimum(size[left] - at, 8)])) * U(0x9FB21C651E98DF25) + U(0xD6E8FEB86659FD93))
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = _long_word(lower[starts[i] : ends[i]].tobytes())
+    return h, starts, ends
 
 
-def _long_word(word: bytes) -> int:
-    """The same hash for a word longer than a block."""
-    total = 0
-    for at in range(0, len(word), BLOCK):
-        part = np.frombuffer(word[at : at + BLOCK], np.uint8)
-        up, _ = _powers(len(part))
-        total += int((_VALUES[part] * up).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
-    return int(mix(np.array([(total + 0x9E3779B97F4A7C15 * len(word)) & _MASK], np.uint64))[0])
+def _long_word(lower: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(lower, digest_size=8).digest(), "little")
 
 
 def _cuts(data: bytes) -> list[tuple[int, int, bool]]:
@@ -104,7 +98,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             flush(no)
             for a, b, is_word in _cuts(data):
                 if is_word:
-                    h, s, e = np.array([_long_word(data[a:b])], np.uint64), np.array([0]), np.array([b - a])
+                    h, s, e = np.array([_long_word(data[a:b].translate(_LOWER.tobytes()))], np.uint64), np.array([0]), np.array([b - a])
                 else:
                     h, s, e = _block(data[a:b])
                 hashes.append(h)

@@ -144,3 +144,25 @@ def test_encode_checked(spark, whole):
         assert r.ids == whole[3].encode_ordinary(r.text or "") and r.n_tokens == len(r.ids)
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert byte_bpe.encode_checked(df.where(F.lit(False)), RANKS, P.PATTERN).count() == 0
+
+
+def thue_morse(n, letters="ab"):
+    """Words that sums over powers of an odd base modulo 2**64 cannot tell from their complement, from 1,024 letters on."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [8, 15, 16, 1024, 4096])
+def test_words_that_weak_hashes_confuse(whole, n):
+    plain, by_json, by_ranks, own = whole
+    text = f"x {thue_morse(n)} {thue_morse(n, 'ba')} y"
+    for texts in ([text], [text[:-2], text]):
+        assert split(by_json, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert split(by_ranks, texts) == [own.encode_ordinary(t) for t in texts]
+
+
+def test_segments_are_told_apart_by_bytes_and_length(whole):
+    plain, by_json, _, _ = whole
+    texts = ["a \x00 \x00\x00 b", "a b\x00 b c", "a " + "z" * 14 + " " + "z" * 15 + " " + "z" * 14 + "\x00 q"]
+    small = bpe.Encoder(plain, keep=4)
+    for _ in range(3):
+        assert split(by_json, texts) == split(small, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]

@@ -56,7 +56,6 @@ def test_shingles_of_any_text(texts, k):
 
 def test_long_texts_and_words(monkeypatch):
     monkeypatch.setattr(textops, "BLOCK", 64)
-    monkeypatch.setattr(textops, "_tables", {})
     texts = ["ab cd " * 50 + "x" * 500 + " ab cd", "x" * 500, "x" * 499 + "y", "", "Ab", " " * 200 + "ab"]
     h, no, a, b = textops.words(texts)
     got = [(int(n), texts[n].encode()[i:j].lower()) for n, i, j in zip(no, a, b, strict=True)]
@@ -112,3 +111,12 @@ def test_op10(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in op10_ngram_join(spark, d).select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_weak_hashes_confuse(spark, n):
+    a, b = ("".join(letters[i.bit_count() & 1] for i in range(n)) for letters in ("ab", "ba"))
+    df = spark.createDataFrame([(1, f"x {a} y z"), (2, f"x {b} y z"), (3, f"x {a} y z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in N.linked(df, k=4, per_cent=85).collect()) == [(1, 1), (2, 2), (3, 1)]
+    h = textops.words([f"{a} {b} {a.upper()}"])[0]
+    assert h[0] == h[2] != h[1]

@@ -258,3 +258,9 @@ def test_very_long_text_and_hot_passage(spark):
     left = {r.doc_id: r.text for r in S.deduplicated(frame(spark, rows)).collect()}
     assert [d for d, t in left.items() if " ".join(hot) in t] == [1] and set(left) == {d for d, _ in rows} - {901}  # both of its lines are elsewhere
     assert sum(len(words_of(t)) > 50_000 for t in left.values()) == 1
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    a, b = ("".join(letters[i.bit_count() & 1] for i in range(1024)) for letters in ("ab", "ba"))
+    lines = [" ".join(f"{w} {x}" for w in prose(random.Random(3), 40)) for x in (a, b, a)]
+    assert {r.doc_id for r in S.passages(frame(spark, enumerate(lines))).collect()} == {2}
