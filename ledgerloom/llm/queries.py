@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, chat_format, filter_audit, language_id, media, mixing, ngram_join, packing, substring_dedup, token_binary, url_filter, winnowing
+from ledgerloom.llm import byte_bpe, chat_format, filter_audit, language_id, media, mixing, ngram_join, packing, substring_dedup, token_binary, url_filter, vector_codes, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_binary, op2_url_filter, op3_winnowing, op4_byte_bpe, op5_language_id, op6_media, op7_substring_dedup, op8_chat_format, op9_mixing, op10_ngram_join, op11_packing, op13_filter_audit, pipeline)}
+    return {f.__name__: f for f in (op1_token_binary, op2_url_filter, op3_winnowing, op4_byte_bpe, op5_language_id, op6_media, op7_substring_dedup, op8_chat_format, op9_mixing, op10_ngram_join, op11_packing, op12_vector_codes, op13_filter_audit, pipeline)}
 
 
 #: All pairs by shared shingles, and the smallest doc_id that links reach.
