@@ -1,53 +1,90 @@
-"""Comparing nested JSON documents: a document becomes its nodes, one row each, and comparisons are joins and aggregates of nodes.
+"""Comparing nested JSON documents: a document becomes its nodes, found in one pass, and comparisons are joins and aggregates of these.
 
-Nodes are found level by level, and one value of a document is put together from the deepest level upwards, so a document is as
-deep as it likes; a small job for each level tells whether there is another. A text that is no JSON has no nodes.
+A node is known by its steps from the root as an array, ".name" for a member and "[0]" for an item, so no name can look like
+another path. Keys that are null are keys like others; keys identify a document. A value of a document is put together from its last node to
+its first, so a document is as deep as it likes. A text that is no JSON has no nodes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json as json_
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.functions import dates
 from ledgerloom.functions import text as T
 from ledgerloom.operators.compare import MONEY, NUMBER, PERCENT
 
+NODES = "nodes array<struct<no:int,parent:int,steps:array<string>,kind:string,said:string,size:int>>"
+KINDS = ("numbers", "percentages", "amounts", "dates")
+
 
 @dataclass
 class Nodes:
-    """rows: keys, path, parent, step (member name or index), place (in an array), depth, kind, said (of a scalar) and size (of a container)."""
+    """documents: a row each, with the keys and the array of its nodes: no, parent's no (-1: none), steps, kind, what a scalar says and how many are in a container."""
 
-    rows: DataFrame
+    documents: DataFrame
     keys: list[str]
-    depth: int
+
+    @property
+    def rows(self) -> DataFrame:
+        """A row for each node, with path, which shows the steps as in $.member[0]; other nodes' paths may look the same."""
+        out = self.documents.select(*self.keys, F.inline("nodes"))
+        return out.withColumn("path", F.concat(F.lit("$"), F.array_join("steps", "")))
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+def _walk(text: str) -> Iterator[tuple]:
+    """The nodes of a document: parent, steps, kind, what is said and size, each before its own."""
+    left, no = [(json_.loads(text, parse_int=_Number, parse_float=_Number), -1, ())], 0
+    while left:
+        value, parent, steps = left.pop()
+        if isinstance(value, dict):
+            yield parent, steps, "OBJECT", None, len(value)
+            left += [(v, no, (*steps, f".{k}")) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            yield parent, steps, "ARRAY", None, len(value)
+            left += [(value[i], no, (*steps, f"[{i}]")) for i in reversed(range(len(value)))]
+        elif isinstance(value, str):
+            yield parent, steps, "NUMBER" if isinstance(value, _Number) else "STRING", str(value), None
+        else:
+            yield parent, steps, "NULL" if value is None else "BOOLEAN", None if value is None else str(value).lower(), None
+        no += 1
+
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
 
 
 def nodes(documents: DataFrame, keys: Sequence[str], json: str) -> Nodes:
-    """The nodes of each document's JSON text, paths as in $.member[0]."""
-    spark, out = documents.sparkSession, None
-    none = F.lit(None)
-    level = documents.select(*keys, F.lit("$").alias("path"), none.cast("string").alias("parent"), F.lit("").alias("step"), none.cast("int").alias("place"), F.try_parse_json(json).alias("v")).where("v is not null")
-    depth = 0
-    while True:
-        kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
-        told = F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "NUMBER").when(F.is_variant_null("v"), "NULL").otherwise(kind)
-        level = level.withColumn("kind", told).withColumn("depth", F.lit(depth))
-        said = F.when(~F.col("kind").isin("OBJECT", "ARRAY", "NULL"), F.variant_get("v", "$", "string"))
-        inner = level.where(F.col("kind").isin("OBJECT", "ARRAY")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "child"))
-        inner = inner.where("child is not null")
-        rows = level.select(*keys, "path", "parent", "step", "place", "depth", "kind", said.alias("said"))
-        out = rows if out is None else out.unionByName(rows)
-        if inner.isEmpty():
-            return Nodes(out, list(keys), depth)
-        listed = F.col("kind") == "ARRAY"
-        step = F.when(listed, F.col("pos").cast("string")).otherwise(F.col("name"))
-        path = F.concat("path", F.when(listed, F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.lit("."), "name")))
-        level = inner.select(*keys, path.alias("_path"), F.col("path").alias("parent"), step.alias("step"), F.when(listed, F.col("pos")).cast("int").alias("place"), F.col("child").alias("v")).withColumnRenamed("_path", "path")
-        depth += 1
+    """The nodes of each document's JSON text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, no, out = [], [], []
+            for text in batch.column("_json").to_pylist():
+                own = list(_walk(text))
+                sizes.append(len(own))
+                no += range(len(own))
+                out += own
+            parent, steps, kind, said, size = zip(*out, strict=True) if out else ((),) * 5
+            flat = _lists([len(s) for s in steps], pa.array([x for s in steps for x in s], pa.string()))
+            fields = [pa.array(no, pa.int32()), pa.array(parent, pa.int32()), flat, pa.array(kind, pa.string()), pa.array(said, pa.string()), pa.array(size, pa.int32())]
+            struct = pa.StructArray.from_arrays(fields, ["no", "parent", "steps", "kind", "said", "size"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), _lists(sizes, struct)], names=[*keys, "nodes"])
+
+    # Written anew by Spark, a text is plain JSON, numbers in one form; what it cannot read is left out.
+    rows = documents.select(*keys, F.to_json(F.try_parse_json(json)).alias("_json")).where("_json is not null")
+    return Nodes(rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *StructType.fromDDL(NODES).fields])), list(keys))
 
 
 def _number(said: Column, digits: int | None) -> Column:
@@ -66,72 +103,93 @@ LEVELS = {
 }
 
 
-def canonical(found: Nodes, levels: Sequence[str] = tuple(LEVELS)) -> DataFrame:
-    """keys and, for each level, one text of the document: the same for documents that are the same at that level. Members are in order of their names."""
+def _leaf(level: str, kind: Column, said: Column) -> Column:
+    plain, digits, _, _ = LEVELS[level]
+    number = F.when(said.rlike("[.eE]"), _number(said, digits)).otherwise(_number(said, None))
+    quoted = F.regexp_extract(F.to_json(F.array(plain(said))), r"(?s)^\[(.*)\]$", 1)
+    return F.when(kind == "STRING", quoted).when(kind == "NUMBER", number).when(kind == "NULL", "null").otherwise(said)
+
+
+def _together(level: str, nodes_: list[dict], leaves: list[str | None]) -> list[str]:
+    """The text of each node of a document, from the last to the first. Members are in order of their names."""
+    _, _, filled, ordered = LEVELS[level]
+    out: list[str] = [""] * len(nodes_)
+    below: list[list] = [[] for _ in nodes_]
+    for no in range(len(nodes_) - 1, -1, -1):
+        node = nodes_[no]
+        kind = node["kind"]
+        if kind == "ARRAY":
+            out[no] = "[" + ",".join(sorted(below[no]) if ordered else reversed(below[no])) + "]"
+        elif kind == "OBJECT":
+            out[no] = "{" + ",".join(f"{json_.dumps(name)}:{text}" for name, text in sorted(below[no])) + "}"
+        else:
+            out[no] = leaves[no] or ""
+        if node["parent"] < 0 or filled and (kind == "NULL" or node["said"] == ""):
+            continue
+        step = node["steps"][-1]
+        if step[0] == ".":
+            below[node["parent"]].append((step[1:], out[no]))
+        elif not (filled and out[no] == "[]"):  # an empty list in a list goes too, an empty list as a member stays
+            below[node["parent"]].append(out[no])
+    return out
+
+
+def texts(found: Nodes, levels: Sequence[str]) -> DataFrame:
+    """keys, nodes and, for each level, the array of all nodes' texts: the same for values that are the same at that level."""
     keys = found.keys
+    leaves = lambda x: F.transform("nodes", lambda n: _leaf(x, n["kind"], n["said"])).alias(x)
+    rows = found.documents.select(*keys, "nodes", *map(leaves, levels))
 
-    def leaf(level: str) -> Column:
-        plain, digits, _, _ = LEVELS[level]
-        number = F.when(F.col("said").rlike("[.eE]"), _number(F.col("said"), digits)).otherwise(_number(F.col("said"), None))
-        return F.when(F.col("kind") == "STRING", F.to_json(F.array(plain(F.col("said"))))).when(F.col("kind") == "NUMBER", number).when(F.col("kind") == "NULL", "null").otherwise(F.col("said"))
-
-    whole = found.rows.select(*keys, "path", "parent", "step", "place", "depth", "kind", *(leaf(x).alias(x) for x in levels), (F.coalesce("said", F.lit("x")) == "").alias("blank"))
-    below = None
-    for depth in range(found.depth, -1, -1):
-        rows = whole.where(F.col("depth") == depth)
-        if below is None:
-            rows = rows.withColumns({f"{x}_items": F.lit(None).cast("array<struct<at:int,text:string>>") for x in levels}).withColumns({f"{x}_members": F.lit(None).cast("array<struct<step:string,text:string>>") for x in levels})
-        else:
-            rows = rows.join(_gathered(below, keys, levels), [*keys, "path"], "left")
-        text = {}
-        for x in levels:
-            items = F.transform(F.coalesce(f"{x}_items", F.array()), lambda i: i["text"])
-            members = F.transform(F.coalesce(f"{x}_members", F.array()), lambda i: F.concat(F.to_json(F.array(i["step"])), F.lit(":"), i["text"]))
-            text[x] = F.when(F.col("kind") == "ARRAY", F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))).when(F.col("kind") == "OBJECT", F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))).otherwise(F.col(x))
-        below = rows.withColumns(text).select(*keys, "path", "parent", "step", "place", "kind", "blank", *levels)
-    return below.select(*keys, *levels)
-
-
-def _gathered(below: DataFrame, keys: Sequence[str], levels: Sequence[str]) -> DataFrame:
-    """keys, path of a container and its items or members at each level, in order."""
-    nothing = (F.col("kind") == "NULL") | F.col("blank")
-    out = []
-    for x in levels:
-        _, _, filled, ordered = LEVELS[x]
-        item, member = F.col("place").isNotNull(), F.col("place").isNull()
-        if filled:  # an empty list in a list goes too, an empty list as a member stays
-            item, member = item & ~nothing & ~((F.col("kind") == "ARRAY") & (F.col(x) == "[]")), member & ~nothing
-        at = F.lit(0) if ordered else F.col("place")
-        out.append(F.array_sort(F.collect_list(F.when(item, F.struct(at.alias("at"), F.col(x).alias("text"))))).alias(f"{x}_items"))
-        out.append(F.array_sort(F.collect_list(F.when(member, F.struct("step", F.col(x).alias("text"))))).alias(f"{x}_members"))
-    return below.groupBy(*keys, F.col("parent").alias("path")).agg(*out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("nodes").to_pylist()
+            whole = [[_together(x, n, leaves) for n, leaves in zip(own, batch.column(x).to_pylist(), strict=True)] for x in levels]
+            new = [pa.array(w, pa.list_(pa.string())) for w in whole]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("nodes"), *new], names=[*keys, "nodes", *levels])
 
+    return rows.mapInArrow(run, rows.schema)
 
-def data_in(found: Nodes) -> DataFrame:
-    """keys, path, kind (numbers, percentages, amounts, dates) and value of all data in a document's numbers and texts."""
-    keys, rows = found.keys, found.rows
+
+def canonical(found: Nodes, levels: Sequence[str] = tuple(LEVELS)) -> DataFrame:
+    """keys and, for each level, one text of the document: the same for documents that are the same at that level."""
+    return texts(found, levels).select(*found.keys, *(F.get(x, F.lit(0)).alias(x) for x in levels))
+
+
+def _data(nodes_: Column) -> dict[str, Column]:
+    """The different data of each kind in a document's numbers and texts, as sorted arrays."""
     plain = lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("double").cast("string")
-    said = F.col("said")
-    in_text = lambda pattern: F.transform(F.regexp_extract_all(said, F.lit(pattern), 1), plain)
-    each = F.array(
-        *(F.struct(F.lit(name).alias("kind"), values.alias("values")) for name, values in (("numbers", in_text(NUMBER)), ("percentages", in_text(PERCENT)), ("amounts", in_text(MONEY)), ("dates", dates.all_in(said))))
-    )
-    texts = rows.where("kind = 'STRING'").select(*keys, "path", F.inline(each)).select(*keys, "path", "kind", F.explode("values").alias("value"))
-    numbers = rows.where("kind = 'NUMBER'").select(*keys, "path", F.lit("numbers").alias("kind"), said.cast("double").cast("string").alias("value"))
-    return numbers.unionByName(texts)
+    said = F.transform(F.filter(nodes_, lambda n: n["kind"] == "STRING"), lambda n: n["said"])
+    numbers = F.transform(F.filter(nodes_, lambda n: n["kind"] == "NUMBER"), lambda n: n["said"].cast("double").cast("string"))
+    in_text = lambda pattern: F.flatten(F.transform(said, lambda t: F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), plain)))
+    each = (F.concat(numbers, in_text(NUMBER)), in_text(PERCENT), in_text(MONEY), F.flatten(F.transform(said, lambda t: dates.all_in(t))))
+    return {k: F.array_sort(F.array_distinct(F.array_compact(values))) for k, values in zip(KINDS, each, strict=True)}
+
+
+def data_in(found: Nodes) -> DataFrame:
+    """keys, kind (numbers, percentages, amounts, dates) and value of the different data in a document's numbers and texts."""
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), values.alias("values")) for k, values in _data(F.col("nodes")).items()))
+    return found.documents.select(*found.keys, F.inline(each)).select(*found.keys, "kind", F.explode("values").alias("value"))
+
+
+def _joined(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str, also: Sequence[str] = ()) -> DataFrame:
+    """a and b joined where keys are the same, null with null, and the columns in also; these once, then a's others and b's, which end in _b."""
+    named = b.withColumnsRenamed({c: f"{c}_b" for c in b.columns})
+    on = [*keys, *also]
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_b")) for k in on]
+    out = a.join(named, same, how)
+    # A key may be null in both, so the side that is there says whose keys these are.
+    once = [F.when(F.col("_there").isNotNull(), F.col(k)).otherwise(F.col(f"{k}_b")).alias(k) if how == "full" else F.col(k) for k in on]
+    return out.select(*once, *(c for c in out.columns if c not in on and c not in {f"{k}_b" for k in on}))
 
 
 def matches(a: Nodes, b: Nodes) -> DataFrame:
     """keys and whether both documents are the same at each level. data: some kind of data is the same in both, or what is left of their texts."""
     keys = a.keys
-    left, right = canonical(a), canonical(b).withColumnsRenamed({x: f"{x}_b" for x in LEVELS})
-    kinds = ("numbers", "percentages", "amounts", "dates")
-    sets = lambda n: data_in(n).groupBy(*keys).agg(*(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in kinds))
-    both = left.join(right, keys).join(sets(a), keys, "left").join(sets(b).withColumnsRenamed({k: f"{k}_b" for k in kinds}), keys, "left")
-    none = F.array().cast("array<string>")
+    firsts = lambda n: texts(n, tuple(LEVELS)).select(*n.keys, *(F.get(x, F.lit(0)).alias(x) for x in LEVELS), *(v.alias(k) for k, v in _data(F.col("nodes")).items()))
+    both = _joined(firsts(a), firsts(b), keys, "inner")
     same = F.lit(False)
-    for k in kinds:
-        same = same | (F.coalesce(k, none) == F.coalesce(f"{k}_b", none))
+    for k in KINDS:
+        same = same | (F.col(k) == F.col(f"{k}_b"))
     flags = {x: F.col(x) == F.col(f"{x}_b") for x in LEVELS}
     flags["data"] = flags["data"] | same
     return both.select(*keys, *(flag.alias(f"{x}_match") for x, flag in flags.items()))
@@ -143,55 +201,38 @@ def differences(a: Nodes, b: Nodes, most: int = 5) -> DataFrame:
     Below a list of another length, and below values of another type, nothing is compared.
     """
     keys = a.keys
-    sized = lambda n: n.rows.join(n.rows.where("parent is not null").groupBy(*keys, F.col("parent").alias("path")).agg(F.count("*").alias("size")), [*keys, "path"], "left")
-    side = lambda n, c: sized(n).select(*keys, "path", F.col("parent").alias(f"parent_{c}"), F.col("kind").alias(f"kind_{c}"), F.col("said").alias(f"said_{c}"), F.coalesce("size", F.lit(0)).alias(f"size_{c}"))
-    both = side(a, "a").join(side(b, "b"), [*keys, "path"], "full").withColumn("parent", F.coalesce("parent_a", "parent_b"))
+    side = lambda n: n.rows.select(*keys, "steps", "path", "kind", "said", "size", F.lit(True).alias("_there"))
+    both = _joined(side(a), side(b), keys, "full", ["steps"])
     shorten = lambda c: F.when(F.length(c) > 50, F.concat(F.left(c, F.lit(50)), F.lit("..."))).otherwise(F.col(c))
-    told = lambda name: F.concat(F.lit(f"{name}: "), shorten("said_a"), F.lit(" / "), shorten("said_b"))
+    told = lambda name: F.concat(F.lit(f"{name}: "), shorten("said"), F.lit(" / "), shorten("said_b"))
     difference = (
         F.when(F.col("kind_b").isNull(), "missing")
-        .when(F.col("kind_a").isNull(), "extra")
-        .when(F.col("kind_a") != F.col("kind_b"), F.concat(F.lit("type: "), "kind_a", F.lit(" / "), "kind_b"))
-        .when((F.col("kind_a") == "ARRAY") & (F.col("size_a") != F.col("size_b")), F.concat(F.lit("length: "), "size_a", F.lit(" / "), "size_b"))
-        .when((F.col("kind_a") == "NUMBER") & (F.col("said_a").cast("double") != F.col("said_b").cast("double")), told("number"))
-        .when((F.col("kind_a") == "STRING") & (F.col("said_a") != F.col("said_b")), told("text"))
-        .when((F.col("kind_a") == "BOOLEAN") & (F.col("said_a") != F.col("said_b")), told("boolean"))
+        .when(F.col("kind").isNull(), "extra")
+        .when(F.col("kind") != F.col("kind_b"), F.concat(F.lit("type: "), "kind", F.lit(" / "), "kind_b"))
+        .when((F.col("kind") == "ARRAY") & (F.col("size") != F.col("size_b")), F.concat(F.lit("length: "), "size", F.lit(" / "), "size_b"))
+        .when((F.col("kind") == "NUMBER") & (F.col("said").cast("double") != F.col("said_b").cast("double")), told("number"))
+        .when((F.col("kind") == "STRING") & (F.col("said") != F.col("said_b")), told("text"))
+        .when((F.col("kind") == "BOOLEAN") & (F.col("said") != F.col("said_b")), told("boolean"))
     )
-    found = both.withColumn("difference", difference).where("difference is not null")
-    # Only the topmost of what differs: nothing below a path that is missing, extra, of another type or length.
-    stops = found.where(~F.col("difference").rlike("^(number|text|boolean): ")).select(*keys, F.col("path").alias("above"))
-    below = F.startswith(F.col("path"), F.concat("above", F.lit("."))) | F.startswith(F.col("path"), F.concat("above", F.lit("[")))
-    left, right = found.alias("l"), stops.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    on = below
-    for s in same:
-        on = on & s
-    top = left.join(right, on, "left_anti").select(*keys, "path", "difference")
-    no = F.row_number().over(Window.partitionBy(*keys).orderBy("path")).cast("int")
-    return top.withColumn("no", no).where(F.col("no") <= most)
+    found = both.select(*keys, "steps", F.coalesce("path", "path_b").alias("path"), difference.alias("difference")).where("difference is not null")
+    # Only the topmost of what differs: nothing below what is missing, extra, of another type or length.
+    stops = found.where(~F.col("difference").rlike("^(number|text|boolean): ")).select(*keys, F.col("steps").alias("above"))
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size("steps")), lambda i: F.slice("steps", 1, i - 1))).alias("above")
+    hidden = _joined(found.where(F.size("steps") > 0).select(*keys, "steps", above), stops, keys, "inner", ["above"]).select(*keys, "steps").distinct()
+    top = _joined(found, hidden.withColumn("hidden", F.lit(True)), keys, "left", ["steps"]).where("hidden_b is null")
+    no = F.row_number().over(Window.partitionBy(*keys).orderBy("path", "steps")).cast("int")
+    return top.select(*keys, "path", "difference", no.alias("no")).where(F.col("no") <= most)
 
 
 def lists(found: Nodes) -> DataFrame:
     """keys, path, total, distinct, repeats and number of items of each kind of the lists that are in no other list. Items are compared as JSON in order of names."""
-    keys, rows = found.keys, found.rows
-    own = rows.where((F.col("kind") == "ARRAY") & ~F.contains("path", F.lit("["))).select(*keys, "path")
-    items = _texts_below(found)
-    kinds = F.map_from_entries(F.array_sort(F.collect_set(F.struct("kind", "n"))))
-    counted = items.groupBy(*keys, "parent", "kind").agg(F.count("*").alias("n"), F.collect_set("text").alias("texts"))
-    counted = counted.groupBy(*keys, F.col("parent").alias("path")).agg(F.sum("n").alias("total"), F.sum(F.size("texts")).alias("distinct"), kinds.alias("kinds"))
-    all_ = own.join(counted, [*keys, "path"], "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("total", "distinct")})
-    return all_.select(*keys, "path", "total", "distinct", (F.col("total") - F.col("distinct")).alias("repeats"), F.coalesce("kinds", F.create_map().cast("map<string,bigint>")).alias("kinds"))
-
-
-def _texts_below(found: Nodes) -> DataFrame:
-    """keys, parent, kind and text of the items of the lists that are in no other list."""
-    keys, rows = found.keys, found.rows
-    items = rows.where(F.col("place").isNotNull() & ~F.contains("parent", F.lit("["))).select(*keys, "path", "parent", "kind", "said")
-    # A container's text is put together as canonical() does, each item as a document of its own.
-    top = F.regexp_extract("path", r"^([^\[]*\[\d+\])", 1)
-    inside = rows.where(F.contains("path", F.lit("["))).withColumn("_item", top)
-    parts = inside.withColumns({"path": F.concat(F.lit("$"), F.substr("path", F.length("_item") + 1)), "depth": F.col("depth") - F.size(F.split("_item", r"[.\[]")) + 1})
-    parts = parts.withColumns({"parent": F.when(F.col("path") == "$", None).otherwise(F.concat(F.lit("$"), F.substr("parent", F.length("_item") + 1)))})
-    parts = parts.withColumn("place", F.when(F.col("path") == "$", None).otherwise(F.col("place")))
-    texts = canonical(Nodes(parts, [*keys, "_item"], max(found.depth - 1, 0)), ["strict"]).select(*keys, F.col("_item").alias("path"), F.col("strict").alias("text"))
-    return items.join(texts, [*keys, "path"])
+    keys = found.keys
+    rows = texts(found, ["strict"]).select(*keys, F.inline(F.arrays_zip("nodes", "strict"))).select(*keys, "nodes.*", "strict")
+    inside = F.size(F.filter("steps", lambda x: x.startswith("[")))
+    item = (inside == 1) & F.element_at("steps", -1).startswith("[")
+    rows = rows.select(*keys, F.when(item, F.col("parent")).when((inside == 0) & (F.col("kind") == "ARRAY"), F.col("no")).alias("list"), item.alias("item"), F.concat(F.lit("$"), F.array_join("steps", "")).alias("path"), "kind", "strict")
+    every = ("ARRAY", "BOOLEAN", "NULL", "NUMBER", "OBJECT", "STRING")
+    counts = [F.count_if(F.col("item") & (F.col("kind") == k)).alias(k) for k in every]
+    counted = rows.where("list is not null").groupBy(*keys, "list").agg(F.max(F.when(~F.col("item"), F.col("path"))).alias("path"), F.count_if("item").alias("total"), F.count_distinct(F.when(F.col("item"), F.col("strict"))).alias("distinct"), *counts)
+    kinds = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in every)), lambda e: e["n"] > 0))
+    return counted.select(*keys, "path", "total", "distinct", (F.col("total") - F.col("distinct")).alias("repeats"), kinds.alias("kinds"))

@@ -89,6 +89,22 @@ LISTS = f"""WITH {DOCUMENTS}, e AS (SELECT conv_id, '$.texts' AS path, unnest(ot
 SELECT conv_id, path, count(*) AS total, count(DISTINCT item) AS "distinct", count(*) - count(DISTINCT item) AS repeats, any_value(kind) || '=' || count(*) AS kinds FROM e GROUP BY 1, 2"""
 
 
+def json_clashing_paths(s, d):
+    """Two ways to nest the same texts whose paths look alike: a member named a.b, and b within a. Some keys are null."""
+    text = F.coalesce("text", F.lit(""))
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.min_by(text, "turn").alias("first"), F.max_by(text, "turn").alias("last"), F.min_by("role", "turn").alias("role"))
+    c = c.select("conv_id", F.when(F.col("conv_id") % 3 != 0, F.col("role")).alias("k"), F.array("first").alias("first"), F.array("last").alias("last"))
+    both = lambda x, y: F.to_json(F.struct(F.col(x).alias("a.b"), F.struct(F.col(y).alias("b")).alias("a")))
+    rows = c.select("conv_id", "k", both("first", "last").alias("a"), both("last", "first").alias("b"))
+    found = N.differences(N.nodes(rows, ["conv_id", "k"], "a"), N.nodes(rows, ["conv_id", "k"], "b"))
+    return found.select("conv_id", "k", "no", "path", F.md5("difference").alias("difference"))
+
+
+CLASHING = """WITH c AS (SELECT conv_id, CASE WHEN conv_id % 3 <> 0 THEN arg_min(role, turn) END AS k, arg_min(coalesce(text, ''), turn) AS f, arg_max(coalesce(text, ''), turn) AS l FROM conversations GROUP BY 1),
+s AS (SELECT conv_id, k, CASE WHEN length(f) > 50 THEN left(f, 50) || '...' ELSE f END AS f, CASE WHEN length(l) > 50 THEN left(l, 50) || '...' ELSE l END AS l FROM c WHERE f <> l)
+SELECT conv_id, k, n AS no, '$.a.b[0]' AS path, md5('text: ' || CASE n WHEN 1 THEN l || ' / ' || f ELSE f || ' / ' || l END) AS difference FROM s, (VALUES (1), (2)) v(n)"""
+
+
 def required_keys(s, d):
     """Conversations as objects of their roles: which roles are missing, and whether all are there."""
     c = table(s, d, "conversations").groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("role", F.lit(1).alias("n"))))).alias("j"))
@@ -121,5 +137,5 @@ def picked_texts(s, d):
 PICKED = """SELECT conv_id, turn, role, md5(text) AS of, md5(CASE WHEN conv_id % 5 = 0 THEN '' WHEN turn % 4 = 0 THEN '{"a": 1}' WHEN turn % 4 = 1 THEN nullif(text, '') WHEN turn % 4 = 2 THEN role || coalesce(text, '') END) AS picked,
  CASE conv_id % 5 WHEN 0 THEN 'SAFETY' WHEN 1 THEN 'MAX_TOKENS' ELSE 'STOP' END AS finish FROM conversations"""
 
-QUERIES = {"json_nodes": json_nodes, "json_matches": json_matches, "json_differences": json_differences, "json_lists": json_lists, "required_keys": required_keys, "sanitized_json": sanitized_json, "picked_texts": picked_texts}
-ORACLES = {"json_nodes": NODES, "json_matches": MATCHES, "json_differences": DIFFERENCES, "json_lists": LISTS, "required_keys": REQUIRED, "sanitized_json": SANITIZED, "picked_texts": PICKED}
+QUERIES = {"json_nodes": json_nodes, "json_matches": json_matches, "json_differences": json_differences, "json_lists": json_lists, "json_clashing_paths": json_clashing_paths, "required_keys": required_keys, "sanitized_json": sanitized_json, "picked_texts": picked_texts}
+ORACLES = {"json_nodes": NODES, "json_matches": MATCHES, "json_differences": DIFFERENCES, "json_lists": LISTS, "json_clashing_paths": CLASHING, "required_keys": REQUIRED, "sanitized_json": SANITIZED, "picked_texts": PICKED}

@@ -172,3 +172,23 @@ def test_places_and_sums(spark, monkeypatch):
     assert ranges.placed(df.where("id < 0"), ["v", "id"], "no").count() == 0
     assert sorted(r.worker for r in dedupe.assigned(df, ["v", "id"], 4).collect()) == sorted(n % 4 for n in range(3000))
     assert dedupe.shuffled(df, "id", 5).collect() == dedupe.shuffled(df.repartition(2), "id", 5).collect()
+
+
+def test_names_that_look_like_paths_and_null_keys(spark):
+    a, b = '{"a.b":[1],"a":{"b":[2]}}', '{"a.b":[2],"a":{"b":[1]}}'
+    c = '{"x[0]":["p","q","p"],"y":["r"],"x":[["s"]],"":{"":[]}}'
+    df = spark.createDataFrame([(1, "k", a, a), (2, "k", a, b), (None, "k", c, c), (None, None, a, c), (3, None, c, '{"x[0]":["p","z","p"],"y":["r"],"x":[["s"]],"":{"":0}}')], "id long, key string, a string, b string")
+    one, two = (nested.nodes(df, ["id", "key"], x) for x in "ab")
+    by = lambda rows: {(r.id, r.key): r for r in rows}
+    assert {k: r.strict for k, r in by(nested.canonical(one, ["strict"]).collect()).items()}.keys() == {(1, "k"), (2, "k"), (None, "k"), (None, None), (3, None)}
+    assert by(nested.canonical(one, ["strict"]).collect())[None, "k"].strict == '{"":{"":[]},"x":[["s"]],"x[0]":["p","q","p"],"y":["r"]}'
+    flags = by(nested.matches(one, two).collect())
+    assert {k: (r.strict_match, r.meaning_match) for k, r in flags.items()} == {(1, "k"): (True, True), (2, "k"): (False, False), (None, "k"): (True, True), (None, None): (False, False), (3, None): (False, False)}
+    got = [(r.id, r.key, r.no, r.path, r.difference) for r in nested.differences(one, two).collect()]
+    assert sorted(x for x in got if x[0] == 2) == [(2, "k", 1, "$.a.b[0]", "number: 2 / 1"), (2, "k", 2, "$.a.b[0]", "number: 1 / 2")]
+    assert not [x for x in got if x[0] == 1 or x[:2] == (None, "k")]
+    assert sorted(x[3:] for x in got if x[:2] == (None, None)) == [("$.", "extra"), ("$.a", "missing"), ("$.a.b", "missing"), ("$.x", "extra"), ("$.x[0]", "extra")]
+    assert sorted(x[2:] for x in got if x[0] == 3) == [(1, "$..", "type: ARRAY / NUMBER"), (2, "$.x[0][1]", "text: q / z")]
+    lists = sorted((r.path, r.total, r.distinct, r.repeats, r.kinds) for r in nested.lists(one).where("id is null and key = 'k'").collect())
+    assert lists == [("$..", 0, 0, 0, {}), ("$.x", 1, 1, 0, {"ARRAY": 1}), ("$.x[0]", 3, 2, 1, {"STRING": 3}), ("$.y", 1, 1, 0, {"STRING": 1})]
+    assert nested.lists(one).where("id = 1").count() == 2 and nested.nodes(df, ["id", "key"], "a").rows.where("key is null and id is null").count() == 6
