@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import content, documents, monitoring, nested, period_stats, periods, relations, runs, scalars
+from ledgerloom.plans import content, documents, formats, monitoring, nested, period_stats, periods, relations, runs, scalars
 
-SECTIONS = (periods, period_stats, scalars, content, relations, monitoring, documents, nested, runs)
+SECTIONS = (periods, period_stats, scalars, content, relations, monitoring, documents, nested, runs, formats)
 
 
 def queries() -> dict:

@@ -20,6 +20,14 @@ def write_table(rows: DataFrame, path: str, descriptions: Mapping[str, str] | No
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def replace_partitions(rows: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Puts rows in place of those partitions of a table that they have rows for; the others stay.
+
+    Tasks write to a staging folder and partitions change only when all have succeeded: after a failure the table is as before.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def write_csv(rows: DataFrame, path: str, sep: str = ",") -> None:
     rows.write.mode("overwrite").option("header", "true").option("sep", sep).csv(path)
 
