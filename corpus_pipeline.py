@@ -2,7 +2,8 @@
 
 Null and empty texts, and those without letters, have no language and go in the first stage. Rows without doc_id or source are
 documents like others, last in order. Repeated rows stay until the n-gram Jaccard join, which keeps one. Very long texts are
-handled whole by every stage; ties are the operators'. An empty table passes through all stages. Other columns of documents are kept.
+handled whole by every stage; ties are the operators'. An empty table passes through all stages. Other columns of documents are kept
+up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import byte_bpe, common, language_id, mixing, ngram_join, substring_dedup
 
+#: What the language operator adds.
+LANGUAGE_COLUMNS = ("held_out", "lang_pred", "score", "languages")
 #: A document whose main language has a smaller share than this is rejected.
 LEAST_SHARE = 0.5
 #: Words of a shingle and similarity in per cent from which documents count as near copies.
@@ -23,8 +26,10 @@ WEIGHTS, MOST = (5, 2, 1), 3.0
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are written in one of the learned languages; those without letters or without a main language go."""
-    found = language_id.identified(docs)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in LANGUAGE_COLUMNS}  # columns of documents that are named as the operator's
+    found = language_id.identified(docs.withColumnsRenamed(own))
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return kept.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
