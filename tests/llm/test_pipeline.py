@@ -99,3 +99,16 @@ def test_odd_rows(spark):
             df = spark.createDataFrame(stage(spark, df, SF).collect(), stage(spark, df, SF).schema)
         # Of the texts with letters one stays, that with a doc_id; as the only one of the only source it is taken once.
         assert [(r.doc_id, r.lang, r.source, r.round_trip) for r in df.collect()] == ([(3, "en", "a", True)] if docs is full else [])
+
+
+def test_columns_named_as_the_operators_own(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    clash = ("score", "held_out", "lang_pred", "languages", "component_id", "group", "sig", "size", "copies", "taken", "no", "lines", "start", "end", "node")
+    first = docs.selectExpr("*", *(f"concat('mine ', doc_id) AS `{c}`" for c in clash))
+    rows = first
+    for name, stage in P.STAGES[:-1]:
+        rows = P.common.written(stage(spark, rows, SF), "test-stage")
+        assert rows.schema[len(docs.columns) :] == first.schema[len(docs.columns) :], name
+        assert rows.columns == first.columns
+    got = rows.collect()
+    assert len(got) > 20 and all(r[c] == f"mine {r.doc_id}" for r in got for c in clash)
