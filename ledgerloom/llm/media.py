@@ -5,8 +5,8 @@ the format then reads its structure and lengths from there: only what it confirm
 medium starts at its first byte has that type, whatever was declared. Confirmed media that start later, and are not part of
 another, are carved: their place, length and type are told.
 
-Marks that validators need are found once for a value, so a value of many magic bytes takes time in proportion to its length; only
-chunks with checksums may be read once for each start that claims them. Very long values need memory for themselves.
+Marks and chains of chunks that validators need are found once for a value, and checksums of ranges come from those of what is before them, so
+a value of many magic bytes takes time in proportion to its length, times its logarithm. Very long values need memory for themselves.
 
 Null values are empty. A value without confirmed medium has type `application/octet-stream`. Equal values give equal
 results; repeated rows stay. All other columns are kept; columns named as an added one are replaced. An empty table gives an empty table.
@@ -18,6 +18,7 @@ import bisect
 import functools
 import hashlib
 import io
+import math
 import re
 import struct
 import zipfile
@@ -37,23 +38,15 @@ ALIGN = 64
 
 def _wav(d: bytes, at: int, known: Marks) -> int:
     """Length of a RIFF/WAVE file with a format chunk before its data, or 0."""
-    if len(d) - at < 44 or bytes(d[at + 8 : at + 12]) != b"WAVE":
+    if len(d) - at < 44 or d[at + 8 : at + 12] != b"WAVE":
         return 0
     size = struct.unpack_from("<I", d, at + 4)[0] + 8
-    if size < 44 or at + size > len(d):
+    end = at + size
+    if size < 44 or end > len(d):
         return 0
-    pos, seen = at + 12, set()
-    while pos + 8 <= at + size:
-        name, n = bytes(d[pos : pos + 4]), struct.unpack_from("<I", d, pos + 4)[0]
-        if name == b"fmt " and n >= 16:
-            kind, channels, rate, per_s, align, bits = struct.unpack_from("<HHIIHH", d, pos + 8)
-            if not kind or not channels or per_s != rate * align or align != channels * ((bits + 7) // 8):
-                return 0
-        if name == b"data" and b"fmt " not in seen:
-            return 0
-        seen.add(name)
-        pos += 8 + n + (n & 1)
-    return size if pos in (at + size, at + size + 1) and {b"fmt ", b"data"} <= seen else 0
+    bad, form, data = known.chunks.first(at + 12)
+    last = known.chunks.after(at + 12, end - 8)  # where the chunks that lie in the file end
+    return size if last in (end, end + 1) and bad >= last and form < data < last else 0
 
 
 def _bmp(d: bytes, at: int, known: Marks) -> int:
@@ -68,17 +61,30 @@ def _bmp(d: bytes, at: int, known: Marks) -> int:
 
 def _png(d: bytes, at: int, known: Marks) -> int:
     """Length of a PNG file whose chunks all have right checksums, or 0."""
-    pos, first = at + 8, True
-    while pos + 12 <= len(d):
+
+    def chunk(pos: int) -> tuple[bytes, int]:
+        """Name and end of a whole chunk with a right checksum; no name for another."""
+        if pos + 12 > len(d):
+            return b"", 0
         n, name = struct.unpack_from(">I4s", d, pos)
-        if pos + 12 + n > len(d) or first != (name == b"IHDR") or first and n != 13:
-            return 0
-        if zlib.crc32(d[pos + 4 : pos + 8 + n]) != struct.unpack_from(">I", d, pos + 8 + n)[0]:
-            return 0
-        pos, first = pos + 12 + n, False
-        if name == b"IEND":
-            return pos - at if n == 0 else 0
-    return 0
+        end = pos + 12 + n
+        return (name, end) if end <= len(d) and known.crc(pos + 4, end - 4) == struct.unpack_from(">I", d, end - 4)[0] else (b"", 0)
+
+    name, pos = chunk(at + 8)
+    if name != b"IHDR" or pos != at + 33:
+        return 0
+    tried, end = [], 0
+    while pos not in known.png_ends:
+        tried.append(pos)
+        name, after = chunk(pos)
+        if name in (b"", b"IHDR", b"IEND"):
+            end = after if name == b"IEND" and after == pos + 12 else 0
+            break
+        pos = after
+    else:
+        end = known.png_ends[pos]
+    known.png_ends.update(dict.fromkeys(tried, end))
+    return end - at if end else 0
 
 
 def _gif(d: bytes, at: int, known: Marks) -> int:
@@ -160,12 +166,115 @@ def _pdf(d: bytes, at: int, known: Marks) -> int:
     return ends[-1] + 5 - at
 
 
+class Chunks:
+    """Chains of RIFF chunks: where each leads depends on its place alone, so chains are trees that grow together. Every place is read once.
+
+    Each place keeps the next one and a place farther on, chosen so that any place of its chain is found in steps as the logarithm of its length.
+    """
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.next: dict[int, int] = {}
+        self.far: dict[int, int] = {}
+        self.depth: dict[int, int] = {}
+        self.firsts: dict[int, tuple[float, float, float]] = {}
+
+    def _follow(self, pos: int) -> None:
+        d, new = self.data, []
+        while pos not in self.depth and pos + 8 <= len(d):
+            new.append(pos)
+            n = struct.unpack_from("<I", d, pos + 4)[0]
+            pos += 8 + n + (n & 1)
+        if pos not in self.depth:  # behind the last whole head of a chunk
+            self.next[pos] = self.far[pos] = pos
+            self.depth[pos], self.firsts[pos] = 0, (math.inf,) * 3
+        for place in reversed(new):
+            far = self.far[pos]
+            even = self.depth[pos] - self.depth[far] == self.depth[far] - self.depth[self.far[far]]
+            self.next[place], self.far[place], self.depth[place] = pos, self.far[far] if even else pos, self.depth[pos] + 1
+            bad, form, data = self.firsts[pos]
+            name = d[place : place + 4]
+            if name == b"fmt ":
+                form, bad = place, bad if self._good_format(place) else place
+            self.firsts[place] = bad, form, place if name == b"data" else data
+            pos = place
+
+    def _good_format(self, place: int) -> bool:
+        if struct.unpack_from("<I", self.data, place + 4)[0] < 16:
+            return True  # too short to be read; not an error by itself
+        if place + 24 > len(self.data):
+            return False
+        kind, channels, rate, per_s, align, bits = struct.unpack_from("<HHIIHH", self.data, place + 8)
+        return bool(kind and channels and per_s == rate * align and align == channels * ((bits + 7) // 8))
+
+    def first(self, pos: int) -> tuple[float, float, float]:
+        """The first bad format chunk, format chunk and data chunk of the chain from pos."""
+        if pos not in self.depth:
+            self._follow(pos)
+        return self.firsts[pos]
+
+    def after(self, pos: int, limit: int) -> int:
+        """The first place of the chain from pos that is greater than limit, or its last."""
+        while pos <= limit and self.next[pos] != pos:
+            pos = self.far[pos] if self.far[pos] <= limit else self.next[pos]
+        return pos
+
+
+class RangeCrc:
+    """CRC-32 of any range of a value, in a time that does not grow with the range: from checksums of all that comes before its ends."""
+
+    STEP = 1 << 12
+    POLY = 0xEDB88320
+
+    def __init__(self, data: bytes):
+        self.data, self.view, self.before = data, memoryview(data), [0]
+
+    def _until(self, at: int) -> int:
+        """Checksum of the first at bytes."""
+        while len(self.before) <= at // self.STEP:
+            n = len(self.before)
+            self.before.append(zlib.crc32(self.view[(n - 1) * self.STEP : n * self.STEP], self.before[-1]))
+        whole = at // self.STEP
+        return zlib.crc32(self.view[whole * self.STEP : at], self.before[whole])
+
+    @classmethod
+    def _times(cls, a: int, b: int) -> int:
+        """The product of two polynomials over bits modulo the checksum's; the highest power is the lowest bit."""
+        out = 0
+        for i in range(31, -1, -1):
+            if a >> i & 1:
+                out ^= b
+            b = b >> 1 ^ (cls.POLY if b & 1 else 0)
+        return out
+
+    @classmethod
+    @functools.lru_cache(maxsize=2048)
+    def _zeros(cls, i: int, digit: int) -> int:
+        """What digit * 256 ** i bytes of 0 multiply a checksum by."""
+        if digit == 0:
+            return 1 << 31
+        one = 1 << 23 if i == 0 else cls._times(cls._zeros(i - 1, 255), cls._zeros(i - 1, 1))
+        return one if digit == 1 else cls._times(one, cls._zeros(i, digit - 1))
+
+    def __call__(self, a: int, b: int) -> int:
+        if b - a <= 2 * self.STEP:
+            return zlib.crc32(self.view[a:b])
+        start, n, i = self._until(a), b - a, 0
+        while n:
+            if n & 255:
+                start = self._times(self._zeros(i, n & 255), start)
+            n, i = n >> 8, i + 1
+        return self._until(b) ^ start
+
+
 class Marks:
-    """What the validators look up in a value, found once: places of marks, the archives' ends by their starts, places from which a chain of blocks fails, and where chains of a GIF's sub-blocks end."""
+    """What the validators look up in a value, found once: places of marks, the archives' ends by their starts, chains of RIFF chunks, places from which a chain of blocks fails, and where chains of PNG chunks and of a GIF's sub-blocks end."""
 
     def __init__(self, data: bytes):
         self.data, self.no_gif, self.no_jpeg = data, set(), set()
         self.block_ends: dict[int, int] = {}
+        self.png_ends: dict[int, int] = {}
+        self.chunks, self.crc = Chunks(data), RangeCrc(data)
 
     def _all(self, mark: bytes) -> list[int]:
         return [m.start() for m in re.finditer(re.escape(mark), self.data)]

@@ -111,6 +111,77 @@ def test_many_magic_bytes_take_time_in_proportion(unit):
     assert time.process_time() - began < 8
 
 
+def riffs(n):
+    """Starts that all jump to one run of empty chunks at the end."""
+    unit, run = 48, b"junk\0\0\0\0" * (n // 16)
+    half = n // unit // 2
+    out = [struct.pack("<4sI4s4sI", b"RIFF", half * unit + len(run) - i * unit - 8 - 8 * (i % 1000), b"WAVE", b"junk", half * unit - i * unit - 20).ljust(unit, b"\0") for i in range(half)]
+    return b"".join(out) + run
+
+
+def pngs(n):
+    """Starts whose second chunk claims all that comes after it."""
+    head = b"\x89PNG\r\n\x1a\n" + png()[8:33]
+    unit = len(head) + 8
+    return b"".join(head + struct.pack(">I4s", (n // unit - i - 1) * unit, b"IDAT") for i in range(n // unit)) + bytes(4)
+
+
+@pytest.mark.parametrize("make", [riffs, pngs])
+def test_chains_that_meet_take_time_in_proportion(make):
+    began = time.process_time()
+    assert M.sniff(make(4_000_000)) == []
+    assert time.process_time() - began < 8
+    assert M.sniff(make(4000) + png()) == [(len(make(4000)), len(png()), "image/png")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(min_size=1, max_size=200), st.integers(1, 300), st.integers(0, 2**20), st.integers(0, 2**20))
+def test_checksums_of_ranges(unit, times, a, b):
+    data = unit * times
+    a, b = sorted((a % (len(data) + 1), b % (len(data) + 1)))
+    assert M.RangeCrc(data)(a, b) == zlib.crc32(data[a:b])
+
+
+def wav_by_walking(d, at):
+    """Length of a RIFF/WAVE file by reading its chunks one after another, or 0: the rules, without anything kept."""
+    if d[at : at + 4] != b"RIFF" or d[at + 8 : at + 12] != b"WAVE" or len(d) - at < 44:
+        return 0
+    end = at + 8 + int.from_bytes(d[at + 4 : at + 8], "little")
+    if end - at < 44 or end > len(d):
+        return 0
+    pos, seen = at + 12, []
+    while pos + 8 <= end:
+        n = int.from_bytes(d[pos + 4 : pos + 8], "little")
+        name = d[pos : pos + 4]
+        if name == b"fmt " and n >= 16:
+            kind, channels, rate, per_s, align, bits = struct.unpack("<HHIIHH", d[pos + 8 : pos + 24])
+            if kind == 0 or channels == 0 or align != channels * -(-bits // 8) or per_s != rate * align:
+                return 0
+        if name == b"data" and b"fmt " not in seen:
+            return 0
+        seen.append(name)
+        pos += 8 + n + n % 2
+    return end - at if pos in (end, end + 1) and b"fmt " in seen and b"data" in seen else 0
+
+
+FORM = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, 8000, 8000, 1, 8)
+CHUNKS = [FORM, FORM[:10] + b"\0\0" + FORM[12:], b"fmt \x02\0\0\0ab", b"data\x04\0\0\0abcd", b"data\x03\0\0\0abc\0", b"junk\0\0\0\0", b"LIST\x05\0\0\0hello\0", b"junk\x40\0\0\0", b"x", b"RIFF"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from(CHUNKS), max_size=6), st.integers(-9, 12)), min_size=1, max_size=4))
+def test_wav_against_reading_chunk_after_chunk(files):
+    data = b""
+    for chunks, off in files:
+        body = b"WAVE" + b"".join(chunks)
+        data += b"RIFF" + struct.pack("<I", max(0, len(body) + off)) + body
+    data += bytes(30)
+    known = M.Marks(data)
+    for at in range(len(data)):
+        if data[at : at + 4] == b"RIFF":
+            assert M._wav(data, at, known) == wav_by_walking(data, at)
+
+
 def test_stored_values_have_media_around_the_payload(spark):
     texts = [f"%%EOF startxref %PDF-1.7 PK\x05\x06 number {i}" for i in range(64)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
