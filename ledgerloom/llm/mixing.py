@@ -57,6 +57,38 @@ def targets(sources: DataFrame, weights: Sequence[float], most: float) -> DataFr
     return table.select("source", "no", "source_size", F.least(cap, F.lit(level) * F.col("weight")).alias("target"))
 
 
+def _reversed(bits: int, top: int) -> int:
+    """The number with bit top - i for each bit i of bits."""
+    size = top // 8 + 1
+    mirror = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+    flipped = mirror[np.frombuffer(bits.to_bytes(size, "little"), np.uint8)][::-1]
+    return int.from_bytes(flipped.tobytes(), "little") >> (8 * size - 1 - top)
+
+
+def _sums(parts: list[tuple[int, int, int]], top: int) -> int:
+    """A bit for each sum up to top that some of the parts make."""
+    mask, reach = (1 << (top + 1)) - 1, 1
+    for _, _, size in parts:
+        reach = (reach | reach << size) & mask
+    return reach
+
+
+def _summing(parts: list[tuple[int, int, int]], goal: int) -> list[tuple[int, int, int]]:
+    """Some of the parts (the last of each is its size) that make goal exactly, which some do.
+
+    Both halves' sums tell how much of goal comes from the first; then each half is asked in the same way. So only a few sets of sums are held at
+    a time, however many parts there are, for twice the work.
+    """
+    if not goal or not parts:
+        return []
+    if len(parts) == 1:
+        return parts
+    half = len(parts) // 2
+    both = _sums(parts[:half], goal) & _reversed(_sums(parts[half:], goal), goal)
+    first = (both & -both).bit_length() - 1
+    return _summing(parts[:half], first) + _summing(parts[half:], goal - first)
+
+
 def _near(lengths: np.ndarray, counts: np.ndarray, goal: int, over: bool) -> np.ndarray:
     """How many documents of each length come nearest to goal words; of two as near the larger sum if over, else the smaller."""
     have = int((lengths * counts).sum())
@@ -85,15 +117,17 @@ def _near(lengths: np.ndarray, counts: np.ndarray, goal: int, over: bool) -> np.
         back = {j: int(min(take[j], each)) for j in pool}
         at = goal - int((lengths * take).sum()) + sum(k * int(lengths[j]) for j, k in back.items())
         limit = at + gap[0]
-        mask, reach, steps = (1 << (limit + 1)) - 1, 1, []
+        mask, reach, parts, used = (1 << (limit + 1)) - 1, 1, [], 0
         for j in pool:
             left, k = int(min(counts[j] - take[j] + back[j], 2 * each, limit // lengths[j])), 1
-            while left and not reach >> at & 1:
+            while left:
                 k = min(k, left)
-                new = (reach | reach << k * int(lengths[j])) & mask
-                if new != reach:
-                    steps.append((reach, j, k))
-                reach, left, k = new, left - k, 2 * k
+                parts.append((j, k, k * int(lengths[j])))
+                left, k = left - k, 2 * k
+        for _, _, size in parts:
+            if reach >> at & 1:
+                break
+            reach, used = (reach | reach << size) & mask, used + 1
         low, high = at - ((reach & ((1 << (at + 1)) - 1)).bit_length() - 1), reach >> at
         up = (high & -high).bit_length() - 1
         found = min([(low, over and low > 0, at - low), *([(up, not over and up > 0, at + up)] if high else [])])
@@ -101,10 +135,8 @@ def _near(lengths: np.ndarray, counts: np.ndarray, goal: int, over: bool) -> np.
             gap, at = found[:2], found[2]
             for j, k in back.items():
                 take[j] -= k
-            for before, j, k in reversed(steps):
-                if not before >> at & 1:
-                    take[j] += k
-                    at -= k * int(lengths[j])
+            for j, k, _ in _summing(parts[:used], at):
+                take[j] += k
         if n >= len(usable) and each >= counts[usable].max():
             break
         n, each = 2 * n, 2 * each

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -54,6 +55,18 @@ def test_fit_of_long_documents_against_all_subsets(lengths, part):
         assert abs(int((took * lengths).sum()) - budget) == min(abs(x - budget) for x in sums)
 
 
+def test_memory_of_a_fit_that_cannot_be_exact():
+    """114 documents of 1 to 2 million words, all but one multiples of 1,000: nothing hits the budget, all sums are tried."""
+    rng = np.random.default_rng(5)
+    lengths, counts = np.unique([*(rng.integers(1000, 2000, 113) * 1000), 1_234_567], return_counts=True)
+    budget = int((lengths * counts).sum()) // 2_000 * 1_000 + 500
+    tracemalloc.start()
+    took = M.fit(lengths, counts, budget)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(int((took * lengths).sum()) - budget) == 67 and peak < 120 << 20
+
+
 def test_fractional_limit_and_rows_without_doc_id(spark):
     rows = [(i, " ".join(["w"] * 10), "a") for i in range(10)] + [(None, "v%d " % i * 10, "b") for i in range(200)] + [(7, "u%d " % i * 10, "b") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
