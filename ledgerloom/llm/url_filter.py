@@ -9,7 +9,7 @@ Everything is done for distinct URLs and joined back to the rows, so nothing dep
 
 A null URL, or one without `://`, has empty host and path, no rule and no words: its verdict is allow. A score of 0, the
 tie of both classes, is allow too; of two equally long rules that fit, the later in code order decides, and of two equally likely
-splits the one with the shorter last word. Very long URLs and pages are read whole. An empty table gives an empty table. Other columns are ignored.
+splits the one with the shorter last word. Very long URLs and pages are read whole, and names and words may have any length. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import common
 
 ALLOW, BLOCK = "allow", "block"
-#: Letters of the longest name (the limit of the name system), and so of the longest word that host names are split into.
-NAME_CHARS = WORD_CHARS = 63
 SMOOTHING = 1.0
 
 
@@ -54,19 +52,22 @@ def word_counts(pages: DataFrame) -> DataFrame:
     """word and n of the text of all pages, without markup."""
     plain = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&\w+;", " ")
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(r"\p{L}+"), 0)).alias("word"))
-    return words.where(F.length("word") <= WORD_CHARS).groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def best_split(name: str, known: dict[str, int], total: int) -> list[str]:
     """The likeliest words that name consists of. An unknown piece costs more with every letter."""
     best: list[tuple[float, int]] = [(0.0, 0)]
+    sizes = sorted({len(w) for w in known}, reverse=True)
+    letter, rare = math.log(10), -math.log(total)
+    begun = (0.0, 0)  # where an unknown piece starts best: its cost grows by the letter, so that does not depend on its end
     for end in range(1, len(name) + 1):
-        best.append(
-            max(
-                (best[start][0] + (math.log(known[name[start:end]] / total) if name[start:end] in known else -math.log(total) - math.log(10) * (end - start)), start)
-                for start in range(max(0, end - WORD_CHARS), end)
-            )
-        )
+        found = (begun[0] + rare - letter * end, begun[1])
+        for size in sizes:
+            if size <= end and (n := known.get(name[end - size : end])):
+                found = max(found, (best[end - size][0] + math.log(n / total), end - size))
+        best.append(found)
+        begun = max(begun, (found[0] + letter * end, end))
     out, end = [], len(name)
     while end:
         start = best[end][1]
@@ -76,11 +77,12 @@ def best_split(name: str, known: dict[str, int], total: int) -> list[str]:
 
 
 def segment(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """name and words. names: distinct names of at most NAME_CHARS letters; counts: word and n, written."""
+    """name and words. names: distinct names; counts: word and n, written. A name's pieces are of lengths that known words have: no others can be found."""
     total = int(counts.agg(F.sum("n")).first()[0] or 1)
+    lengths = F.array(*(F.lit(r.size) for r in counts.select(F.length("word").alias("size")).distinct().orderBy("size").collect()))  # fewer than the square root of twice the text
     at = F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at")
     pieces = names.where("name != ''").select("name", at)
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(WORD_CHARS), F.length("name") - F.col("at") + 1))).alias("size")
+    size = F.explode_outer(F.filter(lengths.cast("array<int>"), lambda n: n <= F.length("name") - F.col("at") + 1)).alias("size")
     pieces = pieces.select("name", "at", size).select("name", F.expr("substring(name, at, size)").alias("word")).distinct()
     found = pieces.join(counts, "word", "left").groupBy("name").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
 
@@ -102,8 +104,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     found = rule_of(F.col("host"), F.col("path"), rules)
     urls = common.written(urls.withColumn("found", found).select("url", "host", "path", "found.rule", "found.verdict"), "urls")
 
-    # Names are the runs of letters in a host, cut at the limit of the name system.
-    names = urls.select("host").distinct().select("host", F.explode(F.regexp_extract_all("host", F.lit(rf"\p{{L}}{{1,{NAME_CHARS}}}"), 0)).alias("name"))
+    # Names are the runs of letters in a host.
+    names = urls.select("host").distinct().select("host", F.explode(F.regexp_extract_all("host", F.lit(r"\p{L}+"), 0)).alias("name"))
     counts = common.written(word_counts(pages), "url-word-counts")
     split = segment(names.select("name").distinct(), counts)
     of_host = names.join(split, "name").select("host", F.explode("words").alias("word")).groupBy("host", "word").agg(F.count("*").alias("n"))

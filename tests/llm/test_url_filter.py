@@ -1,10 +1,12 @@
 import itertools
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
 
+from ledgerloom.llm import common
 from ledgerloom.llm import url_filter as U
 from ledgerloom.llm.queries import RULES, op2_url_filter
 
@@ -18,7 +20,7 @@ def brute(rows, rules):
         host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
         fit = [(len(r), r, v) for r, v in rules if (h := r.partition("/")[0]) and (host == h or host.endswith("." + h)) and path.startswith(r[len(h) :])]
         urls[url] = host, path, *(max(fit)[1:] if fit else (None, None))
-    words = Counter(w for _, _, html in rows for w in re.findall(r"[^\W\d_]+", re.sub(r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&\w+;", " ", html or "").lower()) if len(w) <= U.WORD_CHARS)
+    words = Counter(w for _, _, html in rows for w in re.findall(r"[^\W\d_]+", re.sub(r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&\w+;", " ", html or "").lower()))
     total = sum(words.values()) or 1
 
     def cost(w):
@@ -29,7 +31,7 @@ def brute(rows, rules):
         return max(([name[a:b] for a, b in c] for c in cuts), key=lambda x: sum(map(cost, x)))
 
     def tokens(host, path):
-        return Counter([f"host:{w}" for name in re.findall(r"[^\W\d_]{1,63}", host) for w in (split(name) if len(name) < 12 else U.best_split(name, words, total))] + [f"path:{w}" for w in re.findall(r"[^\W\d_]+", path.lower())])
+        return Counter([f"host:{w}" for name in re.findall(r"[^\W\d_]+", host) for w in (split(name) if len(name) < 12 else U.best_split(name, words, total))] + [f"path:{w}" for w in re.findall(r"[^\W\d_]+", path.lower())])
 
     bag = {u: tokens(x[0], x[1]) for u, x in urls.items()}
     seen = {v: sum((bag[u] for u, x in urls.items() if x[3] == v), Counter()) for v in ("allow", "block")}
@@ -54,13 +56,27 @@ def test_split():
     assert U.best_split("x" * 63, {}, 1) != [] and U.best_split("", known, 10) == []
 
 
-def test_long_words(spark):
-    long = "donaudampfschifffahrtsgesellschaft"
+def test_words_and_names_of_any_length(spark):
+    long, longer = "donaudampfschifffahrtsgesellschaft", "x" * 64
     assert U.best_split("die" + long, {long: 5, "die": 9}, 2000) == ["die", long]
-    pages = spark.createDataFrame([(f"<p>die {long} {long} die {'x' * 64}</p>",)], "html string")
-    counts = U.word_counts(pages).localCheckpoint()
-    assert {r.word: r.n for r in counts.collect()} == {"die": 2, long: 2}
-    assert U.segment(spark.createDataFrame([("die" + long,)], "name string"), counts).first().words == ["die", long]
+    pages = spark.createDataFrame([(f"<p>die {long} {long} die {longer}</p>",)], "html string")
+    counts = common.written(U.word_counts(pages), "test-counts")
+    assert {r.word: r.n for r in counts.collect()} == {"die": 2, long: 2, longer: 1}
+    names = spark.createDataFrame([("die" + long,), (longer + "die",), ("q" * 3000 + long + "die" * 500,), ("",)], "name string")
+    assert {tuple(r.words) for r in U.segment(names, counts).collect()} == {("die", long), (longer, "die"), ("q" * 3000, long, *["die"] * 500)}
+    assert U.segment(names, counts.where("n > 9")).where("name like 'die%'").first().words == list("die" + long)  # without counts all splits are equally likely: shortest last words
+
+
+def test_splits_are_the_likeliest(spark):
+    rng = random.Random(8)
+    for _ in range(150):
+        known = {"".join(rng.choices("ab", k=rng.randint(1, 4))): rng.randint(1, 50) for _ in range(rng.randint(0, 6))}
+        name, total = "".join(rng.choices("abc", k=rng.randint(1, 9))), 2 * sum(known.values()) + 1
+        cost = lambda w: math.log(known[w] / total) if w in known else -math.log(total) - math.log(10) * len(w)  # noqa: E731, B023
+        cuts = (itertools.pairwise([0, *c, len(name)]) for n in range(len(name)) for c in itertools.combinations(range(1, len(name)), n))
+        most = max(sum(cost(name[a:b]) for a, b in c) for c in cuts)
+        got = U.best_split(name, known, total)
+        assert "".join(got) == name and abs(sum(map(cost, got)) - most) < 1e-9
 
 
 def test_odd_urls(spark):
