@@ -55,6 +55,7 @@ def test_pack_and_random_access(bits):
     flat = np.concatenate(docs)
     assert shard.doc_ids == [5, None, 7, 8, 9]
     assert all((shard.document(i) == d).all() for i, d in enumerate(docs))
+    assert (shard.whole(step=2) == flat).all() and shard.whole().dtype == np.uint32
     for a in range(0, len(flat), 11):
         for b in range(a, len(flat), 13):
             assert (shard.read(a, b) == flat[a:b]).all()
