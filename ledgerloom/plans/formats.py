@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.tables import table
-from ledgerloom.sources import files, sinks
+from ledgerloom.sources import files, sinks, workbooks
 from ledgerloom.storage import new_path
 
 
@@ -97,5 +97,19 @@ def replaced_partitions(s, d):
 
 REPLACED = """SELECT event_id, event_type, CAST(user_id % 2 AS INTEGER) AS half, CASE WHEN user_id % 2 = 1 AND event_type <> 'click' THEN -value ELSE value END AS value FROM events"""
 
-QUERIES = {"json_documents": json_documents, "json_lines": json_lines, "corpus_listing": corpus_listing, "mixed_tables": mixed_tables, "replaced_partitions": replaced_partitions}
-ORACLES = {"json_documents": JSON_DOCUMENTS, "json_lines": JSON_LINES, "corpus_listing": CORPUS_LISTING, "mixed_tables": MIXED_TABLES, "replaced_partitions": REPLACED}
+def workbook_sheets(s, d):
+    """Suppliers, nations and regions as three sheets of one workbook, read back sheet by sheet and joined."""
+    path = f"{new_path(s, 'workbook')}/tables.xlsx"
+    own = {n: table(s, d, n) for n in ("region", "nation", "supplier")}
+    own["supplier"] = own["supplier"].select("s_suppkey", F.concat(F.lit(' <"é"> & '), "s_name").alias("s_name"), "s_nationkey", (F.col("s_suppkey") % 2 == 0).alias("even"), "s_acctbal")
+    workbooks.write(s, own, path, {"supplier": ["s_suppkey"]})
+    supplier, nation, region = (workbooks.table(s, path, n) for n in ("supplier", "nation", "region"))
+    named = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
+    return supplier.join(named, supplier["s_nationkey"] == named["n_nationkey"]).select("s_suppkey", "s_name", "even", F.col("s_acctbal").cast("double").alias("s_acctbal"), "n_name", "r_name")
+
+
+WORKBOOK = """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, ' <"é"> & ' || s_name AS s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS even, s_acctbal::DOUBLE AS s_acctbal, n_name, r_name
+ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+QUERIES = {"workbook_sheets": workbook_sheets, "json_documents": json_documents, "json_lines": json_lines, "corpus_listing": corpus_listing, "mixed_tables": mixed_tables, "replaced_partitions": replaced_partitions}
+ORACLES = {"workbook_sheets": WORKBOOK, "json_documents": JSON_DOCUMENTS, "json_lines": JSON_LINES, "corpus_listing": CORPUS_LISTING, "mixed_tables": MIXED_TABLES, "replaced_partitions": REPLACED}

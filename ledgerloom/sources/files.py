@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.missing import has_text
 from ledgerloom.operators.runlog import RUN_LOG
+from ledgerloom.sources import workbooks
 
 #: Separators and encodings that a table is tried with, in order.
 SEPARATORS, ENCODINGS = (";", ",", "\t"), ("UTF-8", "ISO-8859-1")
@@ -181,7 +182,7 @@ def mixed_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Reads by suffix: Parquet, JSON lines or separated text. Workbooks need to be saved as one of these first."""
+    """Reads by suffix: Parquet, JSON lines, separated text or a workbook (its first sheet, or the one named as sheet)."""
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix == "parquet":
         return spark.read.parquet(path)
@@ -189,6 +190,8 @@ def table(spark: SparkSession, path: str, **options) -> DataFrame:
         return spark.read.json(path)
     if suffix in ("csv", "txt", "tsv"):
         return csv(spark, path, **options)
+    if suffix == "xlsx":
+        return workbooks.table(spark, path, **options)
     raise ValueError(f"no reader for .{suffix}")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +28,30 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+class _Out:
+    """Writes bytes to a file of any file system, a good many at a time."""
+
+    PIECE = 1 << 20
+
+    def __init__(self, stream):
+        self.stream, self.held = stream, bytearray()
+
+    def write(self, data: bytes) -> int:
+        self.held += data
+        if len(self.held) >= self.PIECE:
+            self.flush()
+        return len(data)
+
+    def flush(self) -> None:
+        if self.held:
+            self.stream.write(bytes(self.held))
+            self.held.clear()
+
+    def close(self) -> None:
+        self.flush()
+        self.stream.close()
+
+
 class Folder:
     """A folder of any file system that Spark reaches."""
 
@@ -52,19 +78,32 @@ class Folder:
     def create(self, name: str, text: str) -> None:
         """A file that is there whole or not at all; an error if there is one already."""
         draft = f".draft-{uuid.uuid4().hex}"
-        out = self.fs.create(self._at(draft), False)
-        try:
+        with self.writer(draft) as out:
             out.write(text.encode())
-        finally:
-            out.close()
-        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
-        how = self.gateway.new_array(rename, 1)
-        how[0] = rename.NONE
         try:
-            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self._at(draft), self._at(name), how)
+            self._rename(draft, name, "NONE")
         finally:
             self.fs.delete(self._at(draft), False)
 
+    def replace(self, draft: str, name: str) -> None:
+        """Makes a file that was written under another name take the place of name, at once."""
+        self._rename(draft, name, "OVERWRITE")
+
+    def _rename(self, draft: str, name: str, how: str) -> None:
+        kind = self.jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.gateway.new_array(kind, 1)
+        options[0] = getattr(kind, how)
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self._at(draft), self._at(name), options)
+
+    @contextmanager
+    def writer(self, name: str) -> Iterator[_Out]:
+        """A new file to write bytes to."""
+        out = _Out(self.fs.create(self._at(name), True))
+        try:
+            yield out
+        finally:
+            out.close()
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._at(name), True)
 

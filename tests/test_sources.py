@@ -62,7 +62,7 @@ def test_small_readers(spark, tmp_path):
     df = spark.createDataFrame([(0, "name ", "age"), (1, "x", "7")], "n int, _1 string, _2 string")
     assert [r.asDict() for r in files.promoted_header(df, "n").collect()] == [{"n": 1, "name": "x", "age": "7"}]
     with pytest.raises(ValueError):
-        files.table(spark, "a.xlsx")
+        files.table(spark, "a.docx")
 
 
 def test_sinks(spark, tmp_path):
