@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.tables import table
-from ledgerloom.sources import files, sinks, workbooks
+from ledgerloom.sources import extractors, files, sinks, workbooks
 from ledgerloom.storage import new_path
 
 
@@ -111,5 +111,17 @@ def workbook_sheets(s, d):
 WORKBOOK = """SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, ' <"é"> & ' || s_name AS s_name, CASE WHEN s_suppkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS even, s_acctbal::DOUBLE AS s_acctbal, n_name, r_name
  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
-QUERIES = {"workbook_sheets": workbook_sheets, "json_documents": json_documents, "json_lines": json_lines, "corpus_listing": corpus_listing, "mixed_tables": mixed_tables, "replaced_partitions": replaced_partitions}
-ORACLES = {"workbook_sheets": WORKBOOK, "json_documents": JSON_DOCUMENTS, "json_lines": JSON_LINES, "corpus_listing": CORPUS_LISTING, "mixed_tables": MIXED_TABLES, "replaced_partitions": REPLACED}
+def extracted_lines(s, d):
+    """The lines of all documents by topic, as the default extractor's table function finds them."""
+    extractors.register(s)
+    table(s, d, "documents").createOrReplaceTempView("documents_to_extract")
+    return s.sql("SELECT doc_id, topic, item, md5(line) AS line, error_message FROM documents_to_extract, LATERAL extracted_topics(text, 'keywords')")
+
+
+EXTRACTED = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+t AS (SELECT doc_id, place, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM l),
+n AS (SELECT *, CASE {' '.join("WHEN " + " OR ".join(f"contains(lower(line), '{w}')" for w in words) + f" THEN '{topic}'" for topic, words in extractors.TOPIC_WORDS.items())} ELSE 'general' END AS topic FROM t WHERE line <> '')
+SELECT doc_id, topic, CAST(row_number() OVER (PARTITION BY doc_id, topic ORDER BY place) - 1 AS INTEGER) AS item, md5(line) AS line, NULL::VARCHAR AS error_message FROM n"""
+
+QUERIES = {"extracted_lines": extracted_lines, "workbook_sheets": workbook_sheets, "json_documents": json_documents, "json_lines": json_lines, "corpus_listing": corpus_listing, "mixed_tables": mixed_tables, "replaced_partitions": replaced_partitions}
+ORACLES = {"extracted_lines": EXTRACTED, "workbook_sheets": WORKBOOK, "json_documents": JSON_DOCUMENTS, "json_lines": JSON_LINES, "corpus_listing": CORPUS_LISTING, "mixed_tables": MIXED_TABLES, "replaced_partitions": REPLACED}

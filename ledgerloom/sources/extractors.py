@@ -6,12 +6,13 @@ no network. Results are worth writing before they are used, since extractors are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.types import BinaryType, IntegerType, NullType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 #: Words that point to a topic, by topic. The first topic that fits has the line.
 TOPIC_WORDS = {
@@ -35,6 +36,48 @@ def by_keywords(text: str) -> dict[str, list[str]]:
     return found
 
 
+#: What the table function gives: a row for each line, or one with the error of a document that could not be extracted.
+ROWS = StructType().add("topic", StringType()).add("item", IntegerType()).add("line", StringType()).add("error_message", StringType())
+FUNCTION = "extracted_topics"
+
+
+def table_function(extractors: Mapping[str, Extractor]):
+    """A table function from a document and the name of an extractor to its lines. The name is checked, and so is the document's type, before a query runs."""
+
+    class Extraction:
+        @staticmethod
+        def analyze(document: AnalyzeArgument, extractor: AnalyzeArgument = AnalyzeArgument(StringType(), "keywords", False, True)) -> AnalyzeResult:
+            if not isinstance(document.dataType, (StringType, BinaryType, NullType)):
+                raise ValueError(f"documents are texts or binary, not {document.dataType.simpleString()}")
+            if not extractor.isConstantExpression or extractor.value not in extractors:
+                raise ValueError(f"no extractor {extractor.value!r}; there are {sorted(extractors)}")
+            return AnalyzeResult(ROWS)
+
+        def eval(self, document, extractor: str = "keywords"):
+            try:
+                found = extractors[extractor]("" if document is None else document)
+                rows = [(topic, i, line, None) for topic, lines in found.items() for i, line in enumerate(lines)]
+            except Exception as e:  # noqa: BLE001  a plug-in may raise anything
+                rows = [(None, None, None, f"{type(e).__name__}: {e}")]
+            yield from rows
+
+    return F.udtf(Extraction)
+
+
+def register(spark: SparkSession, extractors: Mapping[str, Extractor] | None = None, name: str = FUNCTION) -> None:
+    """Makes the table function known to SQL: SELECT ... FROM documents, LATERAL extracted_topics(text, 'keywords')."""
+    spark.udtf.register(name, table_function({"keywords": by_keywords} | dict(extractors or {})))
+
+
+def extracted_lines(documents: DataFrame, keys: Sequence[str], text: str, extractor: Extractor = by_keywords) -> DataFrame:
+    """keys, topic, item (0-based within the topic), line and error_message: a row for each extracted line, by a lateral join with the table function.
+
+    A document without lines has no row, one that could not be extracted has one with the error.
+    """
+    rows = table_function({"keywords": extractor})(F.col(text).outer())
+    return documents.select(*keys, text).lateralJoin(rows).select(*keys, "topic", "item", "line", "error_message")
+
+
 def items(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One document to many rows: keys, topic, item (0-based within the topic) and line of all that was extracted."""
     topics = found.select(*keys, F.explode("topics").alias("topic", "lines"))

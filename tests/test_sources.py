@@ -139,3 +139,21 @@ def test_names_after_a_byte_order_mark(spark, tmp_path):
 def test_lists_in_lists(spark):
     df = spark.sql("SELECT array(array(array('a', 'b'), array('c')), array(array('d'))) AS t, array('x') AS one")
     assert tuple(df.select(records.joined_lists(df.t, 3), records.joined_lists(df.one, 1)).first()) == (["a | b | c", "d"], ["x"])
+
+
+def test_extractors_as_a_table_function(spark):
+    df = spark.createDataFrame([(1, "Het loon is 5\nniets\n\n  verlof  \nsalary"), (2, "boom"), (3, None), (4, "")], "id int, text string")
+
+    def extractor(text):
+        if text == "boom":
+            raise ValueError("bad")
+        return extractors.by_keywords(text)
+
+    want = [(1, "general", 0, "niets", None), (1, "leave", 0, "verlof", None), (1, "wage", 0, "Het loon is 5", None), (1, "wage", 1, "salary", None), (2, None, None, None, "ValueError: bad")]
+    assert sorted((tuple(r) for r in extractors.extracted_lines(df, ["id"], "text", extractor).collect()), key=repr) == want
+    extractors.register(spark, {"letters": lambda b: {"n": list(b.decode())}}, "of_letters")
+    df.selectExpr("id", "cast(text AS binary) AS b").createOrReplaceTempView("letters_of")
+    assert [tuple(r) for r in spark.sql("SELECT id, item, line FROM letters_of, LATERAL of_letters(b, 'letters') WHERE id = 2 ORDER BY item").collect()] == [(2, i, c) for i, c in enumerate("boom")]
+    for wrong in ("of_letters(b, 'none')", "of_letters(id, 'letters')"):
+        with pytest.raises(Exception, match="no extractor|texts or binary"):
+            spark.sql(f"SELECT * FROM letters_of, LATERAL {wrong}")
