@@ -205,7 +205,10 @@ def meaning(text: Column, ignored: Sequence[str] = FILLER_WORDS + STOP_WORDS) ->
 def data_only(text: Column) -> Column:
     """The text in lower case if it holds a number or names data, else nothing."""
     lower = F.lower(text)
-    named = F.exists(F.array(*map(F.lit, KEY_INDICATORS)), lambda k: F.contains(lower, k))
+    ends: dict[str, list[str]] = {}
+    for word in KEY_INDICATORS:
+        ends.setdefault(word[0], []).append(re.escape(word[1:]))
+    named = lower.rlike("|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in ends.items()))  # one pass, few tries at a place
     return F.when(text.rlike("[0-9]") | named, strip(lower)).otherwise("")
 
 
