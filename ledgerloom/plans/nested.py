@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import missing
 from ledgerloom.functions import text as T
 from ledgerloom.operators import nested as N
+from ledgerloom.plans.scalars import W, in_list
 from ledgerloom.plans.tables import table
 
 #: What each change adds to the number.
@@ -64,6 +65,43 @@ MATCHES = """SELECT conv_id % 6 AS k, conv_id % 6 = 0 AS strict_match, conv_id %
  FROM conversations GROUP BY ALL"""
 
 
+#: What both versions say of data, the same but for every fourth conversation.
+NOTES = ("pay 5% of € 1,200.50 from 2020-01-02 for 7 weeks", "pay 6% of € 1,300.50 from 2021-01-02 for 8 weeks")
+
+
+def json_levels(s, d):
+    """Whether each conversation and its changed version are the same at each level, with data of all kinds beside the texts."""
+    rows, same, other = pairs(s, d), *map(F.lit, NOTES)
+    noted = lambda c, note: F.concat(F.left(c, F.length(c) - 1), F.lit(',"note":"'), note, F.lit('"}'))
+    rows = rows.select("conv_id", noted(F.col("a"), same).alias("a"), noted(F.col("b"), F.when(F.col("conv_id") % 4 == 3, other).otherwise(same)).alias("b"))
+    return N.matches(N.nodes(rows, ["conv_id"], "a"), N.nodes(rows, ["conv_id"], "b"))
+
+
+def _listed(each: str, kept: str = "x <> ''") -> str:
+    """SQL for the sorted texts of a list, each as said; {} is the list."""
+    return f"list_sort(list_transform(list_filter({{}}, lambda x: {kept}), lambda x: {each}))"
+
+
+def _without(space: str, words, shortest: int) -> str:
+    plain = f"trim(regexp_replace(regexp_replace(lower(x), '[^{W[1:-1]}\\s]', '{space}', 'g'), '\\s+', ' ', 'g'))"
+    return f"array_to_string(list_filter(string_split({plain}, ' '), lambda w: length(w) >= {shortest} AND NOT list_contains({in_list(words)}, w)), ' ')"
+
+
+def _data_sql(pattern: str) -> str:
+    return f"regexp_extract_all(na, '{pattern}') = regexp_extract_all(nb, '{pattern}')"
+
+
+TEXT_LEVELS = {
+    "flexible": (_listed("regexp_replace(x, '^\\s+|\\s+$', '', 'g')", "true"), 6),
+    "very_flexible": (_listed("trim(regexp_replace(x, '\\s+', ' ', 'g'))"), 4),
+    "fuzzy": (_listed(_without("", T.FILLER_WORDS, 0)), 2),
+    "meaning": (_listed(_without(" ", T.FILLER_WORDS + T.STOP_WORDS, 3)), 1),
+}
+JSON_LEVELS = f"""WITH {DOCUMENTS}, n AS (SELECT *, '{NOTES[0]}' AS na, CASE WHEN conv_id % 4 = 3 THEN '{NOTES[1]}' ELSE '{NOTES[0]}' END AS nb FROM x)
+SELECT conv_id, texts = other AND v = w AND na = nb AS strict_match, {', '.join(f"{sql.replace('{}', 'texts')} = {sql.replace('{}', 'other')} AND round_even(v, {digits}) = round_even(w, {digits}) AND na = nb AS {name}_match" for name, (sql, digits) in TEXT_LEVELS.items())},
+ {_data_sql('[0-9]+%')} OR {_data_sql('€ [0-9.,]+')} OR {_data_sql('[0-9]{4}-[0-9]{2}-[0-9]{2}')} AS data_match FROM n"""
+
+
 def json_differences(s, d):
     rows = pairs(s, d)
     found = N.differences(N.nodes(rows, ["conv_id"], "a"), N.nodes(rows, ["conv_id"], "b"))
@@ -137,5 +175,5 @@ def picked_texts(s, d):
 PICKED = """SELECT conv_id, turn, role, md5(text) AS of, md5(CASE WHEN conv_id % 5 = 0 THEN '' WHEN turn % 4 = 0 THEN '{"a": 1}' WHEN turn % 4 = 1 THEN nullif(text, '') WHEN turn % 4 = 2 THEN role || coalesce(text, '') END) AS picked,
  CASE conv_id % 5 WHEN 0 THEN 'SAFETY' WHEN 1 THEN 'MAX_TOKENS' ELSE 'STOP' END AS finish FROM conversations"""
 
-QUERIES = {"json_nodes": json_nodes, "json_matches": json_matches, "json_differences": json_differences, "json_lists": json_lists, "json_clashing_paths": json_clashing_paths, "required_keys": required_keys, "sanitized_json": sanitized_json, "picked_texts": picked_texts}
-ORACLES = {"json_nodes": NODES, "json_matches": MATCHES, "json_differences": DIFFERENCES, "json_lists": LISTS, "json_clashing_paths": CLASHING, "required_keys": REQUIRED, "sanitized_json": SANITIZED, "picked_texts": PICKED}
+QUERIES = {"json_nodes": json_nodes, "json_matches": json_matches, "json_levels": json_levels, "json_differences": json_differences, "json_lists": json_lists, "json_clashing_paths": json_clashing_paths, "required_keys": required_keys, "sanitized_json": sanitized_json, "picked_texts": picked_texts}
+ORACLES = {"json_nodes": NODES, "json_matches": MATCHES, "json_levels": JSON_LEVELS, "json_differences": DIFFERENCES, "json_lists": LISTS, "json_clashing_paths": CLASHING, "required_keys": REQUIRED, "sanitized_json": SANITIZED, "picked_texts": PICKED}
