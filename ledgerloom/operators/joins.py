@@ -74,10 +74,12 @@ def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
 
 def field_differences(left: DataFrame, right: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """key, field and the values that only the left or only the right rows of a key have, for fields that differ; keys that both have."""
-    def values(df: DataFrame, into: str) -> DataFrame:
+    def values(df: DataFrame, side: int) -> DataFrame:
         long = df.select(*key, *(F.col(c).cast("string").alias(c) for c in fields)).unpivot(list(key), list(fields), "field", "value")
-        return long.groupBy(*key, "field").agg(F.array_sort(F.collect_set("value")).alias(into))
+        return long.dropna(subset=list(key)).withColumn("side", F.lit(side))
 
-    both = values(left, "a").join(values(right, "b"), [*key, "field"])
-    only = both.select(*key, "field", F.array_except("a", "b").alias("only_left"), F.array_except("b", "a").alias("only_right"))
+    # Values that both sides have are gone before any are gathered, however many rows a key has.
+    sides = values(left, 1).unionByName(values(right, 2)).groupBy(*key, "field", "value").agg(F.bit_or("side").alias("side"))
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("value"))))
+    only = sides.groupBy(*key, "field").agg(F.bit_or("side").alias("both"), of(1).alias("only_left"), of(2).alias("only_right")).where("both = 3").drop("both")
     return only.where((F.size("only_left") > 0) | (F.size("only_right") > 0))
