@@ -1,6 +1,7 @@
 """What the operators share: the shared folder, written tables and shipping this package to executors.
 
 Written tables hold nulls, empty and very long texts, repeated rows and columns of any name as they are; an empty table is written as one.
+Nothing here joins or orders rows, so names cannot clash and there are no ties; two columns of one name are an error, as for any table.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     pre-aggregated, so a node with many links is no heavy group; a link to a label that many share is an equi-join that
     Spark can split.
 
-    A link of a node with itself, or with null, is none. Repeated links count once; without links there are no nodes.
+    A link of a node with itself, or with null, is none. Repeated links count once; without links there are no nodes. A component has one
+    smallest node, so there are no ties. Columns of links besides a and b are ignored, whatever their names.
     """
     edges = links.select("a", "b").where("a <> b")
     edges = common.written(edges.union(edges.select("b", "a")).distinct(), f"{tag}-edges")

@@ -32,6 +32,8 @@ from ledgerloom.llm import bpe, common
 HEADER = struct.Struct("<4sBBHIIQ")
 MAGIC, VERSION = b"LLTB", 1
 BLOCK_IDS, SHARD_IDS = 1 << 14, 1 << 20
+#: Characters of a text by which ranges of documents are told apart.
+START_CHARS = 64
 SHARDS = "part int, seq int, first_doc long, docs int, ids long, shard binary"
 
 
@@ -139,7 +141,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, s
 
     spark = docs.sparkSession
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The start of the text parts rows of one doc_id, or of none, into several ranges.
+    ordered = ordered.repartitionByRange(common.partitions(spark), "doc_id", F.left("text", F.lit(START_CHARS))).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, SHARDS).write.option("compression", "zstd").parquet(path)
 
 
@@ -160,9 +163,9 @@ def read_documents(spark, path: str) -> DataFrame:
                 )
 
     docs = shards.select("part", "seq", "shard").mapInArrow(unpacked, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    # A row for each part only: their ranges of doc_id do not overlap, so the first doc_id orders them.
-    parts = shards.groupBy("part").agg(F.min(F.struct("seq", "first_doc")).getField("first_doc").alias("first_doc"), F.sum("ids").alias("ids"))
-    before = Window.orderBy(F.asc_nulls_first("first_doc")).rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each part only: parts are ranges in ascending order.
+    parts = shards.groupBy("part").agg(F.sum("ids").alias("ids"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("before_part"))
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     places = shards.select("part", "seq", F.coalesce(F.sum("ids").over(within), F.lit(0)).alias("before_shard")).join(parts, "part")

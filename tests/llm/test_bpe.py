@@ -99,6 +99,15 @@ def test_token_binary(spark, tmp_path):
     assert token_binary.token_binary(df.where("doc_id < 0"), JSON, 2).count() == 0
 
 
+def test_rows_without_doc_id_are_parted(spark, tmp_path):
+    rows = [(None, f"{'same start ' * 8}{i:03}" if i < 20 else f"{i:03} text", "", 0) for i in range(300)] + [(5, "last", "", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    token_binary.write_shards(df, str(tmp_path / "x"), JSON, 2)
+    assert spark.read.parquet(str(tmp_path / "x")).select("part").distinct().count() > 4
+    got = [tuple(r) for r in token_binary.read_documents(spark, str(tmp_path / "x")).orderBy("start").collect()]
+    assert got == expected_rows(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[1])))
+
+
 def test_op1(spark):
     d = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
