@@ -207,9 +207,13 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3
     taken = chosen(docs, weights, most, seed).where("copies > 0").groupBy("doc_id", "sig").agg(F.sum("copies").cast("int").alias("_mix_copies"))
     taken = common.written(taken.select(F.col("doc_id").alias("_mix_doc"), F.col("sig").alias("_mix_sig"), "_mix_copies"), "mix-taken")
     own = docs.withColumn("_mix_own", F.xxhash64("text", "source"))
-    repeats = own.groupBy("doc_id", "_mix_own").count().where("count > 1")
-    if not repeats.isEmpty():
-        own = own.withColumn("_mix_no", F.row_number().over(Window.partitionBy("doc_id", "_mix_own").orderBy(F.to_json(F.struct(*docs.columns))))).where("_mix_no = 1").drop("_mix_no")
+    repeats = own.groupBy("doc_id", "_mix_own").count().where("count > 1").select(F.col("doc_id").alias("_mix_twice"), F.col("_mix_own").alias("_mix_twice_sig"))
+    repeats = common.lookup(repeats, "mix-twice")
+    if not repeats.isEmpty():  # only rows that are there several times are brought together
+        again = (F.col("_mix_own") == F.col("_mix_twice_sig")) & F.col("doc_id").eqNullSafe(F.col("_mix_twice"))
+        first = F.row_number().over(Window.partitionBy("doc_id", "_mix_own").orderBy(F.to_json(F.struct(*docs.columns))))
+        once = own.join(repeats, again, "left_semi").withColumn("_mix_no", first).where("_mix_no = 1").drop("_mix_no")
+        own = own.join(repeats, again, "left_anti").unionByName(once)
     same = (F.col("_mix_own") == F.col("_mix_sig")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_doc"))
     taken = F.broadcast(taken) if common.small_enough(taken) else taken
     copies = F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")
