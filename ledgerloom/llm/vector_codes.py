@@ -209,7 +209,8 @@ def sums(state: DataFrame, books: Books) -> dict[tuple[int, int], tuple[list[int
             x = _matrix(batch.column("x"), parts * width).astype(np.int64).reshape(-1, parts, width)
             code = _matrix(batch.column("code"), parts)
             for p in range(parts):
-                np.add.at(total[p], code[:, p], x[:, p])
+                for i in range(width):  # a batch's sums stay below 2 ** 53, so they are whole
+                    total[p, :, i] += np.bincount(code[:, p], x[:, p, i], entries).astype(np.int64)
                 n[p] += np.bincount(code[:, p], minlength=entries)
         p, e = np.nonzero(n)
         if len(p):
