@@ -123,5 +123,25 @@ t AS (SELECT doc_id, place, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line
 n AS (SELECT *, CASE {' '.join("WHEN " + " OR ".join(f"contains(lower(line), '{w}')" for w in words) + f" THEN '{topic}'" for topic, words in extractors.TOPIC_WORDS.items())} ELSE 'general' END AS topic FROM t WHERE line <> '')
 SELECT doc_id, topic, CAST(row_number() OVER (PARTITION BY doc_id, topic ORDER BY place) - 1 AS INTEGER) AS item, md5(line) AS line, NULL::VARCHAR AS error_message FROM n"""
 
-QUERIES = {"extracted_lines": extracted_lines, "workbook_sheets": workbook_sheets, "json_documents": json_documents, "json_lines": json_lines, "corpus_listing": corpus_listing, "mixed_tables": mixed_tables, "replaced_partitions": replaced_partitions}
-ORACLES = {"extracted_lines": EXTRACTED, "workbook_sheets": WORKBOOK, "json_documents": JSON_DOCUMENTS, "json_lines": JSON_LINES, "corpus_listing": CORPUS_LISTING, "mixed_tables": MIXED_TABLES, "replaced_partitions": REPLACED}
+def text_report(s, d):
+    """A report of documents by language and of the emptiest sources, written as text and read back line by line."""
+    docs = table(s, d, "documents").select("lang", "source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    by = lambda c: docs.groupBy(c).agg(F.count("*").alias("documents"), F.sum("n").alias("characters"), F.round(100 * F.avg((F.col("n") > 500).cast("double")), 6).alias("long"))
+    few = by("source").where("long < 0")
+    lines = sinks.report_lines([
+        ("DOCUMENTS BY LANGUAGE", by("lang"), "%-8s %8d documents, %12d characters, %6.1f%% long", ["lang", "documents", "characters", "long"], ["lang"]),
+        ("SOURCES", by("source"), "- %s: %d", ["source", "documents"], ["documents", "source"]),
+        ("SOURCES WITHOUT LONG DOCUMENTS", few, "- %s", ["source"], ["source"]),
+    ])
+    path = new_path(s, "report")
+    sinks.write_report(lines, path)
+    return s.read.text(path).where("value <> ''").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+TEXT_REPORT = """WITH d AS (SELECT lang, source, length(coalesce(text, '')) AS n FROM documents), l AS (SELECT coalesce(lang, '-') AS k, count(*) AS c, sum(n) AS s, round(100 * avg(CASE WHEN n > 500 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p FROM d GROUP BY lang),
+t AS (SELECT printf('%-8s %8d documents, %12d characters, %6.1f%% long', k, c::BIGINT, s::BIGINT, p) AS line FROM l UNION ALL SELECT printf('- %s: %d', coalesce(source, '-'), count(*)::BIGINT) FROM d GROUP BY source
+ UNION ALL SELECT unnest(['DOCUMENTS BY LANGUAGE', repeat('-', 21), 'SOURCES', '-------', 'SOURCES WITHOUT LONG DOCUMENTS', repeat('-', 30), '(none)']))
+SELECT line, count(*) AS n FROM t GROUP BY 1"""
+
+QUERIES = {"text_report": text_report, "extracted_lines": extracted_lines, "workbook_sheets": workbook_sheets, "json_documents": json_documents, "json_lines": json_lines, "corpus_listing": corpus_listing, "mixed_tables": mixed_tables, "replaced_partitions": replaced_partitions}
+ORACLES = {"text_report": TEXT_REPORT, "extracted_lines": EXTRACTED, "workbook_sheets": WORKBOOK, "json_documents": JSON_DOCUMENTS, "json_lines": JSON_LINES, "corpus_listing": CORPUS_LISTING, "mixed_tables": MIXED_TABLES, "replaced_partitions": REPLACED}

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ledgerloom.operators.dedupe import keep
+from ledgerloom.operators.ranges import placed
 
 
 def described(rows: DataFrame, descriptions: Mapping[str, str]) -> DataFrame:
@@ -32,6 +36,31 @@ def write_csv(rows: DataFrame, path: str, sep: str = ",") -> None:
     rows.write.mode("overwrite").option("header", "true").option("sep", sep).csv(path)
 
 
+def report_lines(sections: Sequence[tuple[str, DataFrame, str, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """section, no and line of a text report. Each section: title, rows, a printf form of a line, the columns that fill it, and those that order the rows.
+
+    A section is its title, a rule as long as that, a line for each row and an empty one, or "(none)". A row with a null has its values side by side, "-" for null.
+    """
+    out = None
+    for at, (title, rows, form, columns, order) in enumerate(sections):
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        values = [F.col(c) if isinstance(kinds[c], NumericType) else F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]
+        line = F.coalesce(F.when(reduce(and_, (v.isNotNull() for v in values), F.lit(True)), F.format_string(form, *values)), F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns)))
+        body = placed(rows, list(order), "_no").select((F.col("_no") + 2).cast("long").alias("no"), line.alias("line"))
+        body = body.unionByName(body.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, F.lit(2)).otherwise(F.col("n") + 2).cast("long").alias("no"), F.when(F.col("n") == 0, F.lit("(none)")).otherwise("").alias("line")))
+        head = rows.sparkSession.createDataFrame([(0, title), (1, "-" * len(title))], "no long, line string")
+        section = head.unionByName(body).select(F.lit(at).alias("section"), "no", "line")
+        out = section if out is None else out.unionByName(section)
+    if out is None:
+        raise ValueError("a report has at least one section")
+    return out
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The lines of a report as text, in order from one file to the next."""
+    write_lines(lines.orderBy("section", "no"), path)
+
+
 def write_lines(rows: DataFrame, path: str, line: str = "line") -> None:
     """A report, one text line for each row."""
     rows.select(line).write.mode("overwrite").text(path)

@@ -71,3 +71,14 @@ def test_a_failed_replacement_leaves_the_old_state(spark, tmp_path):
     assert state() == before
     sinks.replace_partitions(broken.where("k in (1, 2)"), path, ["k"])
     assert state() == [(k, "new" if k in (1, 2) else f"old{k}") for k in range(6)]
+
+
+def test_a_report_is_text_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2, 0.5), (None, 1, 12.25), ("a", None, 1.0)], "name string, n int, share double")
+    lines = sinks.report_lines([("FIRST PART", rows, "%-4s%3d %5.1f%%", ["name", "n", "share"], ["share"]), ("NONE", rows.where("n > 9"), "%s", ["name"], ["name"]), ("MANY", spark.range(300), "%d.", ["id"], ["id"])])
+    sinks.write_report(lines, str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*")))
+    assert text.split("\n")[:11] == ["FIRST PART", "----------", "b     2   0.5%", "a - 1.0", "-     1  12.3%", "", "NONE", "----", "(none)", "MANY", "----"]
+    assert text.split("\n")[11:] == [f"{i}." for i in range(300)] + ["", ""]
+    with pytest.raises(ValueError):
+        sinks.report_lines([])
