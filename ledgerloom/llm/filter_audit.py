@@ -18,7 +18,7 @@ are taken whole. An empty table has no parts and gives no rows. Columns other th
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,7 +72,8 @@ def audit(counted: DataFrame, filters: list[str]) -> DataFrame:
     failing it after an earlier one; unique_fails: failing it alone; shapley: what the filter removes, over all orders.
     """
     bit = {f: 1 << i for i, f in enumerate(filters)}
-    steps = F.array(*(F.struct(F.lit("".join(order)).alias("filter_order"), F.lit(i).alias("step"), F.lit(f).alias("filter"), F.lit(bit[f]).alias("bit")) for order in permutations(filters) for i, f in enumerate(order, 1)))
+    told = [{"filter_order": "".join(order), "step": i, "filter": f, "bit": bit[f]} for order in permutations(filters) for i, f in enumerate(order, 1)]
+    steps = F.from_json(F.lit(json.dumps(told)), "array<struct<filter_order:string,step:int,filter:string,bit:int>>")  # one literal, folded when the query is planned
     unpivoted = counted.select("part", "mask", "n", "good", "toxic", F.inline(steps)).repartition(common.partitions(counted.sparkSession), "part", "filter_order")
     earlier = Window.partitionBy("part", "filter_order", "mask").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.bit_or(F.col("mask").bitwiseAND(F.col("bit"))).over(earlier), F.lit(0))
