@@ -23,6 +23,8 @@ from ledgerloom.operators.compare import MONEY, NUMBER, PERCENT
 
 NODES = "nodes array<struct<no:int,parent:int,steps:array<string>,kind:string,said:string,size:int>>"
 KINDS = ("numbers", "percentages", "amounts", "dates")
+#: Nodes that a worker holds as Python values at once; a document that has more is held alone.
+HELD = 1 << 13
 
 
 @dataclass
@@ -68,19 +70,26 @@ def _lists(sizes: list[int], values: pa.Array) -> pa.Array:
 def nodes(documents: DataFrame, keys: Sequence[str], json: str) -> Nodes:
     """The nodes of each document's JSON text."""
 
+    def made(rows: pa.RecordBatch, sizes: list[int], out: list[tuple]) -> pa.RecordBatch:
+        parent, steps, kind, said, size = zip(*out, strict=True) if out else ((),) * 5
+        flat = _lists([len(s) for s in steps], pa.array([x for s in steps for x in s], pa.string()))
+        no = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        fields = [pa.array(no, pa.int32()), pa.array(parent, pa.int32()), flat, pa.array(kind, pa.string()), pa.array(said, pa.string()), pa.array(size, pa.int32())]
+        struct = pa.StructArray.from_arrays(fields, ["no", "parent", "steps", "kind", "said", "size"])
+        return pa.RecordBatch.from_arrays([*(rows.column(k) for k in keys), _lists(sizes, struct)], names=[*keys, "nodes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, no, out = [], [], []
-            for text in batch.column("_json").to_pylist():
-                own = list(_walk(text))
-                sizes.append(len(own))
-                no += range(len(own))
-                out += own
-            parent, steps, kind, said, size = zip(*out, strict=True) if out else ((),) * 5
-            flat = _lists([len(s) for s in steps], pa.array([x for s in steps for x in s], pa.string()))
-            fields = [pa.array(no, pa.int32()), pa.array(parent, pa.int32()), flat, pa.array(kind, pa.string()), pa.array(said, pa.string()), pa.array(size, pa.int32())]
-            struct = pa.StructArray.from_arrays(fields, ["no", "parent", "steps", "kind", "said", "size"])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), _lists(sizes, struct)], names=[*keys, "nodes"])
+            start, sizes, out = 0, [], []
+            for text in batch.column("_json"):
+                before = len(out)
+                out += _walk(text.as_py())
+                sizes.append(len(out) - before)
+                if len(out) >= HELD:
+                    yield made(batch.slice(start, len(sizes)), sizes, out)
+                    start, sizes, out = start + len(sizes), [], []
+            if sizes:
+                yield made(batch.slice(start), sizes, out)
 
     # Written anew by Spark, a text is plain JSON, numbers in one form; what it cannot read is left out.
     rows = documents.select(*keys, F.to_json(F.try_parse_json(json)).alias("_json")).where("_json is not null")
@@ -134,6 +143,16 @@ def _together(level: str, nodes_: list[dict], leaves: list[str | None]) -> list[
     return out
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, so many at a time that they have HELD nodes, or one row with more."""
+    ends = np.asarray(batch.column("nodes").offsets)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + HELD, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def texts(found: Nodes, levels: Sequence[str]) -> DataFrame:
     """keys, nodes and, for each level, the array of all nodes' texts: the same for values that are the same at that level."""
     keys = found.keys
@@ -141,11 +160,12 @@ def texts(found: Nodes, levels: Sequence[str]) -> DataFrame:
     rows = found.documents.select(*keys, "nodes", *map(leaves, levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column("nodes").to_pylist()
-            whole = [[_together(x, n, leaves) for n, leaves in zip(own, batch.column(x).to_pylist(), strict=True)] for x in levels]
-            new = [pa.array(w, pa.list_(pa.string())) for w in whole]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("nodes"), *new], names=[*keys, "nodes", *levels])
+        for whole in batches:
+            for batch in _parts(whole):
+                own = batch.column("nodes").to_pylist()
+                made = [[_together(x, n, leaves) for n, leaves in zip(own, batch.column(x).to_pylist(), strict=True)] for x in levels]
+                new = [pa.array(w, pa.list_(pa.string())) for w in made]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("nodes"), *new], names=[*keys, "nodes", *levels])
 
     return rows.mapInArrow(run, rows.schema)
 
