@@ -9,9 +9,19 @@ from ledgerloom.sources import extractors, files, sinks, workbooks
 from ledgerloom.storage import new_path
 
 
+#: Folders that a task writes into, so that also a few tasks make enough for Spark to list them in tasks.
+FOLDERS = 16
+#: On a local disk Hadoop's checksum files and their permissions take as long as the files; these files are read once. Other stores ignore this.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def _one_file_each(rows, path: str, key: str, text: str) -> None:
-    """Each row's text as a file of its own in the numbered folder of its key."""
-    rows.select(F.col(key).alias("agreement"), F.col(text).alias("text")).write.option("maxRecordsPerFile", 1).partitionBy("agreement").text(path)
+    """Each row's text as a file of its own in the numbered folder of its key.
+
+    Those lie in folders that one task each fills, so a commit moves whole folders and no single files, and tasks share their listing.
+    """
+    part = F.spark_partition_id() * FOLDERS + F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int")
+    rows.select(part.alias("part"), F.col(key).alias("agreement"), F.col(text).alias("text")).write.options(**PLAIN).option("maxRecordsPerFile", 1).partitionBy("part", "agreement").text(path)
 
 
 def json_documents(s, d):
@@ -28,9 +38,12 @@ def json_documents(s, d):
     _one_file_each(told, root, "conv_id", "json")
     out = lambda kind, name, item, text: (F.col("agreement").cast("long").alias("conv_id"), F.lit(kind).alias("kind"), name.alias("name"), item.cast("long").alias("item"), F.md5(text).alias("text"))
     none = F.lit(None).cast("string")
-    found = files.pages(s, root, "*.txt").select(*out("page", F.when(F.col("ocr_used"), "user").otherwise("other"), F.col("page"), F.col("text")))
-    listed = files.topics(s, root, "*.txt").select("agreement", F.explode("topics").alias("topic", "texts")).select("agreement", "topic", F.posexplode("texts").alias("item", "text"))
-    return found.unionByName(listed.select(*out("topic", F.col("topic"), F.col("item"), F.col("text")))).unionByName(files.unread(s, root, "*.txt").select(*out("bad", F.col("reason"), F.lit(None), none)))
+    held = new_path(s, "json-documents-read")  # the files are listed and read once
+    files.texts(s, root, "*.txt").write.parquet(held)
+    values = files.parsed(s.read.parquet(held))
+    found = files.pages_of(values).select(*out("page", F.when(F.col("ocr_used"), "user").otherwise("other"), F.col("page"), F.col("text")))
+    listed = files.topics_of(values).select("agreement", F.explode("topics").alias("topic", "texts")).select("agreement", "topic", F.posexplode("texts").alias("item", "text"))
+    return found.unionByName(listed.select(*out("topic", F.col("topic"), F.col("item"), F.col("text")))).unionByName(files.unread_of(values).select(*out("bad", F.col("reason"), F.lit(None), none)))
 
 
 JSON_DOCUMENTS = """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations), good AS (SELECT * FROM c WHERE conv_id % 7 <> 3)

@@ -23,35 +23,50 @@ def _keyed(files: DataFrame, path: str) -> DataFrame:
     return files.withColumns({"agreement": key.try_cast("int"), "file": name}).where("agreement is not null")
 
 
+def _few(files: DataFrame) -> DataFrame:
+    """The same rows in a bounded number of tasks: Spark counts each small file as 4 MB, which makes a task of every few files."""
+    spark = files.sparkSession
+    return files.coalesce(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """agreement, file, size_mb of all files in numeric folders; contents are not read. Order it by agreement and file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return _keyed(files.select("path", "length"), "path").select("agreement", "file", (F.col("length") / (1024 * 1024)).alias("size_mb"), F.col("length").alias("n_bytes"))
+    return _keyed(_few(files.select("path", "length")), "path").select("agreement", "file", (F.col("length") / (1024 * 1024)).alias("size_mb"), F.col("length").alias("n_bytes"))
 
 
 def contents(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """agreement, file and content (binary), for extractors."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return _keyed(files.select("path", "content"), "path").select("agreement", "file", "content")
+    return _keyed(_few(files.select("path", "content")), "path").select("agreement", "file", "content")
 
 
 def texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """agreement, file and text, a whole file in each row."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    return _keyed(files.select("value", F.col("_metadata.file_path").alias("path")), "path").select("agreement", "file", F.col("value").alias("text"))
+    return _keyed(_few(files.select("value", F.col("_metadata.file_path").alias("path"))), "path").select("agreement", "file", F.col("value").alias("text"))
 
 
 def json_values(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """agreement, file, v and kind (pages, topics or bad) of files that hold one JSON value each, over many lines or one. What a file holds is told from its value."""
-    parsed = texts(spark, root, pattern).withColumn("v", F.try_parse_json("text"))
+    return parsed(texts(spark, root, pattern))
+
+
+def parsed(found: DataFrame) -> DataFrame:
+    """json_values of agreement, file and text."""
     shape = F.schema_of_variant("v")
     kind = F.when(shape.startswith("ARRAY"), "pages").when(shape.startswith("OBJECT"), "topics").otherwise("bad")
-    return parsed.withColumn("kind", F.when(F.col("v").isNull(), "bad").otherwise(kind)).select("agreement", "file", "text", "v", "kind")
+    return found.withColumn("v", F.try_parse_json("text")).withColumn("kind", F.when(F.col("v").isNull(), "bad").otherwise(kind)).select("agreement", "file", "text", "v", "kind")
 
 
 def pages(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """agreement, file, page, ocr_used, text of files that hold an array of pages; a page that is only a text has its place, from 1, as number. Other files give no rows."""
-    found = json_values(spark, root, pattern).where("kind = 'pages'")
+    return pages_of(json_values(spark, root, pattern))
+
+
+def pages_of(values: DataFrame) -> DataFrame:
+    """pages of json_values."""
+    found = values.where("kind = 'pages'")
     each = found.select("agreement", "file", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("at", "p"))
     bare = F.schema_of_variant("p") == "STRING"
     get = lambda name, kind: F.try_variant_get("p", f"$.{name}", kind)
@@ -64,7 +79,12 @@ def topics(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame
 
     Null topics are empty lists; items that are no texts stay as JSON.
     """
-    found = json_values(spark, root, pattern).where("kind = 'topics'")
+    return topics_of(json_values(spark, root, pattern))
+
+
+def topics_of(values: DataFrame) -> DataFrame:
+    """topics of json_values."""
+    found = values.where("kind = 'topics'")
     key = lambda k: F.replace(F.lower(k), F.lit(" "), F.lit("_"))
     said = lambda v: F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), F.to_json(v))
     items = lambda v: F.transform(F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda i: i.isNotNull() & ~F.is_variant_null(i)), said)
@@ -77,8 +97,13 @@ def topics(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame
 
 def unread(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """agreement, file, reason and text of files that hold neither pages nor topics. Files without a byte are no rows; corpus() lists them."""
+    return unread_of(json_values(spark, root, pattern))
+
+
+def unread_of(values: DataFrame) -> DataFrame:
+    """unread of json_values."""
     reason = F.when(F.col("v").isNull(), "no JSON").otherwise("neither a list nor an object")
-    return json_values(spark, root, pattern).where("kind = 'bad'").select("agreement", "file", reason.alias("reason"), "text")
+    return values.where("kind = 'bad'").select("agreement", "file", reason.alias("reason"), "text")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> tuple[DataFrame, DataFrame | None]:
