@@ -60,29 +60,57 @@ def quick_issues(native: Column, layout: Column) -> Column:
     )
 
 
-def hidden_issues(native: Column, layout: Column, ocr: Column) -> Column:
-    """Names of the signs that a document holds text that one of three readings misses."""
-    native, layout, ocr = map(_said, (native, layout, ocr))
-    a, b, c = (F.length(x) for x in (native, layout, ocr))
-    wa, wb, wc = (F.array_distinct(T.words(x)) for x in (native, layout, ocr))
-    only = lambda x, *others: F.size(F.array_except(x, F.array_union(*others) if len(others) > 1 else others[0])) > 10
+def _packed(words: Column) -> Column:
+    """Words as one text, which takes less room than an array when rows are exchanged."""
+    return F.array_join(words, " ")
+
+
+def native_signs(native: Column, ocr: Column) -> Column:
+    """What a document's own text and its recognised text say for hidden_flags, without the layout."""
+    native, ocr = map(_said, (native, ocr))
+    every = [T.words(x) for x in (native, ocr)]
+    own, recognised = map(F.array_distinct, every)
+    return F.struct(
+        F.length(native).alias("native_size"),
+        F.length(ocr).alias("ocr_size"),
+        F.try_divide(*map(F.size, every)).alias("ratio"),
+        (F.size(F.array_except(own, recognised)) > 10).alias("only_native"),
+        _packed(recognised).alias("recognised"),
+        _packed(F.array_except(recognised, own)).alias("not_native"),
+    )
+
+
+def layout_signs(layout: Column) -> Column:
+    """What the text of a document's layout says for hidden_flags."""
+    layout = _said(layout)
     lines = F.split(layout, "\n")
-    noted = lambda line: F.exists(F.array(*map(F.lit, HIDDEN_WORDS)), lambda w: F.contains(F.lower(line), w))
-    long = F.transform(lines, lambda line: F.length(T.strip(line)) > 200)
-    first_long = F.array_position(long, True)
+    first_long = F.array_position(F.transform(lines, lambda line: F.length(T.strip(line)) > 200), True)
     read = F.when(first_long > 0, F.slice(lines, F.lit(1), F.greatest(first_long - 1, F.lit(0)).cast("int"))).otherwise(lines)
-    words = F.try_divide(F.size(T.words(native)), F.size(T.words(ocr)))
+    noted = F.exists(read, lambda line: F.lower(line).rlike("|".join(HIDDEN_WORDS)))
+    return F.struct(F.length(layout).alias("layout_size"), (first_long > 0).alias("long_line"), noted.alias("noted"), _packed(F.array_distinct(T.words(layout))).alias("words"))
+
+
+def hidden_flags(own: Column, layout: Column) -> Column:
+    """Names of the signs that a document holds text that one of three readings misses, from native_signs and layout_signs."""
+    a, b, c = own["native_size"], layout["layout_size"], own["ocr_size"]
+    # No words become a list of one empty word here, which is no more than ten and in no other list.
+    over = lambda x, other: F.size(F.array_except(F.split(x, " "), F.split(other, " "))) > 10
     return _flags(
         [
             ((a > 0) & (b > 0) & (relative_difference(a, b) > 0.2), "methods differ"),
             ((a > 0) & (c > 0) & (c / a > 1.5), "more recognised"),
             (b > a * 1.3, "more in layout"),
-            (first_long > 0, "long line"),
-            (F.exists(read, noted), "annotation"),
-            ((c > 0) & only(wc, wa, wb), "only recognised"),
-            ((a > 0) & (c > 0) & only(wa, wc), "only native"),
-            ((a > 0) & (c > 0) & only(wb, wc), "only layout"),
-            (words > 1.3, "more words native"),
-            ((words < 0.7) & (words > 0), "more words recognised"),
+            (layout["long_line"], "long line"),
+            (layout["noted"], "annotation"),
+            ((c > 0) & over(own["not_native"], layout["words"]), "only recognised"),
+            ((a > 0) & (c > 0) & own["only_native"], "only native"),
+            ((a > 0) & (c > 0) & over(layout["words"], own["recognised"]), "only layout"),
+            (own["ratio"] > 1.3, "more words native"),
+            ((own["ratio"] < 0.7) & (own["ratio"] > 0), "more words recognised"),
         ]
     )
+
+
+def hidden_issues(native: Column, layout: Column, ocr: Column) -> Column:
+    """hidden_flags of three readings in one row."""
+    return hidden_flags(native_signs(native, ocr), layout_signs(layout))

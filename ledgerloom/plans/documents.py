@@ -18,14 +18,26 @@ def neighbours(s, d):
     return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
 
 
+#: Parts that a task's share of documents is dealt into, so that a part is as large whatever the input.
+DEALT = 16
+
+
+def _dealt(rows, docs, key: str):
+    """rows by key in a number of parts that grows with the input of docs."""
+    return rows.repartition(DEALT * docs.rdd.getNumPartitions(), key)
+
+
 def similarity(s, d):
-    """Each document against the next: what is compared is taken from each text once, and only that is brought together."""
-    t = F.col("text")
-    one = table(s, d, "documents").select("doc_id", T.characters(t).alias("characters"), T.key_terms(t).alias("terms"), F.array_distinct(T.words(t)).alias("words"), (F.length(t) == 0).alias("none"))
-    parts = ["characters", "terms", "words", "none"]
-    sides = one.select(F.explode(F.array(F.struct(F.col("doc_id").alias("pair"), F.lit("a").alias("side")), F.struct((F.col("doc_id") - 1).alias("pair"), F.lit("b").alias("side")))).alias("at"), F.struct(*parts).alias("of"))
-    held = lambda x: F.first(F.when(F.col("at.side") == x, F.col("of")), ignorenulls=True).alias(x)
-    both = sides.groupBy(F.col("at.pair").alias("doc_id")).agg(held("a"), held("b")).where("a is not null and b is not null")
+    """Each document against the next: what is compared is taken from each text once, and only that is brought together, lists as single texts."""
+    t, docs = F.col("text"), table(s, d, "documents").select("doc_id", "text")
+    one = docs.select("doc_id", F.array_join(T.characters(t), "").alias("characters"), F.array_join(T.key_terms(t), " ").alias("terms"), F.array_join(F.array_distinct(T.words(t)), " ").alias("words"), (F.length(t) == 0).alias("none"))
+    sides = one.select(F.explode(F.array(F.struct(F.col("doc_id").alias("pair"), F.lit("a").alias("side")), F.struct((F.col("doc_id") - 1).alias("pair"), F.lit("b").alias("side")))).alias("at"), F.struct("characters", "terms", "words", "none").alias("of"))
+    sides = _dealt(sides.select("at.*", "of"), docs, "pair")
+    held = lambda x: F.first(F.when(F.col("side") == x, F.col("of")), ignorenulls=True).alias(x)
+    both = sides.groupBy(F.col("pair").alias("doc_id")).agg(held("a"), held("b")).where("a is not null and b is not null")
+    listed = lambda side, part, by: F.filter(F.split(F.col(f"{side}.{part}"), by), lambda x: x != "").alias(part)
+    whole = lambda side: F.struct(listed(side, "characters", ""), listed(side, "terms", " "), listed(side, "words", " "), F.col(f"{side}.none").alias("none")).alias(side)
+    both = both.select("doc_id", whole("a"), whole("b"))
     terms = F.when(F.col("a.none") & F.col("b.none"), 1.0).when(F.col("a.none") | F.col("b.none"), 0.0).otherwise(T.jaccard(F.col("a.terms"), F.col("b.terms")))
     rows = both.select("doc_id", T.jaccard(F.col("a.characters"), F.col("b.characters")).alias("characters"), terms.alias("terms"), F.size(F.array_except("a.words", "b.words")).cast("long").alias("only_here"))
     return rows.withColumns({"characters": F.round("characters", 6), "terms": F.round("terms", 6)}).withColumn("alike", (F.col("characters") >= 0.8) & (F.col("terms") >= 0.6))
@@ -61,7 +73,11 @@ f AS (SELECT array_to_string(list_filter([CASE WHEN length(a) > 0 AND length(b)
 def hidden(s, d):
     """Signs of hidden text: of each document, the next one as layout, and the text without its last half as recognised text."""
     ocr = F.when(F.col("doc_id") % 10 == 0, "ERROR: none").otherwise(F.array_join(F.slice(F.split("text", " "), F.lit(1), F.ceil(F.size(F.split("text", " ")) / 2).cast("int")), " "))
-    return neighbours(s, d).select("doc_id", S.hidden_issues(F.col("text"), F.col("other"), ocr).alias("issues")).select("doc_id", F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    docs = table(s, d, "documents").select("doc_id", "text")
+    own = _dealt(docs.select("doc_id", S.native_signs(F.col("text"), ocr).alias("own")), docs, "doc_id")
+    after = _dealt(docs.select((F.col("doc_id") - 1).alias("doc_id"), S.layout_signs(F.col("text")).alias("layout")), docs, "doc_id")
+    issues = own.join(after, "doc_id").select(S.hidden_flags(F.col("own"), F.col("layout")).alias("issues")).select(F.explode("issues").alias("issue"))
+    return issues.groupBy("issue").agg(F.count("*").alias("n"))
 
 
 HIDDEN = rf"""WITH p AS (SELECT a.doc_id, CASE WHEN starts_with(a.text, 'ERROR') THEN '' ELSE coalesce(a.text, '') END AS na, CASE WHEN starts_with(b.text, 'ERROR') THEN '' ELSE coalesce(b.text, '') END AS la,
