@@ -22,6 +22,8 @@ LEAST_SHARE = 0.5
 SHINGLE, NEAR = 5, 80
 #: Weights of the sources, in order of their names, repeating, and how often a document may be taken at most.
 WEIGHTS, MOST = (5, 2, 1), 3.0
+#: Segments whose ids a worker of the last stage keeps, about: it stands beside a heap that the joins before have filled.
+SEGMENTS = 200_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and a check that they decode to its text."""
-    coded = byte_bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = byte_bpe.encode_checked(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=SEGMENTS)
     same = F.col("decoded_sha256") == F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return coded.select("doc_id", "lang", "source", "ids", "n_tokens", same.alias("round_trip"))
 

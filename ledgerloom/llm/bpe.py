@@ -13,12 +13,13 @@ batches are ordinary; rows and columns are the callers' matter.
 from __future__ import annotations
 
 import base64
-import functools
 import os
 import re
 
 import numpy as np
 
+from ledgerloom.llm import common
+
 _CUT = re.compile(r" (?=\S)")
 #: Bytes before which a space is cut off: not white space, nor the first byte of white space outside ASCII.
 _CUT_BEFORE = np.ones(256, bool)
@@ -107,8 +108,9 @@ class Encoder:
             self.bytes_of[i] = len(token)  # a character for each byte
         self._forget()
 
-    def _forget(self) -> None:
-        slots = 1 << (3 * self.keep - 1).bit_length()
+    def _forget(self, coming: int = 0) -> None:
+        """Empties the tables; they have room for so many segments at once, even if those are more than are kept."""
+        slots = 1 << (max(3 * self.keep, 2 * coming) - 1).bit_length()
         self.slot_place = np.full(slots, -1, np.int32)
         self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # the key of each segment, zeros for a longer one
         self.longer: dict[bytes, int] = {}
@@ -199,7 +201,7 @@ class Encoder:
         b = np.append(a[1:], len(raw))[: len(a)]
         head = is_head[a]
         if max(len(self.sizes) + len(a), len(self.pool) // 8) > 2 * self.keep:
-            self._forget()
+            self._forget(len(a))
         ra, rb = a[~head], b[~head]
         place = self._places(raw, ra, rb)
         heads = self._ids([raw[x:y].tobytes().decode() for x, y in zip(a[head], b[head], strict=True)])
@@ -243,15 +245,15 @@ class Encoder:
             place, slot = place[~mine], (slot[~mine] + 1) & mask
 
 
-@functools.lru_cache(maxsize=4)
+@common.kept_by_worker
 def encoder_from_file(path: str) -> Encoder:
-    """One for each worker process: tasks that follow find the segments it has seen."""
+    """One for each worker process: tasks of the same operator that follow find the segments it has seen."""
     return Encoder(tokenizer_from_file(path))
 
 
-@functools.lru_cache(maxsize=4)
-def encoder_from_ranks(path: str, pattern: str) -> Encoder:
-    return Encoder(tokenizer_from_ranks(path, pattern))
+@common.kept_by_worker
+def encoder_from_ranks(path: str, pattern: str, keep: int = KEEP) -> Encoder:
+    return Encoder(tokenizer_from_ranks(path, pattern), keep)
 
 
 def batches(texts: list[str | None], size: int = 4 << 20):

@@ -12,7 +12,6 @@ repeated ones too, and other columns are kept; columns named as an added one are
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -55,19 +54,19 @@ class Decoder:
         return int(((np.frombuffer(data, np.uint8)[starts] & 0xC0) == 0x80).sum())
 
 
-@functools.lru_cache(maxsize=4)
+@common.kept_by_worker
 def decoder_for(rank_file: str) -> Decoder:
     return Decoder(bpe.read_ranks(rank_file))
 
 
-def _mapped(docs: DataFrame, rank_file: str, pattern: str, text: str, fields: list[tuple[str, str, pa.DataType]], compute, keep_text: bool = True) -> DataFrame:
-    """docs with the fields (name, Spark type, Arrow type) that compute(ids, decoder) gives for each row."""
+def _mapped(docs: DataFrame, rank_file: str, pattern: str, text: str, fields: list[tuple[str, str, pa.DataType]], compute, keep_text: bool = True, keep: int = bpe.KEEP) -> DataFrame:
+    """docs with the fields (name, Spark type, Arrow type) that compute(ids, decoder) gives for each row; workers keep about keep segments."""
     names = [f[0] for f in fields]
     kept = docs.drop(*names)
     passed = [f for f in kept.schema.fields if keep_text or f.name != text]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = bpe.encoder_from_ranks(rank_file, pattern), decoder_for(rank_file)
+        encoder, decoder = bpe.encoder_from_ranks(rank_file, pattern, keep), decoder_for(rank_file)
         for batch in rows:
             whole = batch.column(text)
             for start, part in bpe.batches(whole.to_pylist(), BATCH_CHARS):
@@ -80,7 +79,7 @@ def _mapped(docs: DataFrame, rank_file: str, pattern: str, text: str, fields: li
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
     schema = StructType([*passed, *(StructField(n, _parse_datatype_string(t)) for n, t, _ in fields)])
-    return kept.mapInArrow(run, schema)
+    return common.mapped(kept, run, schema, keeps=True)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
@@ -115,7 +114,7 @@ def decode(docs: DataFrame, rank_file: str, ids: str = "ids") -> DataFrame:
     return kept.mapInArrow(run, StructType([*kept.schema.fields]).add("decoded", BinaryType()).add("decoded_text", StringType()))
 
 
-def encode_checked(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
+def encode_checked(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: int = bpe.KEEP) -> DataFrame:
     """Adds ids, n_tokens and decoded_sha256, the hash of the bytes that the ids decode to; one worker encodes and decodes a row."""
 
     def compute(ids: np.ndarray, decoder: Decoder):
@@ -123,7 +122,7 @@ def encode_checked(docs: DataFrame, rank_file: str, pattern: str, text: str = "t
 
     fields = [("ids", "array<int>", pa.list_(pa.int32())), ("n_tokens", "long", pa.int64()), ("decoded_sha256", "string", pa.string())]
     common.ship(docs.sparkSession)
-    return _mapped(docs, rank_file, pattern, text, fields, compute)
+    return _mapped(docs, rank_file, pattern, text, fields, compute, keep=keep)
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, written tables and shipping this package to executors.
+"""What the operators share: the shared folder, written tables, memory of workers and shipping this package to executors.
 
 Written tables hold nulls, empty and very long texts, repeated rows and columns of any name as they are; an empty table is written as one.
 Nothing here joins or orders rows, so names cannot clash and there are no ties; two columns of one name are an error, as for any table.
@@ -6,11 +6,14 @@ Nothing here joins or orders rows, so names cannot clash and there are no ties;
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,47 @@ def lookup(df: DataFrame, tag: str, mb: float = BROADCAST_MB) -> DataFrame:
     return out
 
 
+_kept: list = []
+
+
+def kept_by_worker(make):
+    """make, whose results a worker process keeps for the tasks that follow, until one of another operator begins."""
+    cached = functools.lru_cache(maxsize=4)(make)
+    _kept.append(cached)
+    return cached
+
+
+def let_go() -> None:
+    """Drops what kept_by_worker keeps."""
+    for cached in _kept:
+        cached.cache_clear()
+
+
+def returned() -> None:
+    """Gives this process's free memory back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def mapped(df: DataFrame, run, schema, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow(run, schema), by tasks that leave no free memory in their worker, which stands beside the joins that follow.
+
+    Workers serve one operator after another: what others keep goes first, unless this one keeps it too.
+    """
+
+    def task(rows):
+        if not keeps:
+            let_go()
+        for batch in run(rows):
+            yield batch
+            del batch
+            returned()
+        returned()
+
+    return df.mapInArrow(task, schema)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors of a cluster; local masters share the driver's files.
 

@@ -191,7 +191,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
             lang, cell = np.nonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lang), order, np.int32)), pa.array(lang.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(s[lang, cell])], names=["o", "lang", "cell", "n"])
 
-    cells = sample.mapInArrow(count, "o int, lang int, cell int, n long").groupBy("o", "lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = common.mapped(sample, count, "o int, lang int, cell int, n long").groupBy("o", "lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     o, lang, cell, n = (cells.column(c).to_numpy() for c in ("o", "lang", "cell", "n"))
     for i, table in enumerate(counts):
         table[lang[o == i], cell[o == i]] = n[o == i]
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 new = [pa.array(lang), pa.array([min(1.0, s) for s in score], pa.float64()), pa.array(mixed, kind)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, len(texts)) for c in batch.columns), *new], names=[*batch.schema.names, *names])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL("lang_pred string, score double, languages map<string,double>").fields]))
+    return common.mapped(kept, run, StructType([*kept.schema.fields, *StructType.fromDDL("lang_pred string, score double, languages map<string,double>").fields]))
 
 
 def identified(docs: DataFrame) -> DataFrame:

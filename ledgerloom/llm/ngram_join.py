@@ -82,7 +82,7 @@ def read_sets(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         none = pa.nulls(len(cell), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(cell), bool)), none, none, pa.array(cells[cell]), pa.array(cell), none], names=names)
 
-    found = common.written(docs.mapInArrow(run, "is_doc boolean, doc_id long, sig long, n long, s1 long, s2 long"), "join-sets", ["is_doc"])
+    found = common.written(common.mapped(docs, run, "is_doc boolean, doc_id long, sig long, n long, s1 long, s2 long"), "join-sets", ["is_doc"])
     counts = found.where("not is_doc").groupBy("s1").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     table = np.ones(CELLS, np.float32)
     table[counts.column("s1").to_numpy()] += counts.column("n").to_numpy()
@@ -128,7 +128,7 @@ def prefixes(docs: DataFrame, k: int, table: np.ndarray, per_cent: int) -> DataF
             )
             yield whole.filter(pa.array(n > 0))
 
-    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, n int, ell int, prefix array<long>")
+    return common.mapped(docs, run, "doc_id long, s1 long, s2 long, n int, ell int, prefix array<long>")
 
 
 def shingles_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -143,7 +143,7 @@ def shingles_of(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             bounds = np.searchsorted(no, np.arange(len(texts) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.view(np.int64)))], names=["first_doc", "s1", "s2", "shingles"])
 
-    sets = named.mapInArrow(run, "first_doc long, s1 long, s2 long, shingles array<long>")
+    sets = common.mapped(named, run, "first_doc long, s1 long, s2 long, shingles array<long>")
     keys = classes.select(F.col("first_doc").alias("d"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), "node")
     same = F.col("first_doc").eqNullSafe(F.col("d")) & (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2"))
     out = common.written(sets.join(keys, same).select("node", "shingles"), "join-shingles")

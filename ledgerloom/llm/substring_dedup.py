@@ -183,7 +183,7 @@ def read_paragraphs(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), batch.column("sig"), _lists(windows, owner[at], len(texts)), _lists(found, lines.owner, len(texts))], names=["doc_id", "sig", "windows", "lines"]
             )
 
-    return common.written(docs.mapInArrow(run, f"doc_id long, sig long, windows array<struct<key:long,at:int>>, lines array<{LINE}>"), "dedup-paragraphs")
+    return common.written(common.mapped(docs, run, f"doc_id long, sig long, windows array<struct<key:long,at:int>>, lines array<{LINE}>"), "dedup-paragraphs")
 
 
 def _place(*more: str) -> Column:
@@ -218,7 +218,7 @@ def marked_windows(paragraphs: DataFrame, cuts: DataFrame) -> DataFrame:
             columns = [batch.column("doc_id").take(owner), batch.column("sig").take(owner), flat.field("key"), flat.field("at"), pa.array(opens >= place + WINDOW)]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(stays)
 
-    return common.written(rows.mapInArrow(run, "doc_id long, sig long, key long, at int, free boolean"), "dedup-marked")
+    return common.written(common.mapped(rows, run, "doc_id long, sig long, key long, at int, free boolean"), "dedup-marked")
 
 
 def shared_runs(docs: DataFrame, windows: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def neighbours(docs: DataFrame, ends: DataFrame, cuts: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "sig", "start", "end", "run", "before", "after"])
 
-    out = found.mapInArrow(run, "doc_id long, sig long, start int, end int, run long, before array<int>, after array<int>")
+    out = common.mapped(found, run, "doc_id long, sig long, start int, end int, run long, before array<int>, after array<int>")
     out = common.written(out.dropDuplicates(["doc_id", "sig", "start", "end"]), "dedup-neighbours")  # a repeated row gives its own again
     common.dropped(wanted)
     return out
@@ -319,7 +319,7 @@ def line_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
                     sets.append(np.unique(lines.shingles[lines.bounds[no] : lines.bounds[no + 1]]).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    sets = common.written(found.mapInArrow(run, "node long, shingles array<long>"), "dedup-sets")
+    sets = common.written(common.mapped(found, run, "node long, shingles array<long>"), "dedup-sets")
     common.dropped(wanted)
     if sets.count() > places.count():  # repeated rows of a document
         once = common.written(sets.dropDuplicates(["node"]), "dedup-sets")
@@ -532,7 +532,7 @@ def passages(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
             names = ["doc_id", "start_char", "end_char", "n_words", "kept_doc_id"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, start_char long, end_char long, n_words long, kept_doc_id long")
+    return common.mapped(rows, run, "doc_id long, start_char long, end_char long, n_words long, kept_doc_id long")
 
 
 def deduplicated(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
@@ -548,4 +548,4 @@ def deduplicated(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
             whole = pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
             yield whole.filter(pa.array([bool(t) for t in new]))
 
-    return kept.unionByName(lost.withColumn("text", F.col("text").cast("string")).mapInArrow(run, StructType([f for f in lost.schema.fields if f.name != "_dedup_spans"])))
+    return kept.unionByName(common.mapped(lost.withColumn("text", F.col("text").cast("string")), run, StructType([f for f in lost.schema.fields if f.name != "_dedup_spans"])))
