@@ -9,19 +9,7 @@ from ledgerloom.sources import extractors, files, sinks, workbooks
 from ledgerloom.storage import new_path
 
 
-#: Folders that a task writes into, so that also a few tasks make enough for Spark to list them in tasks.
-FOLDERS = 16
-#: On a local disk Hadoop's checksum files and their permissions take as long as the files; these files are read once. Other stores ignore this.
-PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-
-
-def _one_file_each(rows, path: str, key: str, text: str) -> None:
-    """Each row's text as a file of its own in the numbered folder of its key.
-
-    Those lie in folders that one task each fills, so a commit moves whole folders and no single files, and tasks share their listing.
-    """
-    part = F.spark_partition_id() * FOLDERS + F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int")
-    rows.select(part.alias("part"), F.col(key).alias("agreement"), F.col(text).alias("text")).write.options(**PLAIN).option("maxRecordsPerFile", 1).partitionBy("part", "agreement").text(path)
+_one_file_each = sinks.one_file_each
 
 
 def json_documents(s, d):
@@ -74,7 +62,9 @@ def corpus_listing(s, d):
     root = new_path(s, "corpus")
     docs = table(s, d, "documents").select((F.col("doc_id") % 12 * 9).alias("folder"), F.coalesce("text", F.lit("")).alias("text"))
     _one_file_each(docs, root, "folder", "text")
-    found = files.corpus(s, root).groupBy("agreement").agg(F.count("*").alias("files"), F.sum("n_bytes").alias("n_bytes"), F.round(F.sum("size_mb"), 6).alias("size_mb"))
+    held = new_path(s, "corpus-listed")  # the folders are listed once
+    files.listing(s, root).groupBy("agreement").agg(F.count("*").alias("files"), F.sum("n_bytes").alias("n_bytes"), F.round(F.sum("size_mb"), 6).alias("size_mb")).write.parquet(held)
+    found = s.read.parquet(held)
     lower = found.select(F.col("agreement").alias("other"))
     before = found.join(F.broadcast(lower), F.col("other") < F.col("agreement"), "left").groupBy("agreement", "files", "n_bytes", "size_mb")  # a row a folder of 12
     return before.agg((F.count("other") + 1).alias("place"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator, Sequence
+from itertools import batched
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.missing import has_text
 from ledgerloom.operators.runlog import RUN_LOG
 from ledgerloom.sources import workbooks
+from ledgerloom.storage import on_disk
 
 #: Separators and encodings that a table is tried with, in order.
 SEPARATORS, ENCODINGS = (";", ",", "\t"), ("UTF-8", "ISO-8859-1")
@@ -23,16 +28,82 @@ def _keyed(files: DataFrame, path: str) -> DataFrame:
     return files.withColumns({"agreement": key.try_cast("int"), "file": name}).where("agreement is not null")
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def _few(files: DataFrame) -> DataFrame:
     """The same rows in a bounded number of tasks: Spark counts each small file as 4 MB, which makes a task of every few files."""
-    spark = files.sparkSession
-    return files.coalesce(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    return files.coalesce(_tasks(files.sparkSession))
+
+
+#: Files in a batch of a listing.
+LISTED = 10_000
+
+
+def _shown(name: str, is_folder: bool) -> bool:
+    """Whether Spark's readers see a file or folder of this name."""
+    hidden = (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+    return not hidden or (is_folder and name.startswith(("_common_metadata", "_metadata")))
+
+
+def _entries(folder: str) -> Iterator[os.DirEntry]:
+    """What lies in a folder; nothing if it is gone."""
+    try:
+        with os.scandir(folder) as found:
+            yield from (e for e in found if _shown(e.name, e.is_dir()))
+    except FileNotFoundError:
+        return
+
+
+def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """path, encoded as in a URL, and length of all files in a folder on disk and below it, but those that Spark's readers take for hidden."""
+    form = re.compile(spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern(), re.DOTALL)
+    alone, tops = [], [root]
+    while tops and len(tops) < spark.sparkContext.defaultParallelism:  # goes down until there are enough to share
+        alone, tops = alone + tops, [e.path for top in tops for e in _entries(top) if e.is_dir()]
+
+    def walk(folder: str, deep: bool) -> Iterator[tuple[str, int]]:
+        left = [folder]
+        while left:
+            at = left.pop()
+            above = quote(os.fsencode(at))
+            for e in _entries(at):
+                if e.is_dir():
+                    left += [e.path] if deep else []
+                elif form.fullmatch(e.name):
+                    try:
+                        yield f"{above}/{quote(os.fsencode(e.name))}", e.stat().st_size
+                    except FileNotFoundError:
+                        pass  # gone since, or a link to nothing
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, deep in zip(batch.column("folder").to_pylist(), batch.column("deep").to_pylist(), strict=True):
+                for some in batched(walk(os.fsdecode(folder), deep), LISTED):
+                    yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in some], kind) for i, kind in enumerate((pa.string(), pa.int64()))], names=["path", "length"])
+
+    folders = spark.createDataFrame([(bytearray(os.fsencode(f)), d) for d, own in ((False, alone), (True, tops)) for f in own], "folder binary, deep boolean")
+    return folders.repartition(min(len(alone) + len(tops), _tasks(spark))).mapInArrow(run, "path string, length long")
 
 
 def corpus(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """agreement, file, size_mb of all files in numeric folders; contents are not read. Order it by agreement and file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return _keyed(_few(files.select("path", "length")), "path").select("agreement", "file", (F.col("length") / (1024 * 1024)).alias("size_mb"), F.col("length").alias("n_bytes"))
+    return _sized(_few(files.select("path", "length")))
+
+
+def _sized(files: DataFrame) -> DataFrame:
+    return _keyed(files, "path").select("agreement", "file", (F.col("length") / (1024 * 1024)).alias("size_mb"), F.col("length").alias("n_bytes"))
+
+
+def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """corpus() for any number of files: tasks list a folder on disk, where corpus() keeps each file on the driver. Files without a byte are rows too.
+
+    What is in another store, or is not one folder, is listed by corpus().
+    """
+    disk = on_disk(spark, root)
+    return _sized(_listed(spark, disk, pattern)) if disk is not None and os.path.isdir(disk) else corpus(spark, root, pattern)
 
 
 def contents(spark: SparkSession, root: str, pattern: str) -> DataFrame:
@@ -96,7 +167,7 @@ def topics_of(values: DataFrame) -> DataFrame:
 
 
 def unread(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """agreement, file, reason and text of files that hold neither pages nor topics. Files without a byte are no rows; corpus() lists them."""
+    """agreement, file, reason and text of files that hold neither pages nor topics. Files without a byte are no rows; listing() has them."""
     return unread_of(json_values(spark, root, pattern))
 
 

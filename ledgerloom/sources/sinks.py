@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import os
+import shutil
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import NumericType, StructType
 
 from ledgerloom.operators.dedupe import keep
 from ledgerloom.operators.ranges import placed
+from ledgerloom.storage import on_disk
 
 
 def described(rows: DataFrame, descriptions: Mapping[str, str]) -> DataFrame:
@@ -91,3 +99,75 @@ def failures(rows: DataFrame, ok: str, reason: str) -> tuple[DataFrame, DataFram
     """Rows that came through, and the others with the reason, for a log of their own."""
     good = F.coalesce(F.col(ok), F.lit(False))
     return rows.where(good), rows.where(~good).select("*", F.coalesce(reason, F.lit("unknown")).alias("failure"))
+
+
+#: Folders that a task writes into, so that also a few tasks make enough for Spark to list them in tasks.
+FOLDERS = 16
+
+
+def one_file_each(rows: DataFrame, path: str, key: str, text: str) -> None:
+    """Each row's text as a file of its own, one line, in the numbered folder of its key. The folder must be new.
+
+    Those lie in folders that one task each fills, so a commit moves whole folders and no single files, and tasks share their listing.
+    On a local disk Hadoop without its native library starts a process for each file, which takes far longer than the file, so there Python writes them.
+    """
+    part = F.spark_partition_id() * FOLDERS + F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int")
+    own = rows.select(part.alias("part"), F.col(key).cast("long").alias("agreement"), F.col(text).alias("text"))
+    disk = on_disk(rows.sparkSession, path)
+    if disk is None:
+        own.write.option("maxRecordsPerFile", 1).partitionBy("part", "agreement").text(path)
+        return
+    os.makedirs(disk)
+    rows.sparkSession.dataSource.register(OneFileEach)
+    own.select("part", "agreement", F.col("text").cast("binary").alias("text")).write.format(OneFileEach.name()).mode("append").save(disk)
+
+
+@dataclass
+class _Filled(WriterCommitMessage):
+    """The folders that a task has filled, below the one that it wrote in."""
+
+    own: str
+    parts: list[str]
+
+
+class _FilesWriter(DataSourceArrowWriter):
+    """Tasks write in folders of their own attempt; what those that Spark commits have filled is then moved into place."""
+
+    def __init__(self, root: str):
+        self.root, self.draft = root, f"{root}/_temporary"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Filled:
+        own = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
+        folders: dict[tuple, str] = {}
+        n = 0
+        for batch in iterator:
+            for part, key, text in zip(*(batch.column(c).to_pylist() for c in ("part", "agreement", "text")), strict=True):
+                if (folder := folders.get((part, key))) is None:
+                    name = "__HIVE_DEFAULT_PARTITION__" if key is None else key  # as Spark names it
+                    folder = folders[part, key] = f"{self.draft}/{own}/part={part}/agreement={name}"
+                    os.makedirs(folder)
+                with open(f"{folder}/part-{own}.c{n:03d}.txt", "xb") as out:
+                    out.write(text or b"")
+                    out.write(b"\n")
+                n += 1
+        return _Filled(own, sorted({f"part={part}" for part, _ in folders}))
+
+    def commit(self, messages: list[_Filled | None]) -> None:
+        for filled in messages:
+            for part in filled.parts if filled else ():
+                os.rename(f"{self.draft}/{filled.own}/{part}", f"{self.root}/{part}")
+        shutil.rmtree(self.draft, ignore_errors=True)
+
+    def abort(self, messages: list[_Filled | None]) -> None:
+        shutil.rmtree(self.draft, ignore_errors=True)
+
+
+class OneFileEach(DataSource):
+    """Writes one_file_each's rows: part, agreement and text, as bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "one_file_each"
+
+    def writer(self, schema: StructType, overwrite: bool) -> _FilesWriter:
+        return _FilesWriter(self.options["path"])

@@ -28,6 +28,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def on_disk(spark: SparkSession, path: str) -> str | None:
+    """path as the disk knows it, or None where it is in another store, which only Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(at).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
 class _Out:
     """Writes bytes to a file of any file system, a good many at a time."""
 
