@@ -85,3 +85,12 @@ def test_names_that_look_like_encoded_ones(spark, tmp_path):
     assert [r.file for r in files.listing(spark, str(tmp_path / "*"), "a+*").collect()] == ["a+b.txt"]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.listing(spark, str(tmp_path / "2"))
+
+
+def test_a_store_that_only_spark_reaches(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.away.link./in", f"file://{tmp_path}")
+    rows = spark.range(0, 12, 1, 2).select((F.col("id") % 3).alias("k"), F.col("id").cast("string").alias("t"))
+    formats._one_file_each(rows, "viewfs://away/in/c", "k", "t")
+    found = files.listing(spark, "viewfs://away/in/c")
+    assert sorted((r.agreement, r["count"], r.n) for r in found.groupBy("agreement").agg(F.count("*").alias("count"), F.sum("n_bytes").alias("n")).collect()) == [(0, 4, 8), (1, 4, 9), (2, 4, 9)]
+    assert sorted(int(r.text) for r in files.texts(spark, "viewfs://away/in/c", "*.txt").collect()) == list(range(12))
